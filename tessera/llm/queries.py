@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.mixing import OP2_SQL, op2_mix_sources
+from tessera.llm.warc import OP8_SQL, op8_warc
 
-QUERIES = {"op2_mix_sources": op2_mix_sources}
-SQL = {"op2_mix_sources": OP2_SQL}
+QUERIES = {"op2_mix_sources": op2_mix_sources, "op8_warc": op8_warc}
+SQL = {"op2_mix_sources": OP2_SQL, "op8_warc": OP8_SQL}
