@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.bpe import op10_bpe
 from tessera.llm.language import op4_language
 from tessera.llm.mixing import OP2_SQL, op2_mix_sources
+from tessera.llm.neighbours import op3_neighbours
 from tessera.llm.quality import op1_quality
 from tessera.llm.token_count import op6_token_counts
 from tessera.llm.warc import OP8_SQL, op8_warc
@@ -12,6 +13,7 @@ from tessera.llm.warc import OP8_SQL, op8_warc
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_mix_sources": op2_mix_sources,
+    "op3_neighbours": op3_neighbours,
     "op4_language": op4_language,
     "op6_token_counts": op6_token_counts,
     "op8_warc": op8_warc,
