@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.bpe import op10_bpe
+from tessera.llm.jaccard import OP9_SQL, op9_jaccard
 from tessera.llm.language import op4_language
 from tessera.llm.mixing import OP2_SQL, op2_mix_sources
 from tessera.llm.neighbours import op3_neighbours
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op6_token_counts": op6_token_counts,
     "op8_warc": op8_warc,
+    "op9_jaccard": op9_jaccard,
     "op10_bpe": op10_bpe,
 }
-SQL = {"op2_mix_sources": OP2_SQL, "op8_warc": OP8_SQL}
+SQL = {"op2_mix_sources": OP2_SQL, "op8_warc": OP8_SQL, "op9_jaccard": OP9_SQL}
