@@ -8,6 +8,7 @@ from tessera.llm.language import op4_language
 from tessera.llm.mixing import OP2_SQL, op2_mix_sources
 from tessera.llm.neighbours import op3_neighbours
 from tessera.llm.quality import op1_quality
+from tessera.llm.substrings import op5_substrings
 from tessera.llm.token_count import op6_token_counts
 from tessera.llm.warc import OP8_SQL, op8_warc
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_neighbours": op3_neighbours,
     "op4_language": op4_language,
+    "op5_substrings": op5_substrings,
     "op6_token_counts": op6_token_counts,
     "op8_warc": op8_warc,
     "op9_jaccard": op9_jaccard,
