@@ -10,6 +10,7 @@ from tessera.llm.neighbours import op3_neighbours
 from tessera.llm.quality import op1_quality
 from tessera.llm.substrings import op5_substrings
 from tessera.llm.token_count import op6_token_counts
+from tessera.llm.trie import op7_lm_scores
 from tessera.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_substrings": op5_substrings,
     "op6_token_counts": op6_token_counts,
+    "op7_lm_scores": op7_lm_scores,
     "op8_warc": op8_warc,
     "op9_jaccard": op9_jaccard,
     "op10_bpe": op10_bpe,
