@@ -336,9 +336,11 @@ def _uncovered(text: bytes, firsts: list[int], lasts: list[int]) -> tuple[bytes,
     return b"".join(kept), runs
 
 
-def remove_repeats(docs: DataFrame, sent: int = SENT) -> DataFrame:
+def remove_repeats(docs: DataFrame, sent: int = SENT, as_text: bool = False) -> DataFrame:
     """``docs`` with kept (binary: what is left of the text), n_bytes, n_removed and n_spans.
 
+    With ``as_text`` kept is a string, without the bytes of characters cut in two.
+
     Bytes are those of the UTF-8 text, null as empty. A byte goes if 50 bytes
     around it also start in a document with a smaller id; strings are judged on
     the input, overlaps count, and no string crosses documents. A row without id
@@ -374,10 +376,11 @@ def remove_repeats(docs: DataFrame, sent: int = SENT) -> DataFrame:
                 size.append(len(text))
                 removed.append(len(text) - len(left))
                 n.append(runs)
-            more = [pa.array(kept, pa.binary()), *[pa.array(x, pa.int64()) for x in (size, removed, n)]]
+            left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            more = [left, *[pa.array(x, pa.int64()) for x in (size, removed, n)]]
             yield pa.RecordBatch.from_arrays([*batch.select(rest).columns, *more], [*rest, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    schema = docs.select(*rest).schema.add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
+    schema = docs.select(*rest).schema.add("kept", "string" if as_text else "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
     return rows.select(*rest, "_firsts", "_lasts", "_copy").mapInArrow(run, schema)
 
 
