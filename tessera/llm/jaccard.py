@@ -5,17 +5,20 @@ Equal sets first become one class, named by its smallest document id. Tokens
 frequent, then by hash. Two sets with Jaccard similarity of at least t share a
 token among the first ``n - ceil(t n) + 1`` of each, so only these are posted.
 
-1. Grouping. Under its first few posted tokens each class is linked to the next
-   one in an order that differs from token to token; the verified links make
-   groups of similar documents, as trees rather than all pairs.
+1. Grouping. Under the first few of its posted tokens that others post too, each
+   class is linked to the next one in an order that differs from token to token;
+   the verified links make groups of similar documents, as few links a class
+   rather than all pairs.
 2. Matrix. The posted tokens of a group's members are united: one row per token
    and group, with the smallest size and the largest rest (tokens from that
    position on) of its members. Hot tokens of a large group are one row.
 3. Bound. Groups that share a token can only be linked if the smaller rest covers
    the overlap that the smaller sizes need; then per-bucket counts of tokens
    bound the overlap of a query and a group.
-4. Opening. Only the groups that pass are opened: their members are bounded one
-   by one in the same way and verified with whole sets.
+4. Opening. Only the groups that pass are opened: a few pairs of their members
+   are tried first, and groups that this has not brought together are opened in
+   full. Members are bounded one by one in the same way and verified with whole
+   sets.
 
 Nothing is capped: a token in many groups or a group with many members costs
 more pairs of bounds, never a lost link.
@@ -42,8 +45,14 @@ from tessera.sources.tables import table
 MAX_FREQUENT = 2_000_000
 #: A task reports tokens that so many of its own documents have.
 LOCAL = 4
-#: Posted tokens under which a class is linked for grouping, and buckets of the bound.
-LINKS, BUCKETS = 3, 128
+#: Shared tokens under which a class is linked for grouping, and buckets of the bound.
+LINKS, BUCKETS = 4, 128
+#: Pairs of members that are tried before a pair of groups is opened in full.
+PROBES = 8
+#: Members of a group that meet those of another at once.
+BLOCK = 256
+#: The largest count of a bucket; sets that reach it are not bounded but verified.
+MANY = 65_535
 #: Needed documents up to this number are sent to the workers as a sorted array of ids.
 SENT_IDS = 4_000_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -194,12 +203,22 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
             tokens, bins = [], []
             for s in shingler.sets(texts(batch.column(1))):
                 tokens.append(s.tobytes())
-                bins.append(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BUCKETS).astype(np.int32).tobytes())
+                bins.append(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BUCKETS).clip(max=MANY).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary()), pa.array(bins, pa.binary())], ["node", "tokens", "bins"])
 
     return rows.mapInArrow(run, "node long, tokens binary, bins binary")
 
 
+def bucket_counts(packed: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), np.uint16).reshape(-1, BUCKETS).astype(np.int64)
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether bucket counts, row by row, leave room for the overlap that similarity needs."""
+    both = np.minimum(x, y).sum(-1)
+    return ((100 + percent) * both >= percent * (x.sum(-1) + y.sum(-1))) | (np.maximum(x, y) == MANY).any(-1)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar; a pair is dropped before its sets meet if the bucket counts rule it out."""
     left = sets.select(F.col("node").alias("a"), F.col("bins").alias("bins_a"))
@@ -207,9 +226,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.int32).reshape(-1, BUCKETS) for k in (2, 3))
-            keep = 100 * np.minimum(x, y).sum(1) * 2 + 2 * percent * np.minimum(x, y).sum(1) >= 2 * percent * (x.sum(1) + y.sum(1))
-            yield batch.filter(pa.array(keep)).select([0, 1])
+            x, y = (bucket_counts(batch.column(k).to_pylist()) for k in (2, 3))
+            yield batch.filter(pa.array(may_be_similar(x, y, percent))).select([0, 1])
+
+    near = pairs.join(left, "a").join(right, "b").select("a", "b", "bins_a", "bins_b").mapInArrow(bound, "a long, b long")
+    return similar(cut(near, "jaccard-near"), sets, percent)
+
+
+def similar(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,17 +245,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    near = pairs.join(left, "a").join(right, "b").select("a", "b", "bins_a", "bins_b").mapInArrow(bound, "a long, b long")
-    near = cut(near, "jaccard-near")
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
     return near.join(left, "a").join(right, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(exact, "a long, b long").distinct()
 
 
 def grouping_pairs(posted: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of neighbours under the first posted tokens, in orders that differ from token to token."""
+    """Pairs (a, b) of neighbours under a class's first shared tokens, in orders that differ from token to token."""
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("place", "token"))
     order = Window.partitionBy("token").orderBy(F.xxhash64("node", "token"), "node")
-    chain = posted.filter(F.col("place") < LINKS).withColumns({"b": F.lead("node").over(order), "m": F.lead("n").over(order)})
+    chain = posted.withColumn("nth", nth).filter(F.col("nth") <= LINKS).withColumns({"b": F.lead("node").over(order), "m": F.lead("n").over(order)})
     chain = chain.filter(F.col("b").isNotNull() & (F.col("b") != F.col("node")) & fits(F.col("n"), F.col("m"), percent))
     return chain.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
@@ -274,10 +298,18 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
 
     opened = cut(group_pairs(posted, groups, percent), "jaccard-opened")
     sized = classes.select("node", F.col("n_shingles").alias("n")).join(groups, "node", "left").withColumn("g", F.coalesce("component", "node"))
-    pairs = open_groups(opened, sized, percent)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    more = verified(pairs, cut(whole_sets(docs, nodes, n), "jaccard-sets"), percent)
-    final = components(links.unionByName(twice).unionByName(cut(more, "jaccard-links")))
+    sized = cut(sized.select("node", "n", "g"), "jaccard-members")
+    probes = probed_pairs(opened, sized, percent)
+    nodes = probes.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = links.unionByName(cut(verified(probes, cut(whole_sets(docs, nodes, n), "jaccard-sets"), percent), "jaccard-links"))
+    groups = cut(components(links.unionByName(twice)), "jaccard-groups")
+
+    apart = cut(still_apart(opened, groups.select(F.col("node").alias("g"), "component"), sized), "jaccard-apart")
+    some = apart.select(F.explode(F.array("g", "h")).alias("g")).distinct()
+    sets = cut(whole_sets(docs, sized.join(some, "g", "left_semi").select("node"), n), "jaccard-sets")
+    links = links.unionByName(cut(similar(open_groups(apart, sized, sets, percent), sets, percent), "jaccard-links"))
+    groups = components(links.unionByName(twice))
+    final = groups
 
     named = classes.select("sig", "node").join(final, "node", "left").select("sig", F.coalesce("component", "node").alias("c"))
     out = facts.join(named, "sig", "left")
@@ -285,12 +317,53 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("c")).alias("component_id"))
 
 
-def open_groups(opened: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of opened groups whose sizes fit."""
-    mine = sized.select("g", F.col("node").alias("a"), F.col("n").alias("n"))
-    theirs = sized.select(F.col("g").alias("h"), F.col("node").alias("b"), F.col("n").alias("m"))
-    pairs = opened.join(mine, "g").join(theirs, "h").filter(fits(F.col("n"), F.col("m"), percent))
-    return cut(pairs.select("a", "b").distinct(), "jaccard-pairs")
+def probed_pairs(opened: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of each pair of groups: all if there are up to PROBES, else so many by hash; most that belong together meet here."""
+    place = Window.partitionBy("g").orderBy(F.xxhash64("node"), "node")
+    members = sized.withColumns({"i": F.row_number().over(place) - 1, "k": F.count(F.lit(1)).over(Window.partitionBy("g"))})
+    members = cut(members, "jaccard-places")
+    counts = members.filter("i = 0").select("g", "k")
+    rows = opened.join(counts, "g").join(counts.select(F.col("g").alias("h"), F.col("k").alias("k2")), "h")
+    rows = rows.withColumn("t", F.explode(F.sequence(F.lit(1), F.least(F.lit(PROBES), F.col("k") * F.col("k2")).cast("int"))))
+    few = F.col("k") * F.col("k2") <= PROBES
+    i = F.when(few, F.pmod(F.col("t") - 1, F.col("k"))).otherwise(F.pmod(F.xxhash64("g", "h", "t"), F.col("k")))
+    i2 = F.when(few, F.floor((F.col("t") - 1) / F.col("k"))).otherwise(F.pmod(F.xxhash64("t", "h", "g"), F.col("k2")))
+    rows = rows.select("g", "h", i.alias("i"), i2.alias("i2"))
+    mine = members.select("g", "i", F.col("node").alias("a"), "n")
+    theirs = members.select(F.col("g").alias("h"), F.col("i").alias("i2"), F.col("node").alias("b"), F.col("n").alias("m"))
+    pairs = rows.join(mine, ["g", "i"]).join(theirs, ["h", "i2"]).filter(fits(F.col("n"), F.col("m"), percent))
+    return cut(pairs.select("a", "b").distinct(), "jaccard-probes")
+
+
+def still_apart(opened: DataFrame, merged: DataFrame, sized: DataFrame) -> DataFrame:
+    """The pairs of groups that are in different components and have more pairs of members than were tried."""
+    counts = sized.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    many = F.coalesce("k", F.lit(1)) * F.coalesce("k2", F.lit(1)) > PROBES
+    opened = opened.join(counts, "g", "left").join(counts.select(F.col("g").alias("h"), F.col("k").alias("k2")), "h", "left").filter(many)
+    other = merged.select(F.col("g").alias("h"), F.col("component").alias("component2"))
+    named = opened.join(merged, "g", "left").join(other, "h", "left")
+    return named.filter(F.coalesce("component", "g") != F.coalesce("component2", "h")).select("g", "h")
+
+
+def open_groups(opened: DataFrame, sized: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of opened groups that bucket counts leave possible; members meet in blocks of BLOCK."""
+    place = F.row_number().over(Window.partitionBy("g").orderBy("node")) - 1
+    members = sized.select("g", "node").join(sets.select("node", "bins"), "node").withColumn("block", F.floor(place / BLOCK))
+    blocks = members.groupBy("g", "block").agg(F.collect_list("node").alias("nodes"), F.collect_list("bins").alias("bins"))
+    blocks = cut(blocks.select("g", "nodes", "bins"), "jaccard-blocks")
+    theirs = blocks.select(F.col("g").alias("h"), F.col("nodes").alias("nodes2"), F.col("bins").alias("bins2"))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, bins, nodes2, bins2 = batch.columns
+            for r in range(batch.num_rows):
+                a, b = nodes[r].values.to_numpy(), nodes2[r].values.to_numpy()
+                x, y = bucket_counts(bins[r].as_py()), bucket_counts(bins2[r].as_py())
+                hits = [np.flatnonzero(may_be_similar(row[None], y, percent)) for row in x]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, [len(h) for h in hits])), pa.array(b[np.concatenate(hits)])], ["a", "b"])
+
+    rows = opened.join(blocks, "g").join(theirs, "h").select("nodes", "bins", "nodes2", "bins2")
+    return cut(rows.mapInArrow(bound, "a long, b long").distinct(), "jaccard-near")
 
 
 def op9_jaccard(spark, sf_dir: str) -> DataFrame:
@@ -312,8 +385,8 @@ p AS (
   SELECT DISTINCT a.node AS a, b.node AS b FROM x a JOIN x b ON a.v = b.v AND a.node < b.node
   WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
 e AS (
-  SELECT a, b FROM (SELECT a, b, l.n + r.n AS both, len(list_intersect(l.t, r.t)) AS k
-                    FROM p JOIN c l ON l.node = a JOIN c r ON r.node = b) WHERE 100 * k >= 85 * (both - k)),
+  SELECT a, b FROM (SELECT a, b, l.n + r.n AS total, len(list_intersect(l.t, r.t)) AS k
+                    FROM p JOIN c l ON l.node = a JOIN c r ON r.node = b) WHERE 100 * k >= 85 * (total - k)),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT a AS node, b AS other FROM u UNION SELECT reach.node, u.b FROM reach JOIN u ON reach.other = u.a),
 least_of AS (SELECT node, least(node, min(other)) AS component FROM reach GROUP BY node)
