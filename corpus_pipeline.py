@@ -23,6 +23,7 @@ from tessera.llm.jaccard import jaccard_components
 from tessera.llm.language import fit_languages, identify
 from tessera.llm.mixing import mix_documents
 from tessera.llm.substrings import remove_repeats
+from tessera.llm.text import small_batches
 from tessera.sources.shared import cut, fresh_path
 from tessera.sources.tables import table
 
@@ -32,12 +33,14 @@ SENT_IDS = 4_000_000
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is near a language's centroids, learned from their own labels."""
+    small_batches(spark)
     model = fit_languages(docs.select("doc_id", "text", "lang"))
     return identify(docs, model).filter("not rejected").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
+    small_batches(spark)
     found = jaccard_components(docs, n=5, percent=80)
     gone = cut(found.filter("component_id != doc_id").select("doc_id").distinct(), "pipeline-copies")
     return docs.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
@@ -45,6 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that documents with smaller ids have; bytes of a character cut in two go as well."""
+    small_batches(spark)
     done = remove_repeats(docs, as_text=True).withColumn("text", F.col("kept"))
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -56,6 +60,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the decoded text."""
+    small_batches(spark)
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

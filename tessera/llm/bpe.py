@@ -25,7 +25,7 @@ from tessera.llm.text import pieces, texts
 from tessera.sources.tables import table
 
 #: Words of the worker's cache before it starts anew; longer words are not cached.
-CACHE, CACHED_BYTES = 300_000, 64
+CACHE, CACHED_BYTES = 150_000, 64
 #: Symbols merged in one flat array.
 FLAT = 2_000_000
 NONE = np.int32(2**31 - 1)

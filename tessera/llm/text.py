@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -27,6 +28,20 @@ def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of fewer rows from now on: documents are long, and a batch is held on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: workers live on, and their caches stay small beside what a task needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        return
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", mb: int = 8) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` holds about ``mb`` MB in each; a longer single text stays whole."""
     for batch in batches:
@@ -36,3 +51,4 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", mb: int = 8)
         step = max(1, (mb << 20) // mean)
         for i in range(0, batch.num_rows, step):
             yield batch.slice(i, step)
+    give_back()
