@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import arrays as a
 from tessera.operators import factors as fa
 from tessera.operators import graph as g
+from tessera.operators import independence as ind
 from tessera.operators import stats as s
 from tessera.operators import structure as st
 from tessera.plans.registry import Tables, query
@@ -237,3 +238,8 @@ def backdoor_adjustment(x: Tables) -> DataFrame:
 @query(f"SELECT s, p, round(count(*) / (SELECT count(*) FROM {D})::DOUBLE, 6) AS v FROM {D} GROUP BY s, p")
 def joint_distribution(x: Tables) -> DataFrame:
     return rounded(fa.joint(discrete(x), ["s", "p"]))
+
+
+@query(f"WITH d AS {D}, n AS (SELECT s, z, p, count(*) AS o FROM d GROUP BY ALL), f AS (SELECT o, sum(o) OVER (PARTITION BY p) AS n, sum(o) OVER (PARTITION BY s, p) AS rs, sum(o) OVER (PARTITION BY z, p) AS cz FROM n) SELECT round(sum(o * o * n / (rs * cz)::DOUBLE) - (SELECT count(*) FROM d), 6) AS statistic FROM f")
+def test_conditional_chi_square(x: Tables) -> DataFrame:
+    return rounded(s.as_frame(x.orders, ind.stratified(discrete(x), "s", "z", ["p"]))).select("statistic")
