@@ -24,7 +24,8 @@ import json
 import mmap
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -259,24 +260,46 @@ class Levels:
 
 
 class Reader:
-    """Tokens of texts as word hashes, with a memory of words."""
+    """Tokens of texts as places in the worker's list of words, with what the model says about each word.
 
-    def __init__(self) -> None:
+    Place 0 is the end of a text. Hashes, counts, ids and weights are looked up
+    once for each word that is new to the worker.
+    """
+
+    def __init__(self, model: Levels | None = None):
+        self.model = model
+        self._start()
+
+    def _start(self) -> None:
         self.seen: dict[bytes, int] = {}
+        self.hashes, self.count, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.base, self.weight = np.empty(0), np.empty(0, np.uint8)
+        self._add(np.array([END], np.uint64))
+
+    def _add(self, hashes: np.ndarray) -> None:
+        self.hashes = np.concatenate([self.hashes, hashes])
+        if self.model is not None:
+            count, ids = self.model.words(hashes)
+            weight = np.where(ids >= 0, self.model.weights(np.maximum(ids, 0)), 255).astype(np.uint8)
+            self.count, self.ids = np.concatenate([self.count, count]), np.concatenate([self.ids, ids])
+            self.base = np.concatenate([self.base, np.log10(self.model.unigram(count))])
+            self.weight = np.concatenate([self.weight, weight])
 
     def tokens(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all tokens, each text's end included, and the number of tokens of each text."""
+        """Places of all tokens, each text's end included, and the number of tokens of each text."""
         if len(self.seen) > 500_000:
-            self.seen.clear()
+            self._start()
         lists = [x.encode().lower().split() for x in batch]
-        new = set().union(*lists).difference(self.seen)
-        self.seen.update(zip(new, map(xxhash.xxh64_intdigest, new), strict=True))
+        new = list(set().union(*lists).difference(self.seen))
+        if new:
+            first = len(self.seen) + 1
+            self.seen.update(zip(new, range(first, first + len(new)), strict=True))
+            self._add(np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new)))
         sizes = np.array([len(x) + 1 for x in lists], np.int64)
-        flat = np.full(sizes.sum(), END, np.uint64)
+        flat = np.zeros(sizes.sum(), np.int64)
         inside = np.ones(len(flat), bool)
         inside[np.cumsum(sizes) - 1] = False
-        get = self.seen.__getitem__
-        flat[inside] = np.fromiter((get(w) for x in lists for w in x), np.uint64, int(inside.sum()))
+        flat[inside] = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(lists)), np.int64, int(inside.sum()))
         return flat, sizes
 
 
@@ -312,11 +335,11 @@ class _Counted:
                 yield k[a : a + 200_000], n[a : a + 200_000]
 
 
-def _counts(docs: DataFrame, keys, schema: str) -> DataFrame:
-    """Summed counts of the keys that ``keys(reader, batch)`` gives: one or two unsigned columns as longs."""
+def _counts(docs: DataFrame, keys: Callable, model=None) -> DataFrame:
+    """(key, n): summed counts of the keys that ``keys(reader, batch)`` gives; ``model`` is a broadcast the readers look words up in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, counted = Reader(), _Counted()
+        reader, counted = Reader(model.value if model is not None else None), _Counted()
         rows = lambda k, n: pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["key", "n"])
         for batch in pieces(batches, mb=4):
             for k, n in counted.add(keys(reader, texts(batch.column(0)))):
@@ -324,7 +347,7 @@ def _counts(docs: DataFrame, keys, schema: str) -> DataFrame:
         for k, n in counted.flush():
             yield rows(k, n)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _shards(built: DataFrame, n: int) -> tuple[list[str | None], list]:
@@ -336,7 +359,11 @@ def fit(docs: DataFrame, min_word: int = MIN_WORD, min_bigram: int = MIN_BIGRAM,
     """The model of the texts of ``docs``; null texts are empty."""
     spark = docs.sparkSession
     folder = fresh_path(spark, "trie")
-    unigrams = cut(_counts(docs, lambda reader, batch: reader.tokens(batch)[0], "key long, n long"), "trie-words")
+    def word_keys(reader: Reader, batch: list[str]) -> np.ndarray:
+        flat = reader.tokens(batch)[0]
+        return reader.hashes[flat]
+
+    unigrams = cut(_counts(docs, word_keys), "trie-words")
     n0 = 1 + unigrams.count() // shard
 
     def words(key: tuple, group: pa.Table) -> pa.Table:
@@ -357,16 +384,14 @@ def fit(docs: DataFrame, min_word: int = MIN_WORD, min_bigram: int = MIN_BIGRAM,
 
     def word_ids(reader: Reader, batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         flat, sizes = reader.tokens(batch)
-        distinct, back = np.unique(flat, return_inverse=True)
-        ids = sent.value.words(distinct)[1][back]
-        return ids, *contexts(flat, sizes)
+        return reader.ids[flat], *contexts(flat, sizes)
 
     def bigram_keys(reader: Reader, batch: list[str]) -> np.ndarray:
         ids, before, _, _ = word_ids(reader, batch)
         keep = (ids >= 0) & (ids[before] >= 0)
         return (ids[before][keep] * np.int64(sent.value.ids) + ids[keep]).view(np.uint64)
 
-    pairs = cut(_counts(docs, bigram_keys, "key long, n long").filter(F.col("n") >= min_bigram), "trie-bigrams")
+    pairs = cut(_counts(docs, bigram_keys, sent).filter(F.col("n") >= min_bigram), "trie-bigrams")
     total = pairs.count()
     n2 = 1 + total // shard
     ids = model.ids
@@ -405,7 +430,7 @@ def fit(docs: DataFrame, min_word: int = MIN_WORD, min_bigram: int = MIN_BIGRAM,
         at, s = before[keep], w[second_before[keep]] % n2
         return ((place[at] * np.int64(m.fanout) + among[keep]) * n2 + s).view(np.uint64)
 
-    triples = cut(_counts(docs, trigram_keys, "key long, n long").filter(F.col("n") >= min_trigram), "trie-trigrams")
+    triples = cut(_counts(docs, trigram_keys, second_sent).filter(F.col("n") >= min_trigram), "trie-trigrams")
 
     def third(key: tuple, group: pa.Table) -> pa.Table:
         s = key[0].as_py()
@@ -439,13 +464,10 @@ def looked_up(m: Levels, w1: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np
     return tuple(out)
 
 
-def log10_tokens(m: Levels, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Count, log10 P1 and the model's log10 P of each token."""
-    distinct, back = np.unique(flat, return_inverse=True)
-    count, ids = m.words(distinct)
-    base = np.log10(m.unigram(count))[back]
-    weight, w = m.weights(np.maximum(ids, 0)), ids[back]
-    weight = np.where(ids >= 0, weight, 255).astype(np.uint8)[back]
+def log10_tokens(reader: Reader, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count, log10 P1 and the model's log10 P of each token of a reader with a model."""
+    m = reader.model
+    base, weight, w = reader.base[flat], reader.weight[flat], reader.ids[flat]
     before, second_before, _ = contexts(flat, sizes)
     place, among, p, _ = looked_up(m, w[before], w)
     two = np.where(p < 255, log10_of(p), base + np.where(weight[before] < 255, log10_of(weight[before]), 0.0))
@@ -454,7 +476,7 @@ def log10_tokens(m: Levels, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.nda
     p, inner = m.trigrams(w[second_before[deep]], place[before[deep]], among[deep])
     three = two.copy()
     three[deep] = np.where(p < 255, log10_of(p), two[deep] + np.where(inner < 255, log10_of(inner), 0.0))
-    return count[back], base, three
+    return reader.count[flat], base, three
 
 
 def score(docs: DataFrame, model: Levels) -> DataFrame:
@@ -468,11 +490,11 @@ def score(docs: DataFrame, model: Levels) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
+        reader = Reader(sent.value)
         for batch in pieces(batches, mb=4):
             flat, sizes = reader.tokens(texts(batch.column(1)))
             first = np.cumsum(sizes) - sizes
-            count, base, full = log10_tokens(sent.value, flat, sizes)
+            count, base, full = log10_tokens(reader, flat, sizes)
             known = np.add.reduceat((count > 0).astype(np.int64), first)
             columns = [sizes, known, np.full(len(sizes), sent.value.tokens), np.add.reduceat(base, first), np.add.reduceat(full, first)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
