@@ -38,8 +38,8 @@ from tessera.llm.text import crc_mod, pieces, texts
 from tessera.sources.shared import cut, fresh_path
 from tessera.sources.tables import table
 
-#: Least counts of words with an id, of kept bigrams and trigrams, and of bigrams that are contexts.
-MIN_WORD, MIN_BIGRAM, MIN_TRIGRAM, MIN_CONTEXT = 64, 3, 3, 16
+#: Least counts of words with an id and of kept bigrams and trigrams. Equal, so that a kept n-gram's parts are kept.
+MIN_WORD, MIN_BIGRAM, MIN_TRIGRAM = 2, 2, 2
 #: Discounts of bigrams and trigrams; entries of a shard.
 D2, D3, SHARD = 0.9, 0.9, 1_000_000
 END = xxhash.xxh64_intdigest(b" end ")  # no word holds a space
@@ -355,8 +355,8 @@ def _shards(built: DataFrame, n: int) -> tuple[list[str | None], list]:
     return [rows[s].path if s in rows else None for s in range(n)], list(rows.values())
 
 
-def fit(docs: DataFrame, min_word: int = MIN_WORD, min_bigram: int = MIN_BIGRAM, min_trigram: int = MIN_TRIGRAM, min_context: int = MIN_CONTEXT, shard: int = SHARD) -> Levels:
-    """The model of the texts of ``docs``; null texts are empty."""
+def fit(docs: DataFrame, min_word: int = MIN_WORD, min_bigram: int = MIN_BIGRAM, min_trigram: int = MIN_TRIGRAM, min_context: int = 1, shard: int = SHARD) -> Levels:
+    """The model of the texts of ``docs``; null texts are empty. Bigrams of fewer than ``min_context`` hits are no contexts."""
     spark = docs.sparkSession
     folder = fresh_path(spark, "trie")
     def word_keys(reader: Reader, batch: list[str]) -> np.ndarray:
@@ -373,7 +373,7 @@ def fit(docs: DataFrame, min_word: int = MIN_WORD, min_bigram: int = MIN_BIGRAM,
         h, c = h[by], c[by]
         often = c >= min_word
         ids = np.where(often, (np.cumsum(often) - 1) * n0 + s, -1)
-        path = write_level(folder, {"hash": h, "count": c, "id": ids})
+        path = write_level(folder, {"hash": h, "count": c, "id": ids, "often": c[often]})
         return pa.Table.from_pydict({"shard": [s], "path": [path], "tokens": [int(c.sum())], "distinct": [len(h)], "ids": [int(often.sum())]})
 
     deal = (F.shiftrightunsigned("key", 1) % n0).alias("s")
@@ -513,16 +513,11 @@ def op7_lm_scores(spark, sf_dir: str) -> DataFrame:
 
 def _count_of_ids(m: Levels, n0: int):
     """Counts of words by id: the id's remainder names the shard, its quotient the rank among the shard's words with an id."""
-    known: dict[int, np.ndarray] = {}
-
     def count(ids: np.ndarray) -> np.ndarray:
         out = np.empty(len(ids), np.int64)
         for s in np.unique(ids % n0).tolist():
-            a = m.level("words", s)
-            if s not in known:
-                known[s] = a["count"][np.flatnonzero(a["id"] >= 0)]
             own = np.flatnonzero(ids % n0 == s)
-            out[own] = known[s][ids[own] // n0]
+            out[own] = m.level("words", s)["often"][ids[own] // n0]
         return out
 
     return count

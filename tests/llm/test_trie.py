@@ -86,3 +86,18 @@ def test_nothing_to_learn(spark):
     got = score(docs, fit(docs.limit(0))).collect()
     assert [(x.n_known, x.train_tokens) for x in got] == [(0, 0), (0, 0)]
     assert score(docs.limit(0), fit(docs)).count() == 0
+
+
+def test_every_repeated_ngram_counts(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(f"c{r.randint(0, 40)}" for _ in range(30))) for i in range(60)]
+    rows += [(100 + k, "seven quiet herons crossed our frozen canal") for k in range(2)] + [(200, "our frozen seven herons canal crossed quiet")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = docs.filter("doc_id < 200")
+    of = brute([t for i, t in rows if i < 200], 2, 2, 2, 1)
+    got = {x.doc_id: x for x in score(docs, fit(train)).collect()}
+    for i, t in rows:
+        want = of(t)
+        assert got[i].base_score == pytest.approx(want[3], abs=1e-9)
+        assert got[i].score == pytest.approx(want[4], abs=0.06 * got[i].n_tokens), i
+    assert got[100].score > got[100].base_score + 10 and got[100].score > got[200].score + 10
