@@ -124,6 +124,14 @@ def gram_matrix(x: Tables) -> DataFrame:
     return rounded(a.matmul(m, a.transpose(m)), 5)
 
 
+@query("""WITH m AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings)
+SELECT a.k::INT AS i0, b.k::INT AS i1, round(sum(a.x * b.x), 5) AS v FROM m a JOIN m b USING (vec_id) GROUP BY 1, 2""")
+def gram_matrix_columns(x: Tables) -> DataFrame:
+    """The product of the transpose and the matrix over all rows: dim x dim cells, whatever the number of rows."""
+    m = x.embeddings.select(C("vec_id").alias("i0"), F.posexplode("embedding").alias("i1", "v")).withColumn("v", C("v").cast("double"))
+    return rounded(a.matmul(a.transpose(m), m), 5)
+
+
 @query("SELECT (k - 1)::INT AS i1, round(avg(v), 6) AS v FROM (SELECT unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY 1")
 def array_column_means(x: Tables) -> DataFrame:
     m = x.embeddings.select(C("vec_id").alias("i0"), F.posexplode("embedding").alias("i1", "v")).withColumn("v", C("v").cast("double"))
