@@ -412,6 +412,17 @@ def string_functions(x: Tables) -> DataFrame:
     )
 
 
+@query("""SELECT doc_id, md5(lower(text)) AS lo, length(lower(text))::INT AS lo_chars, md5(replace(text, 'th', 'TH')) AS rep, octet_length(encode(replace(text, 'th', 'THE')))::INT AS rep_bytes,
+          len(string_split(text, '. '))::INT AS sentences FROM documents""")
+def string_functions_whole(x: Tables) -> DataFrame:
+    """lower, replace and split over whole texts, long results as digests and lengths."""
+    c = C("text")
+    return x.documents.select(
+        "doc_id", F.md5(strings.lower(c)).alias("lo"), F.length(strings.lower(c)).alias("lo_chars"), F.md5(strings.replace(c, "th", "TH")).alias("rep"),
+        strings.byte_length(strings.replace(c, "th", "THE")).alias("rep_bytes"), F.size(strings.split(c, ". ")).alias("sentences"),
+    )
+
+
 @query("SELECT c_custkey, substr(c_name, 1, 4) AS front, substr(c_name, -4) AS back, trim(concat(' ', c_mktsegment, '  ')) AS seg FROM customer")
 def string_slices(x: Tables) -> DataFrame:
     return x.customer.select("c_custkey", strings.byte_slice(C("c_name"), 0, 4).alias("front"), strings.byte_slice(C("c_name"), -4, 0).alias("back"), strings.strip(F.concat(F.lit(" "), "c_mktsegment", F.lit("  "))).alias("seg"))

@@ -20,3 +20,13 @@ def test_gram_matrix_sums_over_every_row(spark):
     rows = [r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     assert len(rows) > 8 and len(got) == len(rows[0]) ** 2
     assert got[0, 1] == pytest.approx(sum(x[0] * x[1] for x in rows), abs=2e-5)
+
+
+def test_string_functions_read_whole_texts(spark):
+    got = sorted(map(tuple, QUERIES["string_functions_whole"](spark, SF).collect()))
+    assert got == sorted(asked("string_functions_whole", "documents"))
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert max(map(len, text.values())) > 60
+    for doc_id, _, n_chars, _, n_bytes, sentences in got:
+        x = text[doc_id]
+        assert (n_chars, n_bytes, sentences) == (len(x.lower()), len(x.replace("th", "THE").encode()), len(x.split(". ")))
