@@ -1,11 +1,13 @@
 """Quality rules: counts of words and repetition, and perplexity bands of each language.
 
-The language model is a character n-gram model with modified Kneser-Ney
-smoothing (interpolated, three discounts an order). Characters fall into 32
-classes, so a language has at most 32**4 n-grams, whatever the corpus. Spark
-counts them over all documents: each task sums up its own before one small
-shuffle. The estimates stand in sorted arrays of 64-bit hashes, which are found
-by binary search and sent to the workers.
+The language model has n-grams of five characters as they are (code points) with
+modified Kneser-Ney smoothing (interpolated, three discounts an order). Spark
+counts them over all documents and derives the lower orders by aggregates and
+joins, so the model grows with the corpus at one order. As the documents scored
+are those counted, each occurrence has the estimate of the counts without itself;
+else a junk text would be predicted from its own n-grams. The estimates lie in
+sorted arrays of 64-bit hashes, in shards that workers map from the shared
+folder and search by bisection.
 
 A document's perplexity is that of its words: exp(-ln P(text) / words).
 Of each language, the logarithms' quartiles q1 and q3 give the band from
@@ -16,21 +18,24 @@ too surprising or too predictable, are rejected.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.text import pieces, texts
-from tessera.sources.shared import cut
+from tessera.llm.trie import map_level, write_level
+from tessera.sources.shared import cut, fresh_path
 from tessera.sources.tables import table
 
-BITS, ORDER = 5, 4
-#: Model entries that may be sent to the workers; more languages than fit lower the order.
-MAX_ENTRIES = 8_000_000
+#: Bits of a character class in :class:`KneserNey`, which holds small models in memory; characters of an n-gram of the corpus model.
+BITS, ORDER = 5, 5
+#: Entries of a shard; places of a worker's memo.
+SHARD, MEMO = 1_000_000, 1 << 21
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\v\f\r"
 
@@ -84,7 +89,12 @@ def hashes(language: int, order: int, codes: np.ndarray) -> np.ndarray:
 
 def discounts(counts: np.ndarray) -> np.ndarray:
     """Discounts of counts 0, 1, 2 and 3 or more by the counts of counts."""
-    n = np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)[1:5].astype(float)
+    return discounts_of(np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)[1:5])
+
+
+def discounts_of(n: np.ndarray) -> np.ndarray:
+    """As :func:`discounts`, from the numbers of counts 1, 2, 3 and 4."""
+    n = np.asarray(n, float)
     if not n.all():
         return np.array([0.0, 0.5, 0.5, 0.5])
     y = n[0] / (n[0] + 2 * n[1])
@@ -175,40 +185,194 @@ def text_facts(text: str) -> tuple[int, int, int, int, int]:
     )
 
 
-def count_ngrams(docs: DataFrame, order: int) -> DataFrame:
-    """(lang, code, n): n-grams of the highest order over all documents."""
+def spread(x: np.ndarray) -> np.ndarray:
+    """A one-to-one mix of 64 bits."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def seed(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(lang.encode()))
+
+
+def gram_hashes(chars: Sequence[np.ndarray], seeds: np.ndarray | np.uint64) -> np.ndarray:
+    """Hashes of n-grams from their five code points of 21 bits and their language's seed."""
+    a, b, c, d, e = (x.astype(np.uint64) for x in chars)
+    by = np.uint64(21)
+    first = spread(((a << by | b) << by | c) ^ seeds)
+    with np.errstate(over="ignore"):
+        return spread(first + (d << by | e))
+
+
+def gram_places(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the texts behind blanks, where the n-gram that ends at each character begins, and the texts' lengths."""
+    pad = " " * (ORDER - 1)
+    flat = np.frombuffer((pad + pad.join(batch)).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(x) for x in batch], np.int64)
+    return flat, np.arange(sizes.sum()) + np.repeat((ORDER - 1) * np.arange(len(batch)), sizes), sizes
+
+
+def by_language(batch: pa.RecordBatch, text: int, lang: int) -> Iterator[tuple[str, np.ndarray, list[str]]]:
+    """Each language of a batch, its rows and their texts."""
+    whole, names = texts(batch.column(text)), batch.column(lang).to_pylist()
+    own: dict[str, list[int]] = {}
+    for i, name in enumerate(names):
+        own.setdefault(name, []).append(i)
+    for name, at in own.items():
+        yield name, np.array(at), [whole[i] for i in at]
+
+
+def count_ngrams(docs: DataFrame) -> DataFrame:
+    """(lang, gram, n): n-grams over all documents; a gram is its code points, four bytes each."""
+
+    def summed(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, grams, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        return keys[first], grams[first], np.bincount(back, n).astype(np.int64)
+
+    def rows(lang: str, part: tuple) -> Iterator[pa.RecordBatch]:
+        _, grams, n = part
+        for a in range(0, len(n), 100_000):
+            own = np.ascontiguousarray(grams[a : a + 100_000])
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * ORDER), len(own), [None, pa.py_buffer(own.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), packed.cast(pa.binary()), pa.array(n[a : a + 100_000])], ["lang", "gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        held: dict[str, list[tuple]] = {}
+        size = 0
         for batch in pieces(batches, mb=4):
-            by: dict[str, list[str]] = {}
-            for lang, text in zip(batch.column(1).to_pylist(), texts(batch.column(0)), strict=True):
-                by.setdefault(lang, []).append(text)
-            for lang, group in by.items():
-                n = sums.setdefault(lang, np.zeros(1 << BITS * order, np.int64))
-                n += np.bincount(ngram_codes(group, order)[0], minlength=len(n))
-        for lang, n in sums.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "code", "n"])
-
-    got = docs.select("text", "lang").mapInArrow(run, "lang string, code int, n long")
-    return got.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-
-def fit_perplexity(docs: DataFrame) -> KneserNey:
-    """The model of ``docs`` (text, lang without nulls); the order falls from 4 while the counts are too many to send."""
-    for order in range(ORDER, 0, -1):
-        counts = cut(count_ngrams(docs, order), "kn-counts")
-        if counts.count() <= MAX_ENTRIES or order == 1:
-            break
-    got = counts.toArrow()
-    lang, code, n = (got.column(c).to_numpy() for c in ("lang", "code", "n"))
-    counted = {}
-    for name in sorted(set(lang)):
-        own = lang == name
-        at = np.argsort(code[own])
-        counted[name] = (code[own][at].astype(np.uint32), n[own][at])
-    return KneserNey.fit(order, counted)
+            for lang, _, group in by_language(batch, 0, 1):
+                flat, at, _ = gram_places(group)
+                h = gram_hashes([flat[at + k] for k in range(ORDER)], seed(lang))
+                order = np.argsort(h)
+                h = h[order]
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+                where = at[order[first]]
+                held.setdefault(lang, []).append((h[first], flat[where[:, None] + np.arange(ORDER)], np.diff(np.append(first, len(h)))))
+                size += len(first)
+            if size > 2_000_000:
+                held = {lang: [summed(parts)] for lang, parts in held.items()}
+                size = sum(len(parts[0][0]) for parts in held.values())
+                if size > 1_000_000:
+                    for lang, parts in held.items():
+                        yield from rows(lang, parts[0])
+                    held, size = {}, 0
+        for lang, parts in held.items():
+            yield from rows(lang, summed(parts))
+
+    got = docs.select("text", "lang").mapInArrow(run, "lang string, gram binary, n long")
+    return got.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def left_out(docs: DataFrame) -> DataFrame:
+    """(lang, gram, q): the Kneser-Ney probability of each n-gram's last character without one occurrence of the n-gram.
+
+    The occurrence leaves the count of the n-gram and, where it is the only one,
+    the number of different characters before its last four, and so on down.
+    """
+    spark = docs.sparkSession
+    levels = [cut(count_ngrams(docs), "kn-counts")]
+    for k in range(ORDER - 1, 0, -1):
+        below = levels[-1].groupBy("lang", F.substring("gram", 5, 4 * k).alias("gram"))
+        levels.append(cut(below.agg(F.count(F.lit(1)).alias("n")), "kn-counts"))
+    low = None
+    for k, level in enumerate(reversed(levels), 1):
+        of = level.groupBy("lang").agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()
+        ds = spark.createDataFrame([(r[0], *map(float, discounts_of(r[1:])[1:])) for r in of], "lang string, d1 double, d2 double, d3 double")
+        d = lambda c: F.when(c <= 0, 0.0).when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
+        n, total, mass = F.col("n"), F.col("total"), F.col("mass")
+        rows = level.join(F.broadcast(ds), "lang").withColumn("context", F.substring("gram", 1, 4 * (k - 1)))  # one row for each language
+        rows = rows.join(rows.groupBy("lang", "context").agg(F.sum(n).alias("total"), F.sum(d(n)).alias("mass")), ["lang", "context"])
+        if low is None:
+            rows = rows.withColumns({"lp": F.lit(1 / 0x110000), "lq": F.lit(1 / 0x110000)})
+        else:
+            rows = rows.withColumn("rest", F.substring("gram", 5, 4 * (k - 1)))
+            rows = rows.join(low.select("lang", F.col("gram").alias("rest"), F.col("p").alias("lp"), F.col("q").alias("lq")), ["lang", "rest"])
+        p = (n - d(n)) / total + mass / total * F.col("lp")
+        lower = F.when(n == 1, F.col("lq")).otherwise(F.col("lp"))
+        q = (n - 1 - d(n - 1)) / (total - 1) + (mass - d(n) + d(n - 1)) / (total - 1) * lower
+        low = cut(rows.select("lang", "gram", p.alias("p"), F.when(total == 1, lower).otherwise(q).alias("q")), "kn-level")
+    return low.select("lang", "gram", "q")
+
+
+class Estimates:
+    """ln q of n-grams by hash in shards, mapped when first needed, with a worker's memo."""
+
+    def __init__(self, paths: list[str | None]):
+        self.paths = paths
+        self._start()
+
+    def _start(self) -> None:
+        self.opened: dict[int, dict[str, np.ndarray]] = {}
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+
+    def __getstate__(self):
+        return {"paths": self.paths}
+
+    def __setstate__(self, state):
+        self.paths = state["paths"]
+        self._start()
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Values of distinct hashes; every n-gram of a counted text is there."""
+        out = np.full(len(keys), np.nan, np.float32)
+        shard = (keys >> np.uint64(1)).astype(np.int64) % max(len(self.paths), 1)
+        for s in np.unique(shard).tolist():
+            if self.paths[s] is None:
+                continue
+            if s not in self.opened:
+                self.opened[s] = map_level(self.paths[s])
+            a, own = self.opened[s], np.flatnonzero(shard == s)
+            at = np.minimum(np.searchsorted(a["hash"], keys[own]), len(a["hash"]) - 1)
+            hit = a["hash"][at] == keys[own]
+            out[own[hit]] = a["value"][at[hit]]
+        if np.isnan(out).any():
+            raise ValueError("a text has n-grams that were not counted: the documents changed between two reads")
+        return out
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Values of hashes that repeat."""
+        if not len(self.keys):
+            self.keys, self.values = np.zeros(MEMO, np.uint64), np.full(MEMO, np.nan, np.float32)
+        place = (keys & np.uint64(MEMO - 1)).astype(np.int64)
+        out = self.values[place]
+        new = np.flatnonzero((self.keys[place] != keys) | np.isnan(out))
+        if len(new):
+            distinct, back = np.unique(keys[new], return_inverse=True)
+            found = self.find(distinct)
+            out[new] = found[back]
+            place, last = np.unique((distinct & np.uint64(MEMO - 1)).astype(np.int64), return_index=True)
+            self.keys[place], self.values[place] = distinct[last], found[last]
+        return out
+
+
+def fit_perplexity(docs: DataFrame, shard: int = SHARD) -> Estimates:
+    """The model of ``docs`` (text, lang without nulls)."""
+    folder = fresh_path(docs.sparkSession, "kn")
+    grams = left_out(docs)
+    n = 1 + grams.count() // shard
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seeds: dict[str, np.uint64] = {}
+            names = batch.column(0).to_pylist()
+            for x in set(names):
+                seeds[x] = seed(x)
+            chars = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, ORDER)
+            h = gram_hashes(chars.T, np.array([seeds[x] for x in names], np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(2)], ["key", "v"])
+
+    def write(key: tuple, group: pa.Table) -> pa.Table:
+        h, v = group.column("key").to_numpy().view(np.uint64), group.column("v").to_numpy()
+        by = np.argsort(h)
+        return pa.Table.from_pydict({"shard": [key[0].as_py()], "path": [write_level(folder, {"hash": h[by], "value": v[by]})]})
+
+    rows = grams.select("lang", "gram", F.ln("q").cast("float").alias("v")).mapInArrow(keyed, "key long, v float")
+    rows = rows.withColumn("s", F.shiftrightunsigned("key", 1) % n).groupBy("s").applyInArrow(write, "shard long, path string")
+    paths = {r.shard: r.path for r in rows.collect()}
+    return Estimates([paths.get(s) for s in range(n)])
 
 
 def score_quality(docs: DataFrame, min_words: int = 50, max_repeat: int = 50, width: float = 3.0, slack: float = 0.1) -> DataFrame:
@@ -225,21 +389,14 @@ def score_quality(docs: DataFrame, min_words: int = 50, max_repeat: int = 50, wi
     model = spark.sparkContext.broadcast(fit_perplexity(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kn: KneserNey = model.value
-        place = {x: i for i, x in enumerate(kn.languages)}
-        memo: dict[int, np.ndarray] = {}
+        estimates: Estimates = model.value
         for batch in pieces(batches, mb=4):
             whole = texts(batch.column(1))
             total = np.zeros(len(whole))
-            lang = np.array([place.get(x, 0) for x in batch.column(2).to_pylist()])
-            for i in set(lang.tolist()):
-                own = np.flatnonzero(lang == i)
-                codes, sizes = ngram_codes([whole[k] for k in own], kn.order)
-                known = memo.setdefault(i, np.full(1 << BITS * kn.order, np.nan, np.float32))
-                new = np.unique(codes[np.isnan(known[codes])])
-                if len(new):
-                    known[new] = kn.log_p(i, new)
-                sums = np.concatenate([[0.0], np.cumsum(known[codes], dtype=float)])
+            for lang, own, group in by_language(batch, 1, 2):
+                flat, at, sizes = gram_places(group)
+                known = estimates.of(gram_hashes([flat[at + k] for k in range(ORDER)], seed(lang)))
+                sums = np.concatenate([[0.0], np.cumsum(known, dtype=float)])
                 ends = np.cumsum(sizes)
                 total[own] = sums[ends] - sums[ends - sizes]
             facts = np.array([text_facts(x) for x in whole], np.int64).T

@@ -76,3 +76,47 @@ def test_frames(spark):
         assert not (r.kept and r.base_failed)
     assert score_quality(docs.limit(0)).count() == 0
     assert score_quality(docs.filter("doc_id = 50")).first().perplexity is None
+
+
+def test_estimates_leave_each_occurrence_out(spark):
+    from tessera.llm.quality import ORDER, left_out
+
+    texts = ["the cat sat on the mat. The rat ate that hat", "\U0001f600\U0001f601 abc ж Ж a 1 2", "the cat sat", ""]
+    grams = Counter(tuple((" " * (ORDER - 1) + t)[i : i + ORDER]) for t in texts for i in range(len(t)))
+
+    def levels_of(counts):
+        levels = [counts]
+        for _ in range(ORDER - 1):
+            levels.append(Counter(g[1:] for g in levels[-1]))
+        return levels[::-1]
+
+    d = [discounts(np.array(list(x.values()))) for x in levels_of(grams)]
+
+    def p(levels, g):
+        if not g:
+            return 1 / 0x110000
+        dd = d[len(g) - 1]
+        after = [n for h, n in levels[len(g) - 1].items() if h[:-1] == g[:-1]]
+        if not after:
+            return p(levels, g[1:])
+        n = levels[len(g) - 1].get(g, 0)
+        return (n - dd[min(n, 3)]) / sum(after) + sum(dd[min(x, 3)] for x in after) / sum(after) * p(levels, g[1:])
+
+    docs = spark.createDataFrame([(t, "=en") for t in texts], "text string, lang string")
+    got = {tuple(bytes(r.gram).decode("utf-32-le")): r.q for r in left_out(docs).collect()}
+    assert got.keys() == grams.keys()
+    for g in grams:
+        assert np.isclose(got[g], p(levels_of(Counter({h: n - (h == g) for h, n in grams.items() if n > (h == g)})), g), rtol=1e-9), g
+
+
+def test_junk_of_ordinary_shape_leaves_the_band(spark):
+    import random
+
+    r = random.Random(3)
+    words = ["".join(r.choices("етаоинрслвкдмпу", k=r.randint(3, 8))) for _ in range(60)]
+    rows = [(i, " ".join(r.choices(words, k=80)), "ru") for i in range(120)]
+    # small letters 26 code points apart, which no other text has
+    rows.append((500, rows[0][1].translate({c: c + 26 for c in range(0x430, 0x446)}), "ru"))
+    got = {x.doc_id: x for x in score_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not got[500].base_failed and not got[500].kept
+    assert got[500].perplexity > 10 * got[0].perplexity and sum(got[i].kept for i in range(120)) > 100
