@@ -119,11 +119,15 @@ def structural_distance(a: Dag, b: Dag) -> int:
     return sum({e for e in a.edges if frozenset(e) == p} != {e for e in b.edges if frozenset(e) == p} for p in pairs)
 
 
-def pc(data: DataFrame, variables: Sequence[str], alpha: float = 0.05, max_given: int = 2) -> tuple[set[tuple[str, str]], set[frozenset[str]]]:
-    """Directed and undirected edges by the PC algorithm with chi-square tests: skeleton, colliders, two Meek rules."""
+def pc(data: DataFrame, variables: Sequence[str], alpha: float = 0.05, max_given: int | None = None) -> tuple[set[tuple[str, str]], set[frozenset[str]]]:
+    """Directed and undirected edges by the PC algorithm with chi-square tests: skeleton, colliders, two Meek rules.
+
+    Conditioning sets grow while a node has neighbours enough, up to ``max_given`` if given.
+    """
     near = {v: set(variables) - {v} for v in variables}
     apart: dict[frozenset[str], set[str]] = {}
-    for k in range(max_given + 1):
+    k = 0
+    while (max_given is None or k <= max_given) and any(len(n) > k for n in near.values()):
         for a, b in combinations(sorted(variables), 2):
             if b not in near[a]:
                 continue
@@ -133,6 +137,7 @@ def pc(data: DataFrame, variables: Sequence[str], alpha: float = 0.05, max_given
                     near[b].discard(a)
                     apart[frozenset((a, b))] = set(z)
                     break
+        k += 1
     arrows: set[tuple[str, str]] = set()
     for c in sorted(variables):
         for a, b in combinations(sorted(near[c]), 2):

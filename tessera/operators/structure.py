@@ -79,9 +79,10 @@ def chow_liu(data: DataFrame, variables: Sequence[str], root: str | None = None)
     return out
 
 
-def hill_climb(data: DataFrame, variables: Sequence[str], score: str = "bic", max_parents: int = 3) -> list[tuple[str, str]]:
-    """Greedy edge additions, removals and reversals while the score rises; family scores are kept."""
+def hill_climb(data: DataFrame, variables: Sequence[str], score: str = "bic", max_parents: int | None = None) -> list[tuple[str, str]]:
+    """Greedy edge additions, removals and reversals while the score rises; family scores are kept. No node gets more than ``max_parents``, if given."""
     known: dict[tuple, float] = {}
+    most = len(variables) if max_parents is None else max_parents
 
     def local(v: str, parents: frozenset[str]) -> float:
         if (v, parents) not in known:
@@ -111,9 +112,9 @@ def hill_climb(data: DataFrame, variables: Sequence[str], score: str = "bic", ma
                 if a in parents[b]:
                     cut = local(b, parents[b] - {a}) - local(b, parents[b])
                     options = [(cut, {b: parents[b] - {a}})]
-                    if len(parents[a]) < max_parents and not reaches(a, b, (a, b)):
+                    if len(parents[a]) < most and not reaches(a, b, (a, b)):
                         options.append((cut + local(a, parents[a] | {b}) - local(a, parents[a]), {b: parents[b] - {a}, a: parents[a] | {b}}))
-                elif len(parents[b]) < max_parents and not reaches(b, a):
+                elif len(parents[b]) < most and not reaches(b, a):
                     options = [(local(b, parents[b] | {a}) - local(b, parents[b]), {b: parents[b] | {a}})]
                 else:
                     continue

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from tessera.operators.independence import Dag, partial_correlation, pc, stratified, structural_distance
+from tessera.operators.structure import hill_climb
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +53,24 @@ def test_graph_criteria():
 def test_pc_finds_the_collider(data):
     arrows, open_ = pc(data, ["a", "b", "c", "d"], alpha=0.01)
     assert {("a", "c"), ("b", "c"), ("c", "d")} == arrows and not open_
+
+
+@pytest.fixture(scope="module")
+def causes(spark):
+    """Four independent coins; x and y hear the first three, w all four."""
+    r = np.random.default_rng(6)
+    z = r.integers(0, 2, (6000, 4))
+    heard = lambda s, top: (r.random(6000) < 0.04 + 0.92 * s / top).astype(int)
+    rows = np.column_stack([z, heard(z[:, :3].sum(1), 3), heard(z[:, :3].sum(1), 3), heard(z.sum(1), 4)])
+    return spark.createDataFrame([tuple(map(int, v)) for v in rows], "a int, b int, c int, d int, x int, y int, w int").coalesce(1).cache()
+
+
+def test_pc_separates_by_three(causes):
+    arrows, open_ = pc(causes, ["a", "b", "c", "x", "y"], alpha=0.001)
+    assert arrows == {(p, v) for p in "abc" for v in "xy"} and not open_
+    short, more = pc(causes, ["a", "b", "c", "x", "y"], alpha=0.001, max_given=2)
+    assert frozenset("xy") in {frozenset(e) for e in short | more}
+
+
+def test_hill_climb_finds_four_parents(causes):
+    assert hill_climb(causes, ["a", "b", "c", "d", "w"]) == [(p, "w") for p in "abcd"]
