@@ -185,6 +185,50 @@ def graph_density(x: Tables) -> DataFrame:
     return rounded(g.density(trade(x)))
 
 
+# the same over every row of lineitem: goods go from parts (3k) to suppliers (3k + 1) to customers (3k + 2)
+
+FLOW = "(SELECT 3 * l_partkey AS src, 3 * l_suppkey + 1 AS dst FROM lineitem UNION SELECT 3 * l_suppkey + 1, 3 * o_custkey + 2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+NATIONS = "(SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey)"
+
+
+def flow(x: Tables) -> DataFrame:
+    part, supplier, customer = C("l_partkey") * 3, C("l_suppkey") * 3 + 1, C("o_custkey") * 3 + 2
+    sold = x.lineitem.join(x.orders, C("l_orderkey") == C("o_orderkey")).select(supplier.alias("src"), customer.alias("dst"))
+    return x.lineitem.select(part.alias("src"), supplier.alias("dst")).union(sold).distinct()
+
+
+@query(f"SELECT node, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (SELECT src AS node, 0 AS i, 1 AS o FROM {FLOW} UNION ALL SELECT dst, 1, 0 FROM {FLOW}) GROUP BY 1")
+def graph_degrees_whole(x: Tables) -> DataFrame:
+    return g.degrees(flow(x))
+
+
+@query(f"WITH RECURSIVE e AS MATERIALIZED {FLOW}, r AS (SELECT (SELECT min(src) FROM e WHERE src % 3 = 0) AS node, 0 AS distance UNION SELECT dst, distance + 1 FROM r JOIN e ON src = node) SELECT node, min(distance) AS distance FROM r GROUP BY 1")
+def graph_distances_whole(x: Tables) -> DataFrame:
+    return g.distances(flow(x), 3 * x.lineitem.agg(F.min("l_partkey")).first()[0])
+
+
+@query()
+def graph_components_whole(x: Tables) -> DataFrame:
+    return g.weak_components(flow(x))
+
+
+@query(f"WITH e AS {NATIONS} SELECT DISTINCT a, b FROM (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src != dst UNION SELECT p.src, q.src FROM e p JOIN e q ON p.dst = q.dst AND p.src < q.src)")
+def graph_moral_whole(x: Tables) -> DataFrame:
+    """Of the nations, as the flow's pairs of parts with one supplier grow with the square of the parts."""
+    sold = x.lineitem.join(x.orders, C("l_orderkey") == C("o_orderkey")).join(x.supplier, C("s_suppkey") == C("l_suppkey"))
+    return g.moralize(sold.join(x.customer, C("o_custkey") == C("c_custkey")).select(C("c_nationkey").alias("src"), C("s_nationkey").alias("dst")).distinct())
+
+
+@query()
+def graph_pagerank_whole(x: Tables) -> DataFrame:
+    return rounded(g.pagerank(flow(x)), 9)
+
+
+@query(f"WITH e AS {FLOW} SELECT round(count(*) / (n * (n - 1))::DOUBLE, 6) AS density FROM e, (SELECT count(*) AS n FROM (SELECT src FROM e UNION SELECT dst FROM e)) GROUP BY n")
+def graph_density_whole(x: Tables) -> DataFrame:
+    return rounded(g.density(flow(x)))
+
+
 # factors and learning on the order tables
 
 

@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.plans.catalogue import QUERIES, SQL
 
@@ -30,3 +31,20 @@ def test_string_functions_read_whole_texts(spark):
     for doc_id, _, n_chars, _, n_bytes, sentences in got:
         x = text[doc_id]
         assert (n_chars, n_bytes, sentences) == (len(x.lower()), len(x.replace("th", "THE").encode()), len(x.split(". ")))
+
+
+def test_whole_graphs_have_every_row(spark):
+    tables = ("lineitem", "orders", "customer", "supplier")
+    for name in ("graph_degrees_whole", "graph_distances_whole", "graph_moral_whole", "graph_density_whole"):
+        assert sorted(map(tuple, QUERIES[name](spark, SF).collect())) == sorted(asked(name, *tables)), name
+    line = spark.read.parquet(f"{SF}/lineitem.parquet").join(spark.read.parquet(f"{SF}/orders.parquet"), F.expr("l_orderkey = o_orderkey")).collect()
+    edges = {(3 * r.l_partkey, 3 * r.l_suppkey + 1) for r in line} | {(3 * r.l_suppkey + 1, 3 * r.o_custkey + 2) for r in line}
+    degrees = QUERIES["graph_degrees_whole"](spark, SF).agg(F.sum("in_degree"), F.sum("out_degree")).first()
+    assert tuple(degrees) == (len(edges), len(edges))
+    ends = {v: v for e in edges for v in e}
+    while any(ends[a] != ends[b] for a, b in edges):
+        for a, b in edges:
+            ends[a] = ends[b] = min(ends[a], ends[b])
+    assert {r.node: r.component for r in QUERIES["graph_components_whole"](spark, SF).collect()} == ends
+    ranks = [r[1] for r in QUERIES["graph_pagerank_whole"](spark, SF).collect()]
+    assert len(ranks) == len(ends) and sum(ranks) == pytest.approx(1, abs=1e-5)
