@@ -317,6 +317,28 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("c")).alias("component_id"))
 
 
+def jaccard_links(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """(a, b), a < b: all similar pairs of classes, each named by the least id that has its set.
+
+    Every class is a group of its own here, so each pair that the bound allows is
+    opened. Rows are told apart by id and text, as an id may have several sets.
+    """
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
+    rows = rows.withColumn("doc_id", F.xxhash64("id", "text"))
+    facts = cut(documents_with_prefixes(rows.select("doc_id", "text"), n, percent), "jaccard-docs").filter("n_shingles > 0")
+    classes = facts.groupBy("sig").agg(F.min(F.struct("doc_id", "n_shingles", "prefix")).alias("x"))
+    classes = cut(classes.select("sig", F.col("x.doc_id").alias("node"), "x.n_shingles", "x.prefix"), "jaccard-classes")
+    alone = docs.sparkSession.createDataFrame([], "node long, component long")
+    pairs = group_pairs(cut(postings(classes), "jaccard-postings"), alone, percent).toDF("a", "b")
+    pairs = cut(pairs, "jaccard-opened")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = verified(pairs, cut(whole_sets(rows.select("doc_id", "text"), nodes, n), "jaccard-sets").dropDuplicates(["node"]), percent)
+    named = facts.select("doc_id", "sig").distinct().join(rows.select("doc_id", "id"), "doc_id").groupBy("sig").agg(F.min("id").alias("id"))
+    named = cut(named.join(classes.select("sig", "node"), "sig").select("node", "id"), "jaccard-names")
+    links = links.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").filter("x != y")
+    return links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def probed_pairs(opened: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of each pair of groups: all if there are up to PROBES, else so many by hash; most that belong together meet here."""
     place = Window.partitionBy("g").orderBy(F.xxhash64("node"), "node")

@@ -76,3 +76,18 @@ def test_long_path(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (101, 101)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
+
+
+@pytest.mark.parametrize("percent", [85, 60])
+def test_links_are_brute_force(spark, percent):
+    rows = [(r[0], r[1]) for r in near_copies(3)]
+    rows += [(rows[0][0], rows[1][1]), (None, rows[0][1]), (9001, None), (9002, "")]
+    least = {}
+    for i, t in rows:
+        if i is not None and shingles(t):
+            x = frozenset(shingles(t))
+            least[x] = min(i, least.get(x, i))
+    sets = list(least.items())
+    want = {tuple(sorted((i, j))) for k, (x, i) in enumerate(sets) for y, j in sets[:k] if i != j and 100 * len(x & y) >= percent * len(x | y)}
+    got = [tuple(r) for r in jaccard.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 3
