@@ -1,21 +1,29 @@
 """A word trigram model as an Elias-Fano trie in memory-mapped files, built by Spark.
 
 Levels. The first has all words of the training documents by hash, with exact
-counts; words with ``min_word`` occurrences get a dense id. The second has their
-bigrams: sequence ``w1 * V + w2`` of a shard, and for each w1 a monotone pointer
-to its successors. The third has trigrams; the last word is stored relative to
+counts; a word's id is its place among all. The second has all bigrams: the
+sequence ``local(w1) * V + w2`` of a shard, and for each w1 a monotone pointer to
+its successors. The third has all trigrams; the last word is stored relative to
 its context, as its place among the successors of the middle word, which is a
-far smaller number than its id. Sequences and pointers are Elias-Fano coded;
-logarithms of interpolated probabilities and of back-off weights take a byte.
-
-Shards hold the n-grams of the first words with one remainder, so each is built
-by one task from counts that Spark has summed, and written to the folder that
-all executors share; workers map the files and read only the pages they need.
-
-Probabilities. P1 = (c + 0.1) / (N + 0.1 (V + 1)). A kept n-gram of count c in a
+far smaller number than its id. Sequences and pointers are Elias-Fano coded with
+low parts of as many bits as they need; logarithms of interpolated probabilities
+and of back-off weights take a byte. No n-gram is left out.
+
+Building. One pass counts words. A second turns each task's texts into sorted
+counts of trigrams below their bigrams, cut by shard: one compact row for each
+task and shard. A shard's rows are merged by one task, which writes the second
+level; then, as successors' places are known, each shard's third level is
+written. Shards hold the bigrams of the first words with one remainder; a hot
+first word's bigrams are dealt over all shards by both words. A single bigram's
+trigrams stay in one shard: their number is that of the distinct words behind
+it. Files lie in the folder that all executors share; workers map them and read
+only the pages they need.
+
+Probabilities. P1 = (c + 0.1) / (N + 0.1 (V + 1)). An n-gram of count c in a
 context of count t has (c - D) / t plus the context's weight times the lower
-order's probability; the weight is what the kept n-grams leave. Words without id
-end a context.
+order's probability; the weight is D times the context's successors over t. A
+text's first word stands behind an end; a word that training never saw ends a
+context.
 """
 
 from __future__ import annotations
@@ -24,25 +32,26 @@ import json
 import mmap
 import os
 import uuid
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import crc_mod, pieces, texts
-from tessera.sources.shared import cut, fresh_path
+from tessera.llm.text import crc_mod, pieces
+from tessera.llm.words import mixed, utf8, word_hashes
+from tessera.sources.shared import cut, fresh_path, remove
 from tessera.sources.tables import table
 
-#: Least counts of words with an id and of kept bigrams and trigrams. Equal, so that a kept n-gram's parts are kept.
-MIN_WORD, MIN_BIGRAM, MIN_TRIGRAM = 2, 2, 2
-#: Discounts of bigrams and trigrams; entries of a shard.
-D2, D3, SHARD = 0.9, 0.9, 1_000_000
-END = xxhash.xxh64_intdigest(b" end ")  # no word holds a space
+#: Discounts of bigrams and trigrams.
+D2, D3 = 0.9, 0.9
+#: Words of a shard of the first level; tokens of one of the others. A word with half as many tokens is hot.
+WORDS, TOKENS = 1_000_000, 4_000_000
+#: Tokens that a task holds before it sorts and sends them.
+ROOM = 4_000_000
+END = np.uint64(0x27D4EB2F165667C5)  # the hash of a text's end
 #: A byte q stands for 10 ** (-q / STEPS); 255 for none.
 STEPS = 24
 
@@ -55,8 +64,23 @@ def log10_of(q: np.ndarray) -> np.ndarray:
     return q.astype(float) / -STEPS
 
 
+def least(x: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest unsigned type."""
+    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
+
+
+def packed(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of each value, end to end in 64-bit words; one word more than needed."""
+    out = []
+    for a in range(0, len(values) if width else 0, 65_536):  # a multiple of 64 values fills whole words
+        bits = (values[a : a + 65_536, None] >> np.arange(width, dtype=np.uint64)).astype(np.uint8) & 1
+        row = np.packbits(bits.ravel(), bitorder="little").tobytes()
+        out.append(row + bytes(-len(row) % 8))
+    return np.frombuffer(b"".join([*out, bytes(8)]), np.uint64)
+
+
 class EliasFano:
-    """A non-decreasing sequence below 2**62: low bits in whole bytes, high bits in unary."""
+    """A non-decreasing sequence below 2**62: low bits packed, high bits in unary."""
 
     def __init__(self, parts: dict[str, np.ndarray]):
         self.low, self.high, self.zeros = parts["low"], parts["high"], parts["zeros"]
@@ -66,9 +90,7 @@ class EliasFano:
     def parts(values: np.ndarray) -> dict[str, np.ndarray]:
         v = np.asarray(values, np.uint64)
         n = len(v)
-        best = int(np.log2(max(1, (int(v[-1]) + 1) / n))) if n else 0
-        shift = next(s for s in (8, 16, 32) if s >= best or s == 32)
-        low = (v & np.uint64((1 << shift) - 1)).astype({8: np.uint8, 16: np.uint16, 32: np.uint32}[shift])
+        shift = max(0, int(np.log2(max(1, (int(v[-1]) + 1) / n)))) if n else 0
         high = (v >> np.uint64(shift)).astype(np.int64)
         at = high + np.arange(n)
         bits = np.zeros(((int(at[-1]) + 2 if n else 1) + 63) // 64 * 64, np.uint8)
@@ -77,7 +99,16 @@ class EliasFano:
         zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(words).astype(np.int64))])
         runs = np.flatnonzero(np.concatenate([[True], high[1:] != high[:-1], [True]])) if n else np.zeros(1, np.int64)
         bucket = int(np.diff(runs).max()) if n else 0
-        return {"low": low, "high": words, "zeros": zeros.astype(np.uint32), "head": np.array([n, shift, bucket.bit_length()], np.int64)}
+        return {"low": packed(v, shift), "high": words, "zeros": zeros.astype(np.uint32), "head": np.array([n, shift, bucket.bit_length()], np.int64)}
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        """Low parts at places."""
+        if not self.shift:
+            return np.zeros(len(i), np.int64)
+        bit = i * self.shift
+        word, off = bit >> 6, (bit & 63).astype(np.uint64)
+        over = self.low[word + 1] << (np.uint64(63) - off) << np.uint64(1)
+        return ((self.low[word] >> off | over) & np.uint64((1 << self.shift) - 1)).astype(np.int64)
 
     def _start(self, h: np.ndarray) -> np.ndarray:
         """Elements whose high part is below ``h``: ones before the h-th zero."""
@@ -106,10 +137,10 @@ class EliasFano:
         b = end.copy()
         for _ in range(self.steps):
             mid = (a + b) >> 1
-            right = (a < b) & (self.low[np.minimum(mid, self.n - 1)] < want)
+            right = (a < b) & (self._low(np.minimum(mid, self.n - 1)) < want)
             a, b = np.where(right, mid + 1, a), np.where(right | (a >= b), b, mid)
         a_in = np.minimum(a, self.n - 1)
-        return np.where((a < end) & (self.low[a_in] == want), a, -1)
+        return np.where((a < end) & (self._low(a_in) == want), a, -1)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         """Elements at places."""
@@ -124,7 +155,7 @@ class EliasFano:
             go = has < left
             left = np.where(go, left - has, left)
             at = np.where(go, at + width, at)
-        return (word * 64 + at - i << self.shift) + self.low[i].astype(np.int64)
+        return (word * 64 + at - i << self.shift) + self._low(i)
 
 
 def write_level(folder: str, arrays: dict[str, np.ndarray]) -> str:
@@ -184,317 +215,388 @@ def _named(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
 
 
 class Levels:
-    """The files of a model, opened when first needed."""
+    """The files of a model, opened when first needed.
 
-    def __init__(self, words: list[str], bigrams: list[str], trigrams: list[str], tokens: int, distinct: int, ids: int, fanout: int):
-        self.paths = {"words": words, "bigrams": bigrams, "trigrams": trigrams}
-        self.tokens, self.distinct, self.ids, self.fanout = tokens, distinct, ids, fanout
-        self.opened: dict[tuple[str, int], dict] = {}
+    ``base`` has the first id of each shard of words. ``hot`` are the ids, in
+    order, of words whose bigrams are dealt over all shards of the other levels.
+    """
+
+    def __init__(self, words: list[str | None], base: list[int], tokens: int, hot: np.ndarray | None = None, shards: int = 1):
+        self.paths: dict[str, list[str | None]] = {"words": words, "bigrams": [], "counts": [], "probabilities": [], "trigrams": []}
+        self.base, self.tokens, self.distinct = np.array(base, np.int64), tokens, base[-1]
+        self.hot = np.empty(0, np.int64) if hot is None else hot
+        self.hot_weight = np.full(len(self.hot), 255, np.uint8)
+        self.shards, self.fanout = shards, 1
+        self.opened: dict[tuple[str, int], dict | None] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"opened": {}}
 
-    def level(self, kind: str, shard: int) -> dict:
+    def level(self, kind: str, shard: int) -> dict | None:
         key = (kind, shard)
         if key not in self.opened:
             path = self.paths[kind][shard]
             a = map_level(path) if path else None
-            if a is not None and kind != "words":
-                a = a | {"keys": _part(a, "keys")} | ({"pointers": _part(a, "pointers")} if kind == "bigrams" else {})
+            if a is not None and "keys_low" in a:
+                a = a | {"keys": _part(a, "keys")} | ({"pointers": _part(a, "pointers")} if "pointers_low" in a else {})
             self.opened[key] = a
         return self.opened[key]
 
-    def _by_shard(self, kind: str, key: np.ndarray) -> Iterator[tuple[dict, int, np.ndarray]]:
-        """Each shard's level, the number of shards, and the queries that go there."""
-        n = len(self.paths[kind])
-        shard = key % max(n, 1)
-        for s in np.unique(shard).tolist() if n else ():
+    def _by_shard(self, kind: str, shard: np.ndarray) -> Iterator[tuple[dict, int, np.ndarray]]:
+        """Each shard's level, its number, and the queries that go there (-1: nowhere)."""
+        for s in np.unique(shard[shard >= 0]).tolist():
             a = self.level(kind, s)
             if a is not None:
-                yield a, n, np.flatnonzero(shard == s)
+                yield a, s, np.flatnonzero(shard == s)
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count and id (-1: none) of each word."""
-        count, ids = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1)
-        for a, _, own in self._by_shard("words", (hashes >> np.uint64(1)).astype(np.int64)):
-            at = np.minimum(np.searchsorted(a["hash"], hashes[own]), len(a["hash"]) - 1)
-            found = a["hash"][at] == hashes[own]
-            count[own[found]], ids[own[found]] = a["count"][at[found]], a["id"][at[found]]
-        return count, ids
+        """Id (-1: none) and count of each word."""
+        ids, count = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
+        for a, s, own in self._by_shard("words", shard_of_word(hashes, len(self.paths["words"]))):
+            h, known = hashes[own], a["hash"]
+            bucket = np.minimum((h - known[0]) >> np.uint64(int(a["shift"][0])), np.uint64(len(a["index"]) - 2)).astype(np.int64)
+            bucket = np.where(h < known[0], 0, bucket)
+            at, end = a["index"][bucket].astype(np.int64), a["index"][bucket + 1].astype(np.int64)
+            live = np.flatnonzero(at < end)
+            while len(live := live[known[at[live]] < h[live]]):
+                at[live] += 1
+                live = live[at[live] < end[live]]
+            hit = np.flatnonzero(at < end)
+            hit = hit[known[at[hit]] == h[hit]]
+            ids[own[hit]], count[own[hit]] = at[hit] + self.base[s], a["count"][at[hit]]
+        return ids, count
+
+    def count(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of words by id."""
+        out, shard = np.empty(len(ids), np.int64), np.searchsorted(self.base, ids, side="right") - 1
+        for a, s, own in self._by_shard("words", shard):
+            out[own] = a["count"][ids[own] - self.base[s]]
+        return out
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return (count + 0.1) / (self.tokens + 0.1 * (self.distinct + 1))
 
+    def dealt(self, w1: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shard of each bigram, the number of w1 there, and whether w1 is hot."""
+        shard, local = w1 % self.shards, w1 // self.shards
+        hot = np.zeros(len(w1), bool)
+        if len(self.hot):
+            rank = np.minimum(np.searchsorted(self.hot, w1), len(self.hot) - 1)
+            hot = self.hot[rank] == w1
+            both = mixed(w1[hot].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w2[hot].astype(np.uint64))
+            shard[hot] = (both % np.uint64(self.shards)).astype(np.int64)
+            local[hot] = self.distinct // self.shards + 1 + rank[hot]
+        return shard, local, hot
+
     def weights(self, w1: np.ndarray) -> np.ndarray:
         """Weight byte of each word as a context (255: none)."""
         out = np.full(len(w1), 255, np.uint8)
-        for a, n, own in self._by_shard("bigrams", w1):
-            local = w1[own] // n
-            known = local < len(a["weight"])
-            out[own[known]] = a["weight"][local[known]]
+        shard, local, hot = self.dealt(w1, w1)
+        if hot.any():
+            out[hot] = self.hot_weight[np.searchsorted(self.hot, w1[hot])]
+        for a, _, own in self._by_shard("bigrams", np.where(hot, -1, shard)):
+            out[own] = a["weight"][np.minimum(local[own], len(a["weight"]) - 1)]
+            out[own[local[own] >= len(a["weight"])]] = 255
         return out
 
-    def bigrams(self, w1: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Place in its shard and among w1's successors (-1: none), probability byte (255: none) and count."""
-        place, among, count = np.full(len(w1), -1), np.full(len(w1), -1), np.zeros(len(w1), np.int64)
-        p = np.full(len(w1), 255, np.uint8)
-        for a, n, own in self._by_shard("bigrams", w1):
-            local = w1[own] // n
-            at = a["keys"].find(local * self.ids + w2[own])
-            hit = at >= 0
-            own, at, local = own[hit], at[hit], local[hit]
+    def bigrams(self, w1: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shard, place there and number among w1's successors (-1: none) of bigrams."""
+        place, among = np.full(len(w1), -1), np.full(len(w1), -1)
+        shard, local, hot = self.dealt(w1, w2)
+        for a, s, own in self._by_shard("bigrams", shard):
+            at = a["keys"].find(local[own] * self.distinct + w2[own])
+            own, at = own[at >= 0], at[at >= 0]
             if len(own):
-                place[own], p[own], count[own] = at, a["p"][at], a["n"][at]
-                among[own] = at - a["pointers"][local]
-        return place, among, p, count
-
-    def trigrams(self, w1: np.ndarray, place: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability byte of what stands at ``among`` the middle word's successors behind the bigram at ``place`` of w1's shard, and that bigram's weight byte."""
-        p, weight = np.full(len(w1), 255, np.uint8), np.full(len(w1), 255, np.uint8)
-        for a, _, own in self._by_shard("trigrams", w1):
-            weight[own] = a["weight"][place[own]]
-            own = own[among[own] >= 0]
+                place[own] = at
+                among[own] = at - a["pointers"][local[own]]
+        among = np.where(hot & (among >= 0), among * self.shards + shard, among)
+        return shard, place, among
+
+    def at(self, kind: str, name: str, shard: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Values of an array of a level at places (-1: 255)."""
+        out = np.full(len(place), 255, np.int64)
+        for a, _, own in self._by_shard(kind, np.where(place >= 0, shard, -1)):
+            out[own] = a[name][place[own]]
+        return out
+
+    def trigrams(self, shard: np.ndarray, place: np.ndarray, among: np.ndarray) -> np.ndarray:
+        """Probability byte (255: none) of the word that stands at ``among`` the middle word's successors behind the bigram at ``place``."""
+        p = np.full(len(place), 255, np.uint8)
+        for a, _, own in self._by_shard("trigrams", shard):
             at = a["keys"].find(place[own] * self.fanout + among[own])
             p[own[at >= 0]] = a["p"][at[at >= 0]]
-        return p, weight
+        return p
 
 
-class Reader:
-    """Tokens of texts as places in the worker's list of words, with what the model says about each word.
+def shard_of_word(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Shards cut the range of hashes into ``n``."""
+    return ((hashes >> np.uint64(33)) * np.uint64(max(n, 1)) >> np.uint64(31)).astype(np.int64)
 
-    Place 0 is the end of a text. Hashes, counts, ids and weights are looked up
-    once for each word that is new to the worker.
-    """
 
-    def __init__(self, model: Levels | None = None):
-        self.model = model
-        self._start()
-
-    def _start(self) -> None:
-        self.seen: dict[bytes, int] = {}
-        self.hashes, self.count, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.base, self.weight = np.empty(0), np.empty(0, np.uint8)
-        self._add(np.array([END], np.uint64))
-
-    def _add(self, hashes: np.ndarray) -> None:
-        self.hashes = np.concatenate([self.hashes, hashes])
-        if self.model is not None:
-            count, ids = self.model.words(hashes)
-            weight = np.where(ids >= 0, self.model.weights(np.maximum(ids, 0)), 255).astype(np.uint8)
-            self.count, self.ids = np.concatenate([self.count, count]), np.concatenate([self.ids, ids])
-            self.base = np.concatenate([self.base, np.log10(self.model.unigram(count))])
-            self.weight = np.concatenate([self.weight, weight])
-
-    def tokens(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Places of all tokens, each text's end included, and the number of tokens of each text."""
-        if len(self.seen) > 500_000:
-            self._start()
-        lists = [x.encode().lower().split() for x in batch]
-        new = list(set().union(*lists).difference(self.seen))
-        if new:
-            first = len(self.seen) + 1
-            self.seen.update(zip(new, range(first, first + len(new)), strict=True))
-            self._add(np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new)))
-        sizes = np.array([len(x) + 1 for x in lists], np.int64)
-        flat = np.zeros(sizes.sum(), np.int64)
-        inside = np.ones(len(flat), bool)
-        inside[np.cumsum(sizes) - 1] = False
-        flat[inside] = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(lists)), np.int64, int(inside.sum()))
-        return flat, sizes
-
-
-def contexts(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The tokens' inverse among distinct ones, and where the token before lies (a text's first: its end; none before that)."""
+def token_hashes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, each text's end included, and the number of tokens of each text."""
+    hashes, counts = word_hashes(*utf8(column))
+    out = np.full(len(hashes) + len(counts), END, np.uint64)
+    out[np.arange(len(hashes)) + np.repeat(np.arange(len(counts)), counts)] = hashes
+    return out, counts + 1
+
+
+def contexts(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the token before each lies, and the one before that (a text's first: its end; -1: none)."""
     ends = np.cumsum(sizes)
-    before = np.arange(len(flat)) - 1
     first = ends - sizes
+    before = np.arange(ends[-1] if len(ends) else 0) - 1
     before[first] = ends - 1
-    second = before[before]
+    second = before - 1
     second[first] = -1
-    second[first[sizes > 1] + 1] = (ends - 1)[sizes > 1]
-    return before, second, first
-
+    inner = first[sizes > 1] + 1
+    second[inner] = ends[sizes > 1] - 1
+    return before, second
 
-class _Counted:
-    """Sums of keys over a task in sorted runs."""
 
-    def __init__(self, room: int = 6_000_000):
-        self.room, self.held, self.size = room, [], 0
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """(key, n): counts of all tokens, summed by Spark."""
 
-    def add(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        self.held.append(keys)
-        self.size += len(keys)
-        if self.size > self.room:
-            yield from self.flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-    def flush(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if self.held:
-            k, n = np.unique(np.concatenate(self.held), return_counts=True)
-            self.held, self.size = [], 0
+        def counted() -> Iterator[pa.RecordBatch]:
+            k, n = np.unique(np.concatenate(held), return_counts=True)
             for a in range(0, len(k), 200_000):
-                yield k[a : a + 200_000], n[a : a + 200_000]
-
-
-def _counts(docs: DataFrame, keys: Callable, model=None) -> DataFrame:
-    """(key, n): summed counts of the keys that ``keys(reader, batch)`` gives; ``model`` is a broadcast the readers look words up in."""
+                yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 200_000].view(np.int64)), pa.array(n[a : a + 200_000])], ["key", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, counted = Reader(model.value if model is not None else None), _Counted()
-        rows = lambda k, n: pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["key", "n"])
         for batch in pieces(batches, mb=4):
-            for k, n in counted.add(keys(reader, texts(batch.column(0)))):
-                yield rows(k, n)
-        for k, n in counted.flush():
-            yield rows(k, n)
+            held.append(token_hashes(batch.column(0))[0])
+            size += len(held[-1])
+            if size > ROOM:
+                yield from counted()
+                held, size = [], 0
+        if held:
+            yield from counted()
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _shards(built: DataFrame, n: int) -> tuple[list[str | None], list]:
     rows = {r.shard: r for r in built.collect()}
-    return [rows[s].path if s in rows else None for s in range(n)], list(rows.values())
+    return [rows[s].path if s in rows else None for s in range(n)], [rows.get(s) for s in range(n)]
 
 
-def fit(docs: DataFrame, min_word: int = MIN_WORD, min_bigram: int = MIN_BIGRAM, min_trigram: int = MIN_TRIGRAM, min_context: int = 1, shard: int = SHARD) -> Levels:
-    """The model of the texts of ``docs``; null texts are empty. Bigrams of fewer than ``min_context`` hits are no contexts."""
-    spark = docs.sparkSession
-    folder = fresh_path(spark, "trie")
-    def word_keys(reader: Reader, batch: list[str]) -> np.ndarray:
-        flat = reader.tokens(batch)[0]
-        return reader.hashes[flat]
+def _first_level(docs: DataFrame, folder: str, size: int, hot_from: int) -> tuple[Levels, dict[int, int]]:
+    """The words of ``docs``, and the counts of ids with at least ``hot_from`` tokens."""
+    counted = cut(_word_counts(docs), "trie-words")
+    n = 1 + counted.count() // size
 
-    unigrams = cut(_counts(docs, word_keys), "trie-words")
-    n0 = 1 + unigrams.count() // shard
-
-    def words(key: tuple, group: pa.Table) -> pa.Table:
-        s = key[0].as_py()
+    def build(key: tuple, group: pa.Table) -> pa.Table:
         h, c = group.column("key").to_numpy().view(np.uint64), group.column("n").to_numpy()
         by = np.argsort(h)
         h, c = h[by], c[by]
-        often = c >= min_word
-        ids = np.where(often, (np.cumsum(often) - 1) * n0 + s, -1)
-        path = write_level(folder, {"hash": h, "count": c, "id": ids, "often": c[often]})
-        return pa.Table.from_pydict({"shard": [s], "path": [path], "tokens": [int(c.sum())], "distinct": [len(h)], "ids": [int(often.sum())]})
-
-    deal = (F.shiftrightunsigned("key", 1) % n0).alias("s")
-    built = unigrams.select("key", "n", deal).groupBy("s").applyInArrow(words, "shard long, path string, tokens long, distinct long, ids long")
-    paths, stats = _shards(built, n0)
-    model = Levels(paths, [], [], sum(r.tokens for r in stats), sum(r.distinct for r in stats), n0 * max([r.ids for r in stats], default=0), 1)
-    sent = spark.sparkContext.broadcast(model)
-
-    def word_ids(reader: Reader, batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        flat, sizes = reader.tokens(batch)
-        return reader.ids[flat], *contexts(flat, sizes)
-
-    def bigram_keys(reader: Reader, batch: list[str]) -> np.ndarray:
-        ids, before, _, _ = word_ids(reader, batch)
-        keep = (ids >= 0) & (ids[before] >= 0)
-        return (ids[before][keep] * np.int64(sent.value.ids) + ids[keep]).view(np.uint64)
+        span = int(h[-1] - h[0])
+        shift = max(0, span.bit_length() - max(1, len(h).bit_length() - 2))
+        bucket = ((h - h[0]) >> np.uint64(shift)).astype(np.int64)
+        index = np.searchsorted(bucket, np.arange(bucket[-1] + 2))
+        path = write_level(folder, {"hash": h, "count": least(c), "index": least(index), "shift": np.array([shift])})
+        often = np.flatnonzero(c >= hot_from)
+        return pa.Table.from_pydict({"shard": [key[0].as_py()], "path": [path], "tokens": [int(c.sum())], "distinct": [len(h)], "hot": [often.tolist()], "n": [c[often].tolist()]},
+                                    schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("hot", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))]))
+
+    deal = F.shiftright(F.shiftrightunsigned("key", 33) * n, 31).alias("s")
+    built = counted.select("key", "n", deal).groupBy("s").applyInArrow(build, "shard long, path string, tokens long, distinct long, hot array<long>, n array<long>")
+    paths, stats = _shards(built, n)
+    base = np.cumsum([0, *(r.distinct if r else 0 for r in stats)]).tolist()
+    hot = {base[s] + i: c for s, r in enumerate(stats) if r for i, c in zip(r.hot, r.n, strict=True)}
+    return Levels(paths, base, sum(r.tokens for r in stats if r)), hot
+
+
+def _trigram_counts(docs: DataFrame, sent) -> DataFrame:
+    """(s, and six arrays): each task's trigrams of shard s, below their bigrams, below their first words.
+
+    A bigram that ends a text has one trigram, whose last word is V.
+    """
 
-    pairs = cut(_counts(docs, bigram_keys, sent).filter(F.col("n") >= min_bigram), "trie-bigrams")
-    total = pairs.count()
-    n2 = 1 + total // shard
-    ids = model.ids
-    pairs = pairs.withColumn("w1", F.expr(f"key div {max(ids, 1)}")).withColumn("s", F.col("w1") % n2)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Levels = sent.value
+        v = np.int64(max(m.distinct, 1))
+        kind = np.min_scalar_type(int(v))
+        pairs, lasts, size = [], [], 0
+
+        def sorted_counts() -> Iterator[pa.RecordBatch]:
+            pair, back = np.unique(np.concatenate(pairs), return_inverse=True)
+            shard = m.dealt(pair // v, pair % v)[0]
+            order = np.argsort(shard, kind="stable")
+            rank = np.empty(len(pair), np.int64)
+            rank[order] = np.arange(len(pair))
+            pair, cuts = pair[order], np.searchsorted(shard[order], np.arange(m.shards + 1))
+            triple, n = np.unique(rank[back] * (v + 1) + np.concatenate(lasts), return_counts=True)
+            above, last = triple // (v + 1), triple % (v + 1)
+            bounds = np.searchsorted(above, cuts)
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
+                own, low, high = pair[cuts[s] : cuts[s + 1]], bounds[s], bounds[s + 1]
+                w1, below = np.unique(own // v, return_counts=True)
+                arrays = [w1.astype(kind), below, (own % v).astype(kind), np.bincount(above[low:high] - cuts[s]), last[low:high].astype(kind), n[low:high]]
+                yield pa.RecordBatch.from_arrays([pa.array([s]), *[pa.array([bytes([x.itemsize]) + x.tobytes()]) for x in map(least, arrays)]], ["s", *"abcdef"])
 
-    def second(key: tuple, group: pa.Table) -> pa.Table:
-        s = key[0].as_py()
+        for batch in pieces(batches, mb=4):
+            hashes, sizes = token_hashes(batch.column(0))
+            w = m.words(hashes)[0]
+            before, _ = contexts(sizes)
+            last = np.append(w[1:], v)
+            last[np.cumsum(sizes) - 1] = v
+            pairs.append(w[before] * v + w)
+            lasts.append(last)
+            size += len(w)
+            if size > ROOM:
+                yield from sorted_counts()
+                pairs, lasts, size = [], [], 0
+        if size:
+            yield from sorted_counts()
+
+    names = ", ".join(f"{c} binary" for c in "abcdef")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, f"s long, {names}")
+
+
+def _numbers(rows: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, f"u{x[0]}", offset=1).astype(np.int64) for x in rows]
+
+
+def _second_level(rows: DataFrame, sent, folder: str) -> DataFrame:
+    """Writes the bigrams of each shard, and aside their counts and trigrams for the third level."""
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        s, m = key[0].as_py(), sent.value
+        v = np.int64(max(m.distinct, 1))
+        w1, below, w2, deep, last, n = (np.concatenate(_numbers(group.column(c).to_pylist())) for c in "abcdef")
+        _, local, _ = m.dealt(np.repeat(w1, below), w2)
+        pair, back = np.unique(local * v + w2, return_inverse=True)
+        triple = np.repeat(back, deep) * (v + 1) + last
+        order = np.argsort(triple)
+        triple, n = triple[order], n[order]
+        new = np.flatnonzero(np.concatenate([[True], triple[1:] != triple[:-1]]))
+        triple, n = triple[new], np.add.reduceat(n, new)
+        place, last = triple // (v + 1), triple % (v + 1)
+        count = np.bincount(place, weights=n).astype(np.int64)
+        local, cold = pair // v, m.distinct // m.shards + 1
+        successors = np.bincount(local, minlength=cold)
+        known = np.flatnonzero(successors[:cold])
+        weight = np.full(cold, 255, np.uint8)
+        weight[known] = quantise(D2 * successors[known] / m.count(known * m.shards + s))
+        pointers = np.concatenate([[0], np.cumsum(successors)])
+        path = write_level(folder, {"weight": weight} | _named("keys", pair) | _named("pointers", pointers))
+        inner = last < v
+        aside = write_level(folder, {"pair": pair, "count": least(count), "place": least(place[inner]), "last": least(last[inner]), "n": least(n[inner])})
+        hot = np.flatnonzero(successors[cold:])
+        return pa.Table.from_arrays([pa.array([x], t) for x, t in ((s, pa.int64()), (path, pa.string()), (aside, pa.string()), (int(successors.max()), pa.int64()), (hot.tolist(), pa.list_(pa.int64())), (successors[cold:][hot].tolist(), pa.list_(pa.int64())))],
+                                    ["shard", "path", "aside", "most", "hot", "n"])
+
+    return rows.groupBy("s").applyInArrow(merge, "shard long, path string, aside string, most long, hot array<long>, n array<long>")
+
+
+def _third_level(spark, sent, folder: str, shards: int) -> DataFrame:
+    """Writes the probabilities of each shard's bigrams, and its trigrams."""
+
+    def interpolated(m: Levels, w1: np.ndarray, w2: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return (count - D2) / m.count(w1) + 10 ** log10_of(m.weights(w1)) * m.unigram(m.count(w2))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Levels = sent.value
-        k, c = group.column("key").to_numpy(), group.column("n").to_numpy()
-        by = np.argsort(k)
-        k, c = k[by], c[by]
-        w1, w2 = k // ids, k % ids
-        count = _count_of_ids(m, n0)
-        local = w1 // n2
-        t = count(w1).astype(float)
-        kept = np.bincount(local, (c - D2) / t)
-        weight = np.clip(1 - kept, 1e-6, 1)
-        p = (c - D2) / t + weight[local] * m.unigram(count(w2))
-        coded = np.where(np.bincount(local) > 0, quantise(weight), 255).astype(np.uint8)
-        pointers = np.concatenate([[0], np.cumsum(np.bincount(local))])
-        arrays = {"weight": coded, "p": quantise(p), "n": c.astype(np.int64)}
-        path = write_level(folder, arrays | _named("keys", local * ids + w2) | _named("pointers", pointers))
-        return pa.Table.from_pydict({"shard": [s], "path": [path], "fanout": [int(np.bincount(local).max())]})
-
-    built = pairs.select("s", "key", "n").groupBy("s").applyInArrow(second, "shard long, path string, fanout long")
-    paths, stats = _shards(built, n2)
-    model = Levels(model.paths["words"], paths, [], model.tokens, model.distinct, ids, max([r.fanout for r in stats], default=1))
-    second_sent = spark.sparkContext.broadcast(model)
-
-    def trigram_keys(reader: Reader, batch: list[str]) -> np.ndarray:
-        m: Levels = second_sent.value
-        w, before, second_before, _ = word_ids(reader, batch)
-        place, among, _, count = looked_up(m, w[before], w)
-        keep = (second_before >= 0) & (among >= 0)
-        keep[keep] = (place[before[keep]] >= 0) & (count[before[keep]] >= min_context)
-        at, s = before[keep], w[second_before[keep]] % n2
-        return ((place[at] * np.int64(m.fanout) + among[keep]) * n2 + s).view(np.uint64)
-
-    triples = cut(_counts(docs, trigram_keys, second_sent).filter(F.col("n") >= min_trigram), "trie-trigrams")
-
-    def third(key: tuple, group: pa.Table) -> pa.Table:
-        s = key[0].as_py()
-        m: Levels = second_sent.value
-        k, c = group.column("key").to_numpy() // n2, group.column("n").to_numpy()
-        by = np.argsort(k)
-        k, c = k[by], c[by]
-        place, among = k // m.fanout, k % m.fanout
-        a = m.level("bigrams", s)
-        t = a["n"][place].astype(float)
-        weight = np.clip(1 - np.bincount(place, (c - D3) / t, minlength=len(a["n"])), 1e-6, 1)
-        middle = a["keys"][place] % ids
-        below = np.empty(len(k), np.uint8)
-        for b, n, own in m._by_shard("bigrams", middle):
-            below[own] = b["p"][b["pointers"][middle[own] // n] + among[own]]
-        p = (c - D3) / t + weight[place] * 10 ** log10_of(below)
-        coded = np.where(np.bincount(place, minlength=len(a["n"])) > 0, quantise(weight), 255).astype(np.uint8)
-        return pa.Table.from_pydict({"shard": [s], "path": [write_level(folder, {"weight": coded, "p": quantise(p)} | _named("keys", k))]})
-
-    built = triples.withColumn("s", F.col("key") % n2).groupBy("s").applyInArrow(third, "shard long, path string")
-    return Levels(model.paths["words"], paths, _shards(built, n2)[0], model.tokens, model.distinct, ids, model.fanout)
-
-
-def looked_up(m: Levels, w1: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As :meth:`Levels.bigrams` for pairs that may lack an id (-1) and repeat."""
-    known = np.flatnonzero((w1 >= 0) & (w2 >= 0))
-    pair, back = np.unique(w1[known] * np.int64(max(m.ids, 1)) + w2[known], return_inverse=True)
-    out = [np.full(len(w1), -1), np.full(len(w1), -1), np.full(len(w1), 255, np.uint8), np.zeros(len(w1), np.int64)]
-    for x, found in zip(out, m.bigrams(pair // max(m.ids, 1), pair % max(m.ids, 1)), strict=True):
-        x[known] = found[back]
-    return tuple(out)
-
-
-def log10_tokens(reader: Reader, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Count, log10 P1 and the model's log10 P of each token of a reader with a model."""
-    m = reader.model
-    base, weight, w = reader.base[flat], reader.weight[flat], reader.ids[flat]
-    before, second_before, _ = contexts(flat, sizes)
-    place, among, p, _ = looked_up(m, w[before], w)
-    two = np.where(p < 255, log10_of(p), base + np.where(weight[before] < 255, log10_of(weight[before]), 0.0))
-    deep = np.flatnonzero(second_before >= 0)
-    deep = deep[place[before[deep]] >= 0]
-    p, inner = m.trigrams(w[second_before[deep]], place[before[deep]], among[deep])
-    three = two.copy()
-    three[deep] = np.where(p < 255, log10_of(p), two[deep] + np.where(inner < 255, log10_of(inner), 0.0))
-    return reader.count[flat], base, three
+        v, cold = np.int64(max(m.distinct, 1)), m.distinct // m.shards + 1
+        for s in (s for batch in batches for s in batch.column(0).to_pylist()):
+            if not m.paths["bigrams"][s]:
+                continue
+            a = m.level("counts", s)
+            local, w2, count = a["pair"] // v, a["pair"] % v, a["count"].astype(np.int64)
+            w1 = np.where(local < cold, local * m.shards + s, m.hot[np.maximum(local - cold, 0)] if len(m.hot) else 0)
+            p = quantise(interpolated(m, w1, w2, count))
+            place, last, n = (a[c].astype(np.int64) for c in ("place", "last", "n"))
+            successors = np.bincount(place, minlength=len(count))
+            weight = np.where(successors > 0, quantise(D3 * successors / count), 255).astype(np.uint8)
+            probabilities = write_level(folder, {"p": p, "weight": weight})
+            shard, at, among = m.bigrams(w2[place], last)
+            lower = quantise(interpolated(m, w2[place], last, m.at("counts", "count", shard, at)))
+            p = quantise((n - D3) / count[place] + 10 ** (log10_of(weight[place]) + log10_of(lower)))
+            key = place * m.fanout + among
+            order = np.argsort(key)
+            path = write_level(folder, {"p": p[order]} | _named("keys", key[order]))
+            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([probabilities]), pa.array([path])], ["shard", "probabilities", "path"])
+
+    return spark.range(shards).repartition(shards, "id").mapInArrow(build, "shard long, probabilities string, path string")
+
+
+def fit(docs: DataFrame, words: int = WORDS, tokens: int = TOKENS) -> Levels:
+    """The model of the texts of ``docs`` (null texts are empty), in shards of about ``words`` words and ``tokens`` tokens."""
+    spark = docs.sparkSession
+    folder = fresh_path(spark, "trie")
+    model, often = _first_level(docs, folder, words, max(2, tokens // 2))
+    model.shards = 1 + model.tokens // tokens
+    if model.shards > 1:
+        model.hot = np.array(sorted(often), np.int64)
+    model.hot_weight = np.full(len(model.hot), 255, np.uint8)
+    sent = spark.sparkContext.broadcast(model)
+    built = _second_level(_trigram_counts(docs, sent), sent, folder)
+    paths, stats = _shards(built, model.shards)
+    model.paths["bigrams"], model.paths["counts"] = paths, [r and r.aside for r in stats]
+    successors = np.zeros(len(model.hot), np.int64)
+    for r in filter(None, stats):
+        np.add.at(successors, np.array(r.hot, np.int64), np.array(r.n, np.int64))
+    if len(model.hot):
+        model.hot_weight = quantise(D2 * successors / np.array([often[i] for i in model.hot.tolist()]))
+    model.fanout = max([r.most for r in stats if r], default=1) * (model.shards if len(model.hot) else 1)
+    sent.destroy()
+    sent = spark.sparkContext.broadcast(model)
+    last = {r.shard: r for r in _third_level(spark, sent, folder, model.shards).collect()}
+    for s, aside in enumerate(model.paths["counts"]):
+        if aside:
+            remove(spark, aside)
+    model.paths |= {"counts": [], "probabilities": [last[s].probabilities if s in last else None for s in range(model.shards)], "trigrams": [last[s].path if s in last else None for s in range(model.shards)]}
+    model.opened = {}
+    return model
+
+
+def log10_tokens(m: Levels, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count, log10 P1 and the model's log10 P of each token."""
+    w, count = m.words(hashes)
+    base = np.log10(m.unigram(count))
+    before, second = contexts(sizes)
+    # bigrams that stand in the texts, each looked up once
+    v = np.int64(max(m.distinct, 1))
+    known = np.flatnonzero((w >= 0) & (w[before] >= 0))
+    pair, back = np.unique(w[before[known]] * v + w[known], return_inverse=True)
+    own_shard, own_place, own_among = m.bigrams(pair // v, pair % v)
+    own_p, own_weight = m.at("probabilities", "p", own_shard, own_place), m.at("probabilities", "weight", own_shard, own_place)
+    shard, place, among = np.zeros(len(w), np.int64), np.full(len(w), -1), np.full(len(w), -1)
+    p, inner = np.full(len(w), 255, np.int64), np.full(len(w), 255, np.int64)
+    for x, own in ((shard, own_shard), (place, own_place), (among, own_among), (p, own_p), (inner, own_weight)):
+        x[known] = own[back]
+    full = np.where(p < 255, log10_of(p), base)
+    off = np.flatnonzero((p == 255) & (w[before] >= 0))
+    weight = m.weights(w[before[off]])
+    full[off] += np.where(weight < 255, log10_of(weight), 0.0)
+    deep = np.flatnonzero((second >= 0) & (place[before] >= 0))
+    found = np.full(len(deep), 255, np.uint8)
+    whole = np.flatnonzero(among[deep] >= 0)
+    at = before[deep[whole]]
+    found[whole] = m.trigrams(shard[at], place[at], among[deep[whole]])
+    weight = inner[before[deep]]
+    full[deep] = np.where(found < 255, log10_of(found), full[deep] + np.where(weight < 255, log10_of(weight), 0.0))
+    return count, base, full
 
 
 def score(docs: DataFrame, model: Levels) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every text of ``docs``.
 
     ``score`` is the model's log10 probability of the words and the end. Null and
-    empty texts are the end alone. Null ids and repeated rows give a row each.
+    empty texts are the end alone. Null ids and repeated rows give a row each;
+    an empty table gives none, and columns besides doc_id and text play no part.
     With no training document the counts are 0 and both scores are 0 (V = 0, and
     every token is equally unknown).
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(sent.value)
         for batch in pieces(batches, mb=4):
-            flat, sizes = reader.tokens(texts(batch.column(1)))
+            hashes, sizes = token_hashes(batch.column(1))
             first = np.cumsum(sizes) - sizes
-            count, base, full = log10_tokens(reader, flat, sizes)
+            count, base, full = log10_tokens(sent.value, hashes, sizes)
             known = np.add.reduceat((count > 0).astype(np.int64), first)
             columns = [sizes, known, np.full(len(sizes), sent.value.tokens), np.add.reduceat(base, first), np.add.reduceat(full, first)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -509,15 +611,3 @@ def op7_lm_scores(spark, sf_dir: str) -> DataFrame:
     held = crc_mod(F.col("doc_id"), 10)
     out = score(docs, fit(docs.filter(held != 0)))
     return out.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
-
-
-def _count_of_ids(m: Levels, n0: int):
-    """Counts of words by id: the id's remainder names the shard, its quotient the rank among the shard's words with an id."""
-    def count(ids: np.ndarray) -> np.ndarray:
-        out = np.empty(len(ids), np.int64)
-        for s in np.unique(ids % n0).tolist():
-            own = np.flatnonzero(ids % n0 == s)
-            out[own] = m.level("words", s)["often"][ids[own] // n0]
-        return out
-
-    return count
