@@ -7,16 +7,19 @@ none (tests on one machine), a temporary folder is taken and set.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder's URI."""
+    """The shared folder's URI, with its scheme."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
@@ -24,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
         at = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(at)
         _made.append((spark, at))
-    return at.rstrip("/")
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(at)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -45,13 +50,32 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that :func:`cut` wrote and that nothing will read again.
+
+    Shuffle files of finished jobs go as well: Spark deletes them when the
+    driver's garbage is collected, which this asks for.
+    """
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path:
+            remove(spark, path)
+            _made.remove((spark, path))
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
+        if spark.sparkContext._jsc is None or spark.sparkContext._gateway is None:
+            continue  # the session has ended; the cluster's own policy applies
         try:
             remove(spark, path)
-        except Exception:  # the session has ended; the cluster's own policy applies
-            return
+        except Exception:  # one path that cannot go does not keep the others
+            continue
