@@ -28,29 +28,25 @@ context.
 
 from __future__ import annotations
 
-import json
-import mmap
-import os
-import uuid
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import crc_mod, pieces
+from tessera.llm.mapped import least, map_level, write_level
+from tessera.llm.text import crc_mod, give_back, pieces
 from tessera.llm.words import mixed, utf8, word_hashes
-from tessera.sources.shared import cut, fresh_path, remove
+from tessera.sources.shared import cut, fresh_path, release, remove
 from tessera.sources.tables import table
 
 #: Discounts of bigrams and trigrams.
 D2, D3 = 0.9, 0.9
 #: Words of a shard of the first level; tokens of one of the others. A word with half as many tokens is hot.
-WORDS, TOKENS = 1_000_000, 4_000_000
+WORDS, TOKENS = 1_000_000, 2_000_000
 #: Tokens that a task holds before it sorts and sends them.
-ROOM = 4_000_000
+ROOM = 3_000_000
 END = np.uint64(0x27D4EB2F165667C5)  # the hash of a text's end
 #: A byte q stands for 10 ** (-q / STEPS); 255 for none.
 STEPS = 24
@@ -64,9 +60,17 @@ def log10_of(q: np.ndarray) -> np.ndarray:
     return q.astype(float) / -STEPS
 
 
-def least(x: np.ndarray) -> np.ndarray:
-    """The same numbers in the smallest unsigned type."""
-    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
+def small(name: str, x: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts as bytes; those of 255 and more stand aside with their places."""
+    big = np.flatnonzero(x >= 255)
+    return {name: np.minimum(x, 255).astype(np.uint8), f"{name}_at": big, f"{name}_big": x[big].astype(np.int64)}
+
+
+def whole(a: dict[str, np.ndarray], name: str) -> np.ndarray:
+    """The counts that :func:`small` wrote."""
+    x = a[name].astype(np.int64)
+    x[a[f"{name}_at"]] = a[f"{name}_big"]
+    return x
 
 
 def packed(values: np.ndarray, width: int) -> np.ndarray:
@@ -158,54 +162,6 @@ class EliasFano:
         return (word * 64 + at - i << self.shift) + self._low(i)
 
 
-def write_level(folder: str, arrays: dict[str, np.ndarray]) -> str:
-    """Arrays in one file of the shared folder, which appears whole or not at all; its URI."""
-    head, blobs, at = {}, [], 0
-    for name, x in arrays.items():
-        blob = np.ascontiguousarray(x).tobytes()
-        head[name] = [at, x.dtype.str, len(x)]
-        blobs += [blob, bytes(-len(blob) % 8)]
-        at += len(blob) + (-len(blob) % 8)
-    text = json.dumps(head).encode()
-    text = len(text).to_bytes(8, "little") + text + bytes(-len(text) % 8)
-    uri = f"{folder}/{uuid.uuid4().hex}"
-    where = urlparse(uri)
-    if where.scheme in ("", "file"):
-        os.makedirs(os.path.dirname(where.path), exist_ok=True)
-        with open(where.path + ".part", "wb") as f:
-            f.writelines([text, *blobs])
-        os.replace(where.path + ".part", where.path)
-    else:
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(uri)
-        with store.open_output_stream(path) as f:
-            f.write(b"".join([text, *blobs]))
-    return uri
-
-
-def map_level(uri: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, memory-mapped; a file of a remote store is copied to an unnamed local one first."""
-    where = urlparse(uri)
-    if where.scheme in ("", "file"):
-        with open(where.path, "rb") as f:
-            m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-    else:
-        import shutil
-        import tempfile
-
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(uri)
-        with tempfile.TemporaryFile() as f, store.open_input_stream(path) as source:
-            shutil.copyfileobj(source, f)
-            f.flush()
-            m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-    n = int.from_bytes(m[:8], "little")
-    base = 8 + n + (-n % 8)
-    return {k: np.frombuffer(m, np.dtype(t), size, base + at) for k, (at, t, size) in json.loads(m[8 : 8 + n]).items()}
-
-
 def _part(arrays: dict[str, np.ndarray], name: str) -> EliasFano:
     return EliasFano({k: arrays[f"{name}_{k}"] for k in ("low", "high", "zeros", "head")})
 
@@ -313,12 +269,22 @@ class Levels:
         return shard, place, among
 
     def at(self, kind: str, name: str, shard: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Values of an array of a level at places (-1: 255)."""
+        """Values of a byte array of a level at places (-1: 255)."""
         out = np.full(len(place), 255, np.int64)
         for a, _, own in self._by_shard(kind, np.where(place >= 0, shard, -1)):
             out[own] = a[name][place[own]]
         return out
 
+    def pair_counts(self, shard: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Counts of bigrams, while the model is built."""
+        out = np.zeros(len(place), np.int64)
+        for a, _, own in self._by_shard("counts", shard):
+            x = a["count"][place[own]].astype(np.int64)
+            big = np.flatnonzero(x == 255)
+            x[big] = a["count_big"][np.searchsorted(a["count_at"], place[own[big]])]
+            out[own] = x
+        return out
+
     def trigrams(self, shard: np.ndarray, place: np.ndarray, among: np.ndarray) -> np.ndarray:
         """Probability byte (255: none) of the word that stands at ``among`` the middle word's successors behind the bigram at ``place``."""
         p = np.full(len(place), 255, np.uint8)
@@ -397,12 +363,14 @@ def _first_level(docs: DataFrame, folder: str, size: int, hot_from: int) -> tupl
         index = np.searchsorted(bucket, np.arange(bucket[-1] + 2))
         path = write_level(folder, {"hash": h, "count": least(c), "index": least(index), "shift": np.array([shift])})
         often = np.flatnonzero(c >= hot_from)
+        give_back()
         return pa.Table.from_pydict({"shard": [key[0].as_py()], "path": [path], "tokens": [int(c.sum())], "distinct": [len(h)], "hot": [often.tolist()], "n": [c[often].tolist()]},
                                     schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("hot", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))]))
 
     deal = F.shiftright(F.shiftrightunsigned("key", 33) * n, 31).alias("s")
     built = counted.select("key", "n", deal).groupBy("s").applyInArrow(build, "shard long, path string, tokens long, distinct long, hot array<long>, n array<long>")
     paths, stats = _shards(built, n)
+    release(docs.sparkSession, counted)
     base = np.cumsum([0, *(r.distinct if r else 0 for r in stats)]).tolist()
     hot = {base[s] + i: c for s, r in enumerate(stats) if r for i, c in zip(r.hot, r.n, strict=True)}
     return Levels(paths, base, sum(r.tokens for r in stats if r)), hot
@@ -483,7 +451,8 @@ def _second_level(rows: DataFrame, sent, folder: str) -> DataFrame:
         pointers = np.concatenate([[0], np.cumsum(successors)])
         path = write_level(folder, {"weight": weight} | _named("keys", pair) | _named("pointers", pointers))
         inner = last < v
-        aside = write_level(folder, {"pair": pair, "count": least(count), "place": least(place[inner]), "last": least(last[inner]), "n": least(n[inner])})
+        aside = write_level(folder, {"last": least(last[inner])} | small("n", n[inner]) | small("deep", np.bincount(place[inner], minlength=len(pair))) | small("count", count))
+        give_back()
         hot = np.flatnonzero(successors[cold:])
         return pa.Table.from_arrays([pa.array([x], t) for x, t in ((s, pa.int64()), (path, pa.string()), (aside, pa.string()), (int(successors.max()), pa.int64()), (hot.tolist(), pa.list_(pa.int64())), (successors[cold:][hot].tolist(), pa.list_(pa.int64())))],
                                     ["shard", "path", "aside", "most", "hot", "n"])
@@ -503,21 +472,23 @@ def _third_level(spark, sent, folder: str, shards: int) -> DataFrame:
         for s in (s for batch in batches for s in batch.column(0).to_pylist()):
             if not m.paths["bigrams"][s]:
                 continue
-            a = m.level("counts", s)
-            local, w2, count = a["pair"] // v, a["pair"] % v, a["count"].astype(np.int64)
+            a, b = m.level("counts", s), m.level("bigrams", s)
+            count, n, successors, last = whole(a, "count"), whole(a, "n"), whole(a, "deep"), a["last"].astype(np.int64)
+            place = np.repeat(np.arange(len(count)), successors)
+            pair = b["keys"][np.arange(len(count))]
+            local, w2 = pair // v, pair % v
             w1 = np.where(local < cold, local * m.shards + s, m.hot[np.maximum(local - cold, 0)] if len(m.hot) else 0)
             p = quantise(interpolated(m, w1, w2, count))
-            place, last, n = (a[c].astype(np.int64) for c in ("place", "last", "n"))
-            successors = np.bincount(place, minlength=len(count))
             weight = np.where(successors > 0, quantise(D3 * successors / count), 255).astype(np.uint8)
             probabilities = write_level(folder, {"p": p, "weight": weight})
             shard, at, among = m.bigrams(w2[place], last)
-            lower = quantise(interpolated(m, w2[place], last, m.at("counts", "count", shard, at)))
+            lower = quantise(interpolated(m, w2[place], last, m.pair_counts(shard, at)))
             p = quantise((n - D3) / count[place] + 10 ** (log10_of(weight[place]) + log10_of(lower)))
             key = place * m.fanout + among
             order = np.argsort(key)
             path = write_level(folder, {"p": p[order]} | _named("keys", key[order]))
             yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([probabilities]), pa.array([path])], ["shard", "probabilities", "path"])
+            give_back()
 
     return spark.range(shards).repartition(shards, "id").mapInArrow(build, "shard long, probabilities string, path string")
 
@@ -532,8 +503,8 @@ def fit(docs: DataFrame, words: int = WORDS, tokens: int = TOKENS) -> Levels:
         model.hot = np.array(sorted(often), np.int64)
     model.hot_weight = np.full(len(model.hot), 255, np.uint8)
     sent = spark.sparkContext.broadcast(model)
-    built = _second_level(_trigram_counts(docs, sent), sent, folder)
-    paths, stats = _shards(built, model.shards)
+    paths, stats = _shards(_second_level(_trigram_counts(docs, sent), sent, folder), model.shards)
+    release(spark)
     model.paths["bigrams"], model.paths["counts"] = paths, [r and r.aside for r in stats]
     successors = np.zeros(len(model.hot), np.int64)
     for r in filter(None, stats):
