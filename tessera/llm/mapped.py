@@ -9,6 +9,11 @@ import uuid
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.sources.shared import cut, release
 
 
 def least(x: np.ndarray) -> np.ndarray:
@@ -62,3 +67,46 @@ def map_level(uri: str) -> dict[str, np.ndarray]:
     n = int.from_bytes(m[:8], "little")
     base = 8 + n + (-n % 8)
     return {k: np.frombuffer(m, np.dtype(t), size, base + at) for k, (at, t, size) in json.loads(m[8 : 8 + n]).items()}
+
+
+class SortedSets:
+    """Sets of 64-bit numbers in sorted files, one for each of ``n`` ranges of the upper 32 bits.
+
+    A file may hold only the lower 32 bits of its numbers.
+    """
+
+    def __init__(self, paths: dict[int, str], n: int):
+        self.paths, self.n, self.opened = paths, n, {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"opened": {}}
+
+    @staticmethod
+    def write(numbers: DataFrame, folder: str, room: int = 2_000_000) -> SortedSets:
+        """Files of the distinct numbers (key: long) of a table, about ``room`` in each."""
+        numbers = cut(numbers, "sorted-sets")
+        n = 1 + numbers.count() // room
+
+        def build(key: tuple, group: pa.Table) -> pa.Table:
+            path = write_level(folder, {"key": np.unique(group.column("key").to_numpy().view(np.uint64))})
+            return pa.Table.from_pydict({"s": [key[0].as_py()], "path": [path]})
+
+        deal = F.shiftright(F.shiftrightunsigned("key", 32) * n, 32).alias("s")
+        built = numbers.select("key", deal).groupBy("s").applyInArrow(build, "s long, path string")
+        out = SortedSets({r.s: r.path for r in built.collect()}, n)
+        release(numbers.sparkSession, numbers)
+        return out
+
+    def contains(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), bool)
+        shard = ((x >> np.uint64(32)) * np.uint64(self.n) >> np.uint64(32)).astype(np.int64)
+        for s in np.unique(shard).tolist() if self.paths else ():
+            if s not in self.paths:
+                continue
+            if s not in self.opened:
+                self.opened[s] = map_level(self.paths[s])["key"]
+            known, own = self.opened[s], np.flatnonzero(shard == s)
+            if len(known):
+                asked = x[own].astype(known.dtype)
+                out[own] = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
+        return out

@@ -1,86 +1,109 @@
 """Removal of byte strings that an earlier document has, by sorted suffixes.
 
-Which suffixes to sort. Among the 22-byte strings of every 50 bytes the one with
-the smallest hash is its anchor: equal 50 bytes have equal anchors at equal
-places. The stretch of starts that share an anchor, with the 50 bytes behind the
-last, is a segment; anchors are about one in fifteen bytes. Only segments whose
-anchor several documents have can hold a repeated string, so the first pass
-counts anchors and the second keeps the segments of shared ones. Documents equal
-as a whole are settled before, by their digests.
-
-How they are sorted. Distinct segments are dealt out by anchor; a task lays
-theirs side by side and sorts all suffixes that start a 50-byte string, deep and
+Which suffixes to sort. Every 50 bytes have a key: the smallest hash among their
+32-byte strings. Equal 50 bytes have equal keys. Neighbouring starts with one key
+are a segment: about one in ten bytes, and one alone for a stretch that repeats a
+short period. Only segments whose key several documents have can hold a repeated
+string. Documents equal as a whole are settled before, by their digests.
+
+How they are sorted. A task sends each distinct segment once, with the smallest
+and the largest id of its documents. Where all segments of a key are equal,
+nothing is left to sort. Of the others, dealt out by key, a task lays the texts
+side by side and sorts all suffixes that start a 50-byte string, deep and
 shallow: multikey quicksort, eight bytes a character, splits all groups at once
 by a pivot into smaller, equal and larger; a group equal for 24 bytes goes to a
 blind trie (a Patricia tree whose search looks at branching bits only and then
 compares one leaf), unless it is so large that quicksort goes on. Suffixes equal
 for 50 bytes come to stand together, and the smallest document id among them
 decides for all.
+
+What moves. The texts are read three times and never shuffled. The first pass
+sends four bytes a segment to find shared keys, the second the segments of these,
+and the third looks settled segments up. Keys and segments found lie in files of
+the shared folder, cut by key into ranges that grow in number with the input and
+are mapped by the workers. Segments of one key with different surroundings are
+sorted by one task; equal ones are one row a task however many documents have
+them.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import pieces
-from tessera.sources.shared import cut
+from tessera.llm.mapped import SortedSets, map_level, write_level
+from tessera.llm.text import give_back, pieces
+from tessera.llm.words import mixed, power, utf8
+from tessera.sources.shared import cut, fresh_path, release
 from tessera.sources.tables import table
 
-WIDTH, GRAM = 50, 22
+WIDTH, GRAM = 50, 32
 #: Quicksort goes as deep as this; groups above the size are sorted deeper before they go to a trie.
 SHALLOW, TRIE = 24, 2000
-#: Segments that a task sorts; shared anchors and ids (8 bytes) that may be sent to the workers, else they are joined.
-SEGMENTS, SENT = 60_000, 8_000_000
+#: Bytes of text for each range of keys; keys and bytes of segments that a task holds; bytes whose suffixes are sorted at once.
+RANGE, KEYS, HELD, SORTED = 16 << 20, 4_000_000, 32 << 20, 4 << 20
+#: Documents with equal texts meet in so many parts.
+SALTS = 16
+#: Starts whose keys are found at once.
+BLOCK = 1 << 17
 _BYTE = np.random.default_rng(22).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-
-
-def gram_hashes(b: np.ndarray) -> np.ndarray:
-    """Hashes of the GRAM bytes (16 + 4 + 2) from each place on."""
-    one = _BYTE[b]
-    two = one[:-1] * _M[0] + one[1:]
-    four = two[:-2] * _M[1] + two[2:]
-    eight = four[:-4] * _M[2] + four[4:]
-    h = eight[:-8] * _M[3] + eight[8:]
-    n = len(b) - GRAM + 1
-    h = (h[:n] * _M[4] + four[16 : 16 + n]) * _M[5] + two[20 : 20 + n]
-    h ^= h >> np.uint64(32)
-    h *= _M[0]
-    h ^= h >> np.uint64(29)
-    return h
+_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def segments(b: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, document, first and last start (in ``b``) of the segments of documents laid end to end."""
-    none = (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
-    windows = np.maximum(sizes - WIDTH + 1, 0)
-    if not windows.sum():
-        return none
-    h = gram_hashes(b)
-    at = np.arange(len(h), dtype=np.int32)
+def window_keys(b: np.ndarray) -> np.ndarray:
+    """For each start of WIDTH bytes the smallest hash of their GRAM-byte strings."""
+    h, width = _BYTE[b], 1
+    for m in _M:  # twice the width with each step
+        h = h[:-width] * m + h[width:]
+        h ^= h >> np.uint64(31)
+        width *= 2
+    h *= _M[0]
+    h ^= h >> np.uint64(29)
     span, width = WIDTH - GRAM + 1, 1
-    least, where = h, at
-    while width < span:  # windows of twice the width, the last one moved back; the right one wins ties
+    while width < span:
         step = min(width, span - width)
-        right = least[step:] <= least[: len(least) - step]
-        where = np.where(right, where[step:], where[: len(where) - step])
-        least = np.minimum(least[step:], least[: len(least) - step])
+        h = np.minimum(h[step:], h[: len(h) - step])
         width += step
-    begin = np.cumsum(sizes) - sizes
-    doc = np.repeat(np.arange(len(sizes)), windows)
-    start = np.arange(windows.sum()) + np.repeat(begin - (np.cumsum(windows) - windows), windows)
-    anchor = where[start]
-    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
+    return h
+
+
+def segments(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, document, first and last start (in ``flat``) of the segments of documents laid end to end."""
+    n = len(flat) - WIDTH + 1
+    if n <= 0:
+        return (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
+    least = np.concatenate([window_keys(flat[a : min(a + BLOCK, n) + WIDTH - 1]) for a in range(0, n, BLOCK)])
+    ends = np.cumsum(sizes)
+    new = np.concatenate([[True], least[1:] != least[:-1]])
+    new[(ends - sizes)[ends - sizes < n]] = True
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1
-    return h[anchor[first]], doc[first], start[first], start[last]
+    doc = np.searchsorted(ends, first, side="right")
+    last = np.minimum(np.append(first[1:], n) - 1, ends[doc] - WIDTH)
+    keep = last >= first
+    first, last, doc = first[keep], last[keep], doc[keep]
+    return least[first], doc, first, last
+
+
+def prints(flat: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes of segments."""
+    up, down = power(len(flat))
+    sums = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum(_BYTE[flat] * up[: len(flat)], out=sums[1:])
+    return mixed((sums[last + WIDTH] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+
+
+def ranges(keys: np.ndarray, n: int) -> np.ndarray:
+    """The range of each key, of ``n`` that cut the upper 32 bits."""
+    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of stretches of ``flat``, end to end."""
+    return flat[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)]
 
 
 def _highest(x: np.ndarray) -> np.ndarray:
@@ -218,125 +241,193 @@ class Suffixes:
         new[rank] = np.concatenate([[True], (np.diff(place[by]) != 0) | (np.diff(group[by]) != 0)])
 
 
-def smallest_holders(texts: list[bytes], owner: np.ndarray) -> list[np.ndarray]:
-    """For each segment and each 50-byte string in it, the smallest owner of a segment with an equal string."""
-    sizes = np.array([len(x) for x in texts])
+def smallest_holders(flat: bytes, sizes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each 50-byte string of segments laid end to end the smallest owner of a segment with an equal string."""
     count = sizes - WIDTH + 1
     begin = np.cumsum(sizes) - sizes
     places = np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
-    suffixes = Suffixes(b"".join(texts), places)
+    suffixes = Suffixes(flat, places)
     new = np.flatnonzero(suffixes.sort())
     own = np.repeat(owner, count)[suffixes.order]
     least = np.repeat(np.minimum.reduceat(own, new), np.diff(np.append(new, len(own))))
     out = np.empty(len(own), np.int64)
     out[suffixes.order] = least
-    return np.split(out, np.cumsum(count)[:-1])
+    return out
 
 
-def _bytes(batch: pa.RecordBatch) -> list[bytes]:
-    return [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
+def _open(batch: pa.RecordBatch, copies: SortedSets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, bytes and sizes of the (doc_id, row, text) of a batch that are no copies."""
+    row = batch.column(1).to_numpy().view(np.uint64)
+    batch = batch.filter(pa.array(~copies.contains(row)))
+    return batch.column(0).to_numpy(), *utf8(batch.column(2))
 
 
-def _in(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
-    if not len(sorted_):
-        return np.zeros(len(x), bool)
-    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
+def _without_copies(docs: DataFrame, folder: str) -> tuple[SortedSets, int]:
+    """The rows of (doc_id, row, text) that a smaller id equals as a whole, and the bytes of all texts."""
+    text = F.col("text").cast("binary")
+    slim = cut(docs.select("doc_id", "row", F.unhex(F.md5(text)).alias("digest"), F.octet_length(text).alias("n")), "substring-digests")
+    long = slim.filter(F.col("n") >= WIDTH)
+    heads = long.groupBy("digest").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).filter("head < tail").select("digest", "head")
+    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = long.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(heads, ["digest", "salt"]).filter("doc_id > head")
+    copies = SortedSets.write(met.select(F.col("row").alias("key")), folder)
+    total = slim.agg(F.sum("n")).first()[0] or 0
+    release(docs.sparkSession, slim)
+    return copies, total
 
 
-def _segments_of(docs: DataFrame, shared, schema: str, with_text: bool) -> DataFrame:
-    """Rows for the segments of (doc_id, text): anchors alone, or those in ``shared`` with their text."""
+def _shared_keys(docs: DataFrame, copies, n: int, folder: str) -> SortedSets:
+    """The keys that segments of two rows or more have (by range and lower 32 bits: a few more)."""
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            k = np.sort(np.concatenate(held))
+            k = k[np.concatenate([[True, True], k[2:] != k[:-2]])[: len(k)]]  # twice is as good as often
+            cuts = np.searchsorted(ranges(k, n), np.arange(n + 1))
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
+                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([k[cuts[s] : cuts[s + 1]].astype(np.uint32).tobytes()])], ["s", "keys"])
+
+        for batch in pieces(batches, mb=2):
+            key, doc, _, _ = segments(*_open(batch, copies.value)[1:])
+            own = np.unique(mixed(key + doc.astype(np.uint64) * _M[3]), return_index=True)[1]  # once for a document
+            held.append(key[own])
+            size += len(own)
+            if size > KEYS:
+                yield from sent()
+                held, size = [], 0
+        if size:
+            yield from sent()
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        k = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("keys").to_pylist()]))
+        twice = k[1:][k[1:] == k[:-1]]
+        path = write_level(folder, {"key": np.unique(twice)})
+        give_back()
+        return pa.Table.from_pydict({"s": [key[0].as_py()], "path": [path]})
+
+    built = docs.mapInArrow(collect, "s long, keys binary").groupBy("s").applyInArrow(merge, "s long, path string")
+    return SortedSets({r.s: r.path for r in built.collect()}, n)
+
+
+def _held(docs: DataFrame, copies, shared, n: int) -> DataFrame:
+    """(s, and arrays): each task's distinct segments with a shared key, by range: lower half of the key, print, smallest and largest id, size and bytes."""
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, room = [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            key, mark, doc, size, text = (np.concatenate(x) for x in zip(*held, strict=True))
+            start = np.cumsum(size) - size
+            order = np.lexsort([mark, key])
+            key, mark = key[order], mark[order]
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])]))
+            low, high = np.minimum.reduceat(doc[order], new), np.maximum.reduceat(doc[order], new)
+            key, mark, start, size = key[new], mark[new], start[order[new]], size[order[new]]
+            cuts = np.searchsorted(ranges(key, n), np.arange(n + 1))
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
+                own = slice(cuts[s], cuts[s + 1])
+                arrays = [key[own].astype(np.uint32), mark[own], low[own], high[own], size[own], gathered(text, start[own], size[own])]
+                yield pa.RecordBatch.from_arrays([pa.array([s]), *[pa.array([x.tobytes()]) for x in arrays]], ["s", *"abcdef"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, mb=2):
-            whole = _bytes(batch)
-            flat = b"".join(whole)
-            anchor, doc, first, last = segments(np.frombuffer(flat, np.uint8), np.array([len(x) for x in whole], np.int64))
-            if not with_text:
-                by = np.lexsort([anchor, doc])
-                keep = by[np.concatenate([[True], (np.diff(anchor[by]) != 0) | (np.diff(doc[by]) != 0)])] if len(by) else by
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[keep].view(np.int64))], ["anchor"])
+            ids, flat, sizes = _open(batch, copies.value)
+            key, doc, first, last = segments(flat, sizes)
+            own = np.flatnonzero(shared.value.contains(key))
+            if not len(own):
                 continue
-            keep = np.flatnonzero(_in(anchor, shared.value)) if shared is not None else np.arange(len(anchor))
-            anchor, doc, first, last = anchor[keep], doc[keep], first[keep], last[keep]
-            text = [flat[a : b + WIDTH] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-            print_ = np.array([xxhash.xxh64_intdigest(x) for x in text], np.uint64).view(np.int64)
-            begin = np.cumsum([0, *map(len, whole)])[:-1]
-            ids = batch.column(0).take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(print_), ids, pa.array(first - begin[doc] if len(doc) else first), pa.array(text, pa.binary())], ["anchor", "print", "doc_id", "start", "text"])
-
-    return docs.mapInArrow(run, schema)
-
-
-def _without_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text) of documents with ids that no smaller id equals as a whole; and the ids of the others' rows (doc_id, digest)."""
-    slim = docs.filter("doc_id is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
-    slim = cut(slim, "substring-digests")
-    heads = slim.groupBy("digest").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).filter("head < tail")
-    copies = cut(slim.join(heads, "digest").filter("doc_id > head").select("doc_id", "digest").distinct(), "substring-copies")
-    small = copies.count() * 50 <= 64e6
-    kept = docs.filter("doc_id is not null").withColumn("digest", F.md5(F.col("text").cast("binary")))
-    kept = kept.join(F.broadcast(copies) if small else copies, ["doc_id", "digest"], "left_anti")
-    return kept.select("doc_id", "text"), copies
-
-
-def repeated_spans(docs: DataFrame, sent: int = SENT) -> DataFrame:
-    """(doc_id, first, last): starts of 50-byte strings in (doc_id, text) that a smaller id has too, as ranges of a segment."""
-    spark = docs.sparkSession
-    anchors = _segments_of(docs, None, "anchor long", with_text=False)
-    shared = cut(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "substring-anchors")
-    schema = "anchor long, print long, doc_id long, start long, text binary"
-    if shared.count() <= sent:
-        known = spark.sparkContext.broadcast(np.sort(shared.toArrow().column("anchor").to_numpy().view(np.uint64)))
-        held = _segments_of(docs, known, schema, with_text=True)
-    else:
-        held = _segments_of(docs, None, schema, with_text=True).join(shared, "anchor", "left_semi")
-    held = cut(held, "substring-segments")
-    distinct = held.groupBy("anchor", "print").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("text").alias("text"))
-    distinct = cut(distinct, "substring-distinct")
-    tasks = max(1, distinct.count() // SEGMENTS)
-
-    def settle(key: tuple, group: pa.Table) -> pa.Table:
-        low, high = group.column("low").to_numpy(), group.column("high").to_numpy()
-        least = smallest_holders(group.column("text").to_pylist(), low)
-        keep, runs = [], []
-        for i, m in enumerate(least):
-            if high[i] > low[i] or m.min() < low[i]:
-                first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-                keep.append(i)
-                runs.append(np.stack([first, np.append(first[1:], len(m)) - 1, m[first]]).astype(np.int64).T.tobytes())
-        kept = group.select(["anchor", "print"]).take(pa.array(keep, pa.int64()))
-        return kept.append_column("runs", pa.array(runs, pa.binary()))
-
-    deal = F.pmod(F.xxhash64("anchor"), F.lit(tasks)).alias("task")
-    settled = distinct.select("anchor", "print", "low", "high", "text", deal).groupBy("task").applyInArrow(settle, "anchor long, print long, runs binary")
-    settled = cut(settled, "substring-settled")
-
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            runs = batch.column(2).to_pylist()
-            n = np.array([len(x) // 24 for x in runs])
-            run = np.frombuffer(b"".join(runs), np.int64).reshape(-1, 3)
-            doc, start = (np.repeat(batch.column(k).to_numpy(), n) for k in (0, 1))
-            keep = run[:, 2] < doc
-            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array((start + run[:, 0])[keep]), pa.array((start + run[:, 1])[keep])], ["doc_id", "first", "last"])
-
-    joined = held.select("anchor", "print", "doc_id", "start").join(settled, ["anchor", "print"])
-    return joined.select("doc_id", "start", "runs").mapInArrow(spans, "doc_id long, first long, last long")
-
-
-def _uncovered(text: bytes, firsts: list[int], lasts: list[int]) -> tuple[bytes, int]:
-    """The bytes that no 50-byte string from the given starts covers, and the number of removed runs."""
-    kept, at, runs = [], 0, 0
-    for a, b in sorted(zip(firsts, lasts, strict=True)):
-        if a > at or not runs:
-            kept.append(text[at:a])
-            runs += 1
-        at = max(at, b + WIDTH)
-    kept.append(text[at:])
-    return b"".join(kept), runs
-
-
-def remove_repeats(docs: DataFrame, sent: int = SENT, as_text: bool = False) -> DataFrame:
+            key, doc, first, last = key[own], doc[own], first[own], last[own]
+            size = last - first + WIDTH
+            held.append((key, prints(flat, first, last), ids[doc], size, gathered(flat, first, size)))
+            room += len(held[-1][-1])
+            if room > HELD:
+                yield from sent()
+                held, room = [], 0
+        if held:
+            yield from sent()
+
+    return docs.mapInArrow(collect, "s long, " + ", ".join(f"{c} binary" for c in "abcdef"))
+
+
+def settle(key: np.ndarray, mark: np.ndarray, low: np.ndarray, high: np.ndarray, size: np.ndarray, text: np.ndarray) -> dict[str, np.ndarray]:
+    """What is repeated in segments: prints in order, for each a range of runs of starts, for each run the smallest id that has them."""
+    start = np.cumsum(size) - size
+    order = np.lexsort([mark, key])
+    key, mark = key[order], mark[order]
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])])) if len(key) else np.empty(0, np.int64)
+    low, high = (np.minimum.reduceat(low[order], new), np.maximum.reduceat(high[order], new)) if len(new) else (low, high)
+    key, mark, start, size = key[new], mark[new], start[order[new]], size[order[new]]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else new
+    many = np.diff(np.append(first, len(key)))
+    apart = (np.minimum.reduceat(low, first) < np.maximum.reduceat(high, first)) if len(first) else many > 0
+    plain = np.flatnonzero(np.repeat((many == 1) & apart, many))
+    owner, begin, end, least = [plain], [np.zeros(len(plain), np.int64)], [size[plain] - WIDTH], [low[plain]]
+    sorted_ = np.flatnonzero(np.repeat((many > 1) & apart, many))
+    cuts = np.flatnonzero(np.concatenate([[True], key[sorted_][1:] != key[sorted_][:-1]])) if len(sorted_) else sorted_
+    weight = np.cumsum(size[sorted_]) // SORTED
+    cuts = cuts[np.concatenate([[True], weight[cuts][1:] != weight[cuts][:-1]])] if len(cuts) else cuts
+    for own in np.split(sorted_, cuts[1:]) if len(cuts) else ():
+        m = smallest_holders(gathered(text, start[own], size[own]).tobytes(), size[own], low[own])
+        count = size[own] - WIDTH + 1
+        segment = np.repeat(np.arange(len(own)), count)
+        run = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (segment[1:] != segment[:-1])]))
+        until = np.append(run[1:], len(m)) - 1
+        useful = m[run] < high[own][segment[run]]
+        run, until = run[useful], until[useful]
+        at = (np.cumsum(count) - count)[segment[run]]
+        owner, begin, end, least = owner + [own[segment[run]]], begin + [run - at], end + [until - at], least + [m[run]]
+    owner, begin, end, least = (np.concatenate(x).astype(np.int64) for x in (owner, begin, end, least))
+    by = np.argsort(mark[owner], kind="stable")
+    known, count = np.unique(mark[owner], return_counts=True)
+    width = np.min_scalar_type(int(end.max()) if len(end) else 0)
+    return {"print": known, "at": np.concatenate([[0], np.cumsum(count)]).astype(np.uint32), "first": begin[by].astype(width), "last": end[by].astype(width), "least": least[by]}
+
+
+def _settled(held: DataFrame, folder: str) -> dict[int, str]:
+    """Files of what is repeated, by range."""
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        kinds = (np.uint32, np.uint64, np.int64, np.int64, np.int64, np.uint8)
+        arrays = [np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()]) for c, t in zip("abcdef", kinds, strict=True)]
+        path = write_level(folder, settle(*arrays))
+        give_back()
+        return pa.Table.from_pydict({"s": [key[0].as_py()], "path": [path]})
+
+    return {r.s: r.path for r in held.groupBy("s").applyInArrow(merge, "s long, path string").collect()}
+
+
+class Settled:
+    """Looks up what is repeated in a segment."""
+
+    def __init__(self, paths: dict[int, str], n: int):
+        self.paths, self.n, self.opened = paths, n, {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"opened": {}}
+
+    def runs(self, key: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each run of a segment: the segment, first and last start in it, and the smallest id that has them."""
+        out = [[np.empty(0, np.int64)] for _ in range(4)]
+        shard = ranges(key, self.n)
+        for s in np.unique(shard).tolist():
+            if s not in self.paths:
+                continue
+            a = self.opened[s] if s in self.opened else self.opened.setdefault(s, map_level(self.paths[s]))
+            own = np.flatnonzero(shard == s)
+            known = a["print"]
+            if not len(known):
+                continue
+            at = np.minimum(np.searchsorted(known, mark[own]), len(known) - 1)
+            own, at = own[known[at] == mark[own]], at[known[at] == mark[own]]
+            count = a["at"][at + 1].astype(np.int64) - a["at"][at]
+            run = np.arange(count.sum()) + np.repeat(a["at"][at] - (np.cumsum(count) - count), count)
+            for x, y in zip(out, (np.repeat(own, count), a["first"][run], a["last"][run], a["least"][run]), strict=True):
+                x.append(y.astype(np.int64))
+        return tuple(np.concatenate(x) for x in out)
+
+
+def remove_repeats(docs: DataFrame, as_text: bool = False, range_bytes: int = RANGE) -> DataFrame:
     """``docs`` with kept (binary: what is left of the text), n_bytes, n_removed and n_spans.
 
     With ``as_text`` kept is a string, without the bytes of characters cut in two.
@@ -345,43 +436,57 @@ def remove_repeats(docs: DataFrame, sent: int = SENT, as_text: bool = False) ->
     around it also start in a document with a smaller id; strings are judged on
     the input, overlaps count, and no string crosses documents. A row without id
     keeps its text and takes nothing from others; rows that repeat an id are no
-    smaller than each other. All columns are kept; those named like a result are
-    replaced.
+    smaller than each other. An empty table gives no row. All columns are kept;
+    those named like a result are replaced. ``range_bytes`` of text go to each
+    range of keys.
     """
-    slim = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    whole, copies = _without_copies(slim)
-    spans = cut(repeated_spans(whole, sent), "substring-spans")
-    spans = spans.groupBy("doc_id").agg(F.collect_list("first").alias("_firsts"), F.collect_list("last").alias("_lasts"))
-    spans = cut(spans, "substring-removals")
-    mb = spans.agg(F.sum(F.size("_firsts") * 16 + 24)).first()[0] or 0
-    few, small = mb <= 64e6, copies.count() * 50 <= 64e6
+    spark = docs.sparkSession
+    folder = fresh_path(spark, "substring-files")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    slim = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), text.alias("text")).filter("doc_id is not null")
+    copies, total = _without_copies(slim, folder)
+    n = 1 + total // range_bytes
+    copies_sent = spark.sparkContext.broadcast(copies)
+    shared = _shared_keys(slim, copies_sent, n, folder)
+    release(spark)
+    shared_sent = spark.sparkContext.broadcast(shared)
+    settled = spark.sparkContext.broadcast(Settled(_settled(_held(slim, copies_sent, shared_sent, n), folder), n))
+    release(spark)
     rest = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
-    rows = docs.select(*rest).withColumns({
-        "_id": F.col("doc_id").cast("long"), "_digest": F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")),
-    })
-    spans, copies = spans.withColumnRenamed("doc_id", "_id"), copies.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.lit(True).alias("_copy"))
-    rows = rows.join(F.broadcast(spans) if few else spans, "_id", "left").join(F.broadcast(copies) if small else copies, ["_id", "_digest"], "left")
     at = rest.index("text")
+    ids = [F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            extra = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_firsts", "_lasts", "_copy")]
-            kept, size, removed, n = [], [], [], []
-            for text, firsts, lasts, copy in zip(batch.column(at).cast(pa.binary()).to_pylist(), *extra, strict=True):
-                text = text or b""
-                left, runs = (text, 0) if not firsts else _uncovered(text, firsts, lasts)
-                if copy and len(text) >= WIDTH:
-                    left, runs = b"", 1
-                kept.append(left)
-                size.append(len(text))
-                removed.append(len(text) - len(left))
-                n.append(runs)
-            left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-            more = [left, *[pa.array(x, pa.int64()) for x in (size, removed, n)]]
-            yield pa.RecordBatch.from_arrays([*batch.select(rest).columns, *more], [*rest, "kept", "n_bytes", "n_removed", "n_spans"])
+        for batch in pieces(batches, mb=2):
+            owner, row = batch.column(len(rest)), batch.column(len(rest) + 1).to_numpy().view(np.uint64)
+            valid = owner.is_valid().to_numpy(zero_copy_only=False)
+            owner = owner.fill_null(0).to_numpy()
+            flat, sizes = utf8(batch.column(at))
+            ends = np.cumsum(sizes)
+            key, doc, first, last = segments(flat, sizes)
+            own = np.flatnonzero(shared_sent.value.contains(key) & valid[doc])
+            key, doc, first, last = key[own], doc[own], first[own], last[own]
+            segment, begin, end, least = settled.value.runs(key, prints(flat, first, last))
+            use = least < owner[doc[segment]]
+            begin, end = (first[segment] + begin)[use], (first[segment] + end)[use] + WIDTH
+            copy = np.flatnonzero(copies_sent.value.contains(row) & valid & (sizes >= WIDTH))
+            begin, end = np.concatenate([begin, (ends - sizes)[copy]]), np.concatenate([end, ends[copy]])
+            gone = np.cumsum(np.bincount(begin, minlength=len(flat) + 1) - np.bincount(end, minlength=len(flat) + 1))[:-1] > 0
+            starts = gone.copy()
+            starts[1:] &= ~gone[:-1]
+            border = (ends - sizes)[sizes > 0]
+            starts[border] = gone[border]
+            per_doc = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])])
+            removed, spans = per_doc(gone), per_doc(starts)
+            offsets = np.concatenate([[0], np.cumsum(sizes - removed)]).astype(np.int32)
+            left = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat[~gone].tobytes())])
+            if as_text:
+                left = pa.array([x.decode("utf-8", "ignore") for x in left.to_pylist()], pa.string())
+            more = [left, *[pa.array(x.astype(np.int64)) for x in (sizes, removed, spans)]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *more], [*rest, "kept", "n_bytes", "n_removed", "n_spans"])
 
     schema = docs.select(*rest).schema.add("kept", "string" if as_text else "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
-    return rows.select(*rest, "_firsts", "_lasts", "_copy").mapInArrow(run, schema)
+    return docs.select(*rest, ids[0].alias("_owner"), ids[1].alias("_row")).mapInArrow(run, schema)
 
 
 def op5_substrings(spark, sf_dir: str) -> DataFrame:

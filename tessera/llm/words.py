@@ -29,7 +29,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n``."""
     if not _powers or len(_powers[0]) < n:
         steps = [np.full(max(n, CHUNK + 1), b, np.uint64) for b in (_BASE, pow(_BASE, -1, 2**64))]
@@ -79,10 +79,10 @@ def word_hashes(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
         stops = word.copy()
         stops[:-1] &= gap[a + 1 : b] | border[a + 1 : b]
         last = np.flatnonzero(stops)
-        power, inverse = _power(b - a)
+        up, down = power(b - a)
         sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_CODE[flat[a:b]] * power[: b - a], out=sums[1:])
-        out.append(mixed((sums[last + 1] - sums[first]) * inverse[first] + (last - first).astype(np.uint64)))
+        np.cumsum(_CODE[flat[a:b]] * up[: b - a], out=sums[1:])
+        out.append(mixed((sums[last + 1] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
         counts += np.bincount(np.searchsorted(ends, a + first, side="right"), minlength=len(sizes))
         a = b
     return np.concatenate(out), counts

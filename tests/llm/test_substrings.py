@@ -39,12 +39,13 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "sent"), [(1, 10**6), (2, 0)])
-def test_removal_is_brute_force(spark, seed, sent):
+@pytest.mark.parametrize(("seed", "range_bytes"), [(1, 10**6), (2, 300), (3, 2000)])
+def test_removal_is_brute_force(spark, seed, range_bytes):
     rows = corpus(seed)
     rows += [(500, None, "x"), (501, "", "x"), (502, "a" * 300, "x"), (503, "a" * 49, "x"), (504, "a" * 50, "x"), (None, "a" * 80, "x"), (505, rows[5][1], "x"), (505, rows[5][1], "x"), (506, "ü" * 40, "x"), (507, "ü" * 30, "x")]
+    rows += [(508, "the same id" * 9, "x"), (508, "another text" * 9, "x"), (509, "the same id" * 7 + "another text" * 8, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_spans string")
-    got = remove_repeats(docs, sent).select("doc_id", "kept", "n_bytes", "n_removed", "n_spans").collect()
+    got = remove_repeats(docs, range_bytes=range_bytes).select("doc_id", "kept", "n_bytes", "n_removed", "n_spans").collect()
     assert sorted(((i, bytes(k), *x) for i, k, *x in got), key=str) == brute(rows)
 
 
@@ -69,7 +70,12 @@ def test_every_start_is_in_one_segment():
     starts = [k for a, b in zip(first, last, strict=True) for k in range(a, b + 1)]
     begin = np.cumsum([0, *map(len, docs)])
     assert starts == [begin[d] + k for d, x in enumerate(docs) for k in range(len(x) - WIDTH + 1)]
-    assert (last - first).max() < 29
+    flat = b"".join(docs)
+    by = {}
+    for k, a, b in zip(anchor.tolist(), first, last, strict=True):
+        for s in range(a, b + 1):
+            assert by.setdefault(flat[s : s + WIDTH], k) == k
+    assert len(segments(np.full(100_000, 97, np.uint8), np.array([100_000]))[0]) == 1
 
 
 def test_empty(spark):
