@@ -83,12 +83,21 @@ def packed(values: np.ndarray, width: int) -> np.ndarray:
     return np.frombuffer(b"".join([*out, bytes(8)]), np.uint64)
 
 
+_U = np.arange(256, dtype=np.uint64)
+_X = [np.uint64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x0101010101010101, 0x8080808080808080)]
+#: The place of the k-th set bit of a byte.
+_NTH = np.zeros((256, 9), np.uint64)
+for _k in range(8):
+    _set = (np.arange(256) >> _k) & 1 == 1
+    _NTH[_set, np.bitwise_count(np.arange(256) & ((2 << _k) - 1))[_set]] = _k
+
+
 class EliasFano:
     """A non-decreasing sequence below 2**62: low bits packed, high bits in unary."""
 
     def __init__(self, parts: dict[str, np.ndarray]):
         self.low, self.high, self.zeros = parts["low"], parts["high"], parts["zeros"]
-        self.n, self.shift, self.steps = (int(x) for x in parts["head"])
+        self.n, self.shift = (int(x) for x in parts["head"])
 
     @staticmethod
     def parts(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -101,9 +110,7 @@ class EliasFano:
         bits[at] = 1
         words = np.packbits(bits, bitorder="little").view(np.uint64)
         zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(words).astype(np.int64))])
-        runs = np.flatnonzero(np.concatenate([[True], high[1:] != high[:-1], [True]])) if n else np.zeros(1, np.int64)
-        bucket = int(np.diff(runs).max()) if n else 0
-        return {"low": packed(v, shift), "high": words, "zeros": zeros.astype(np.uint32), "head": np.array([n, shift, bucket.bit_length()], np.int64)}
+        return {"low": packed(v, shift), "high": words, "zeros": zeros.astype(np.uint32), "head": np.array([n, shift], np.int64)}
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         """Low parts at places."""
@@ -114,37 +121,49 @@ class EliasFano:
         over = self.low[word + 1] << (np.uint64(63) - off) << np.uint64(1)
         return ((self.low[word] >> off | over) & np.uint64((1 << self.shift) - 1)).astype(np.int64)
 
-    def _start(self, h: np.ndarray) -> np.ndarray:
-        """Elements whose high part is below ``h``: ones before the h-th zero."""
-        h = np.minimum(h, int(self.zeros[-1]))
-        word = np.searchsorted(self.zeros, h, side="left") - 1
-        word = np.maximum(word, 0)
-        left = h - self.zeros[word].astype(np.int64)  # zeros to pass in this word
-        flipped = ~self.high[word]
-        at = np.zeros(len(h), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):  # the place behind the left-th zero
-            part = (flipped >> at.astype(np.uint64)) & np.uint64((1 << width) - 1)
-            has = np.bitwise_count(part).astype(np.int64)
-            go = has < left
-            left = np.where(go, left - has, left)
-            at = np.where(go, at + width, at)
-        behind = word * 64 + at + 1
-        return np.where(h > 0, behind - h, 0)
+    def _select(self, words: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The place of the k-th set bit (from 1) of each word; k is at most the word's number of them."""
+        s = words - ((words >> _U[1]) & _X[0])
+        s = (s & _X[1]) + ((s >> _U[2]) & _X[1])
+        before = ((s + (s >> _U[4])) & _X[2]) * _X[3]  # byte i: set bits of bytes 0 to i
+        byte = np.bitwise_count((before + (_U[128] - k) * _X[3]) & _X[4] ^ _X[4]).astype(np.uint64) << _U[3]
+        rest = k - ((before << _U[8]) >> byte & _U[255])
+        return (byte + _NTH[(words >> byte & _U[255]).astype(np.int64), rest.astype(np.int64)]).astype(np.int64)
+
+    def _start(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Elements whose high part is below ``h``, that is ones before the h-th zero; and the bit behind that zero."""
+        word = np.maximum(np.searchsorted(self.zeros, h.astype(self.zeros.dtype), side="left") - 1, 0)
+        left = np.maximum(h - self.zeros[word].astype(np.int64), 1).astype(np.uint64)  # zeros to pass in this word
+        behind = np.where(h > 0, word * 64 + self._select(~self.high[word], left) + 1, 0)
+        return behind - h, behind
 
     def find(self, v: np.ndarray) -> np.ndarray:
         """The place of each value, -1 if it is not there."""
         v = np.asarray(v, np.int64)
+        out = np.full(len(v), -1)
         if not self.n:
-            return np.full(len(v), -1)
-        h, want = v >> self.shift, (v & ((1 << self.shift) - 1))
-        a, end = self._start(h), self._start(h + 1)
-        b = end.copy()
-        for _ in range(self.steps):
-            mid = (a + b) >> 1
-            right = (a < b) & (self._low(np.minimum(mid, self.n - 1)) < want)
-            a, b = np.where(right, mid + 1, a), np.where(right | (a >= b), b, mid)
-        a_in = np.minimum(a, self.n - 1)
-        return np.where((a < end) & (self._low(a_in) == want), a, -1)
+            return out
+        top = int(self.zeros[-1])
+        h, want = v >> self.shift, v & ((1 << self.shift) - 1)
+        a, behind = self._start(np.minimum(h, top))
+        word = behind >> 6
+        rest = ~self.high[np.minimum(word, len(self.high) - 1)] >> (behind & 63).astype(np.uint64)
+        run = np.bitwise_count((rest & (~rest + _U[1])) - _U[1]).astype(np.int64)  # ones from there on; 64 if they reach the word's end
+        end = a + run
+        far = np.flatnonzero((rest == 0) & (h < top))
+        end[far] = self._start(h[far] + 1)[0]
+        live = np.flatnonzero((h < top) & (a < end))
+        a, end, want = a[live], end[live], want[live]
+        while len(live):
+            mid = (a + end) >> 1
+            low = self._low(mid)
+            hit = low == want
+            out[live[hit]] = mid[hit]
+            less = low < want
+            a, end = np.where(less, mid + 1, a), np.where(less, end, mid)
+            keep = np.flatnonzero(~hit & (a < end))
+            live, a, end, want = live[keep], a[keep], end[keep], want[keep]
+        return out
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         """Elements at places."""
@@ -152,13 +171,7 @@ class EliasFano:
         ones = np.arange(1, len(self.high) + 1) * 64 - self.zeros[1:].astype(np.int64)
         word = np.searchsorted(ones, i, side="right")
         left = i - np.where(word > 0, ones[word - 1], 0) + 1
-        at = np.zeros(len(i), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            part = (self.high[word] >> at.astype(np.uint64)) & np.uint64((1 << width) - 1)
-            has = np.bitwise_count(part).astype(np.int64)
-            go = has < left
-            left = np.where(go, left - has, left)
-            at = np.where(go, at + width, at)
+        at = self._select(self.high[word], left.astype(np.uint64))
         return (word * 64 + at - i << self.shift) + self._low(i)
 
 
@@ -200,10 +213,13 @@ class Levels:
 
     def _by_shard(self, kind: str, shard: np.ndarray) -> Iterator[tuple[dict, int, np.ndarray]]:
         """Each shard's level, its number, and the queries that go there (-1: nowhere)."""
-        for s in np.unique(shard[shard >= 0]).tolist():
-            a = self.level(kind, s)
+        order = np.argsort(shard.astype(np.int32), kind="stable")
+        cuts = np.flatnonzero(np.diff(shard[order], prepend=-2))
+        for own in np.split(order, cuts[1:]) if len(order) else ():
+            s = int(shard[own[0]])
+            a = self.level(kind, s) if s >= 0 else None
             if a is not None:
-                yield a, s, np.flatnonzero(shard == s)
+                yield a, s, own
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id (-1: none) and count of each word."""
@@ -255,25 +271,23 @@ class Levels:
             out[own[local[own] >= len(a["weight"])]] = 255
         return out
 
-    def bigrams(self, w1: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Shard, place there and number among w1's successors (-1: none) of bigrams."""
+    def bigrams(self, w1: np.ndarray, w2: np.ndarray, with_probabilities: bool = True) -> tuple[np.ndarray, ...]:
+        """Shard, place there and number among w1's successors (-1: none) of bigrams; their probability and weight bytes (255: none)."""
         place, among = np.full(len(w1), -1), np.full(len(w1), -1)
+        p, weight = np.full(len(w1), 255, np.uint8), np.full(len(w1), 255, np.uint8)
         shard, local, hot = self.dealt(w1, w2)
         for a, s, own in self._by_shard("bigrams", shard):
             at = a["keys"].find(local[own] * self.distinct + w2[own])
-            own, at = own[at >= 0], at[at >= 0]
+            hit = np.flatnonzero(at >= 0)
+            own, at = own[hit], at[hit]
             if len(own):
                 place[own] = at
                 among[own] = at - a["pointers"][local[own]]
+                if with_probabilities:
+                    b = self.level("probabilities", s)
+                    p[own], weight[own] = b["p"][at], b["weight"][at]
         among = np.where(hot & (among >= 0), among * self.shards + shard, among)
-        return shard, place, among
-
-    def at(self, kind: str, name: str, shard: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Values of a byte array of a level at places (-1: 255)."""
-        out = np.full(len(place), 255, np.int64)
-        for a, _, own in self._by_shard(kind, np.where(place >= 0, shard, -1)):
-            out[own] = a[name][place[own]]
-        return out
+        return shard, place, among, p, weight
 
     def pair_counts(self, shard: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Counts of bigrams, while the model is built."""
@@ -463,9 +477,6 @@ def _second_level(rows: DataFrame, sent, folder: str) -> DataFrame:
 def _third_level(spark, sent, folder: str, shards: int) -> DataFrame:
     """Writes the probabilities of each shard's bigrams, and its trigrams."""
 
-    def interpolated(m: Levels, w1: np.ndarray, w2: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return (count - D2) / m.count(w1) + 10 ** log10_of(m.weights(w1)) * m.unigram(m.count(w2))
-
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Levels = sent.value
         v, cold = np.int64(max(m.distinct, 1)), m.distinct // m.shards + 1
@@ -478,11 +489,12 @@ def _third_level(spark, sent, folder: str, shards: int) -> DataFrame:
             pair = b["keys"][np.arange(len(count))]
             local, w2 = pair // v, pair % v
             w1 = np.where(local < cold, local * m.shards + s, m.hot[np.maximum(local - cold, 0)] if len(m.hot) else 0)
-            p = quantise(interpolated(m, w1, w2, count))
+            p = quantise((count - D2) / m.count(w1) + 10 ** log10_of(m.weights(w1)) * m.unigram(m.count(w2)))
             weight = np.where(successors > 0, quantise(D3 * successors / count), 255).astype(np.uint8)
             probabilities = write_level(folder, {"p": p, "weight": weight})
-            shard, at, among = m.bigrams(w2[place], last)
-            lower = quantise(interpolated(m, w2[place], last, m.pair_counts(shard, at)))
+            shard, at, among, _, _ = m.bigrams(w2[place], last, with_probabilities=False)
+            below = 10 ** log10_of(m.weights(w2))
+            lower = quantise((m.pair_counts(shard, at) - D2) / m.count(w2)[place] + below[place] * m.unigram(m.count(last)))
             p = quantise((n - D3) / count[place] + 10 ** (log10_of(weight[place]) + log10_of(lower)))
             key = place * m.fanout + among
             order = np.argsort(key)
@@ -532,11 +544,10 @@ def log10_tokens(m: Levels, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.n
     v = np.int64(max(m.distinct, 1))
     known = np.flatnonzero((w >= 0) & (w[before] >= 0))
     pair, back = np.unique(w[before[known]] * v + w[known], return_inverse=True)
-    own_shard, own_place, own_among = m.bigrams(pair // v, pair % v)
-    own_p, own_weight = m.at("probabilities", "p", own_shard, own_place), m.at("probabilities", "weight", own_shard, own_place)
+    found = m.bigrams(pair // v, pair % v)
     shard, place, among = np.zeros(len(w), np.int64), np.full(len(w), -1), np.full(len(w), -1)
-    p, inner = np.full(len(w), 255, np.int64), np.full(len(w), 255, np.int64)
-    for x, own in ((shard, own_shard), (place, own_place), (among, own_among), (p, own_p), (inner, own_weight)):
+    p, inner = np.full(len(w), 255, np.uint8), np.full(len(w), 255, np.uint8)
+    for x, own in zip((shard, place, among, p, inner), found, strict=True):
         x[known] = own[back]
     full = np.where(p < 255, log10_of(p), base)
     off = np.flatnonzero((p == 255) & (w[before] >= 0))
