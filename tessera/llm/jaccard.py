@@ -27,18 +27,19 @@ more pairs of bounds, never a lost link.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.text import pieces, texts
-from tessera.sources.shared import cut
+from tessera.llm.mapped import SortedSets, map_level, repeated_numbers, write_level
+from tessera.llm.text import pieces
+from tessera.llm.words import utf8, word_hashes
+from tessera.sources.shared import cut, fresh_path, release
 from tessera.sources.tables import table
 
 #: Frequent tokens that are sent to the workers at most (8 bytes each); the threshold rises until they fit.
@@ -53,37 +54,29 @@ PROBES = 8
 BLOCK = 256
 #: The largest count of a bucket; sets that reach it are not bounded but verified.
 MANY = 65_535
-#: Needed documents up to this number are sent to the workers as a sorted array of ids.
-SENT_IDS = 4_000_000
+#: Bytes of posted tokens for each range of tokens; files of sets that a task keeps open.
+POSTED, FILES = 16 << 20, 500
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-class Shingler:
-    """Sets of word n-gram hashes; word hashes are remembered."""
-
-    def __init__(self, n: int):
-        self.n, self.seen = n, {}
-
-    def sets(self, batch: list[str]) -> Iterator[np.ndarray]:
-        """The sorted distinct hashes of each text."""
-        seen = self.seen
-        if len(seen) > 500_000:
-            seen.clear()
-        for text in batch:
-            words = text.encode().lower().split()
-            new = set(words).difference(seen)
-            seen.update(zip(new, map(xxhash.xxh64_intdigest, new), strict=True))
-            w = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-            n = min(self.n, len(w))
-            if not n:
-                yield w
-                continue
-            h = np.full(len(w) - n + 1, n, np.uint64)
-            for k in range(n):
-                h = (h ^ w[k : k + len(h)]) * _MIX[k % 4]
-                h ^= h >> np.uint64(29)
-            h.sort()
-            yield h[np.concatenate([[True], h[1:] != h[:-1]])]
+def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's word n-grams."""
+    words, counts = word_hashes(*utf8(column))
+    h = np.full(max(len(words) - n + 1, 0), n, np.uint64)
+    for k in range(n):
+        h = (h ^ words[k : k + len(h)]) * _MIX[k % 4]
+        h ^= h >> np.uint64(29)
+    ends = np.cumsum(counts)
+    for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+        if b - a >= n:
+            x = np.sort(h[a : b - n + 1])
+            yield x[np.concatenate([[True], x[1:] != x[:-1]])]
+        else:  # the whole sequence
+            x = np.uint64(b - a)
+            for k, w in enumerate(words[a:b]):
+                x = (x ^ w) * _MIX[k % 4]
+                x ^= x >> np.uint64(29)
+            yield np.array([x] if b > a else [], np.uint64)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -98,7 +91,7 @@ def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
     """Tokens that several documents of a task share, the most frequent first while they fit; sorted by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held, room = Shingler(n), [], 0
+        held, room = [], 0
         total = (np.empty(0, np.uint64), np.empty(0, np.int64))
 
         def fold() -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +102,8 @@ def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
             first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
             return x[first], np.add.reduceat(c, first) if len(first) else c
 
-        for batch in pieces(batches):
-            for s in shingler.sets(texts(batch.column(0))):
+        for batch in pieces(batches, mb=4):
+            for s in shingle_sets(batch.column(0), n):
                 held.append(s)
                 room += len(s)
             if room > 4_000_000:
@@ -142,10 +135,9 @@ def documents_with_prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     common = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(n)
-        for batch in pieces(batches):
+        for batch in pieces(batches, mb=4):
             size, sig, prefix = [], [], []
-            for s in shingler.sets(texts(batch.column(1))):
+            for s in shingle_sets(batch.column(1), n):
                 size.append(len(s))
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 often = in_sorted(s, common.value)
@@ -156,20 +148,30 @@ def documents_with_prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(token, node, n, rest, place): the posted tokens of classes, those that two or more classes post."""
+    """(token, node, n, rest, place): the posted tokens of classes that two or more classes post (and a few others)."""
+    spark = classes.sparkSession
+    total = classes.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
+    rows = classes.select("node", "n_shingles", "prefix")
+
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
+
+    shared = spark.sparkContext.broadcast(repeated_numbers(rows, tokens_of, 1 + total // POSTED, fresh_path(spark, "jaccard-tokens")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-            size = np.array([len(x) for x in tokens])
+            packed = batch.column(2).to_pylist()
+            token = np.frombuffer(b"".join(packed), np.uint64)
+            size = np.array([len(x) // 8 for x in packed])
             place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             node, n = (np.repeat(batch.column(k).to_numpy(), size) for k in (0, 1))
-            out = [np.concatenate([*tokens, np.empty(0, np.int64)]), node, n.astype(np.int32), (n - place).astype(np.int32), place.astype(np.int32)]
-            for a in range(0, len(node), 200_000):
+            own = np.flatnonzero(shared.value.contains(token))
+            out = [token[own].view(np.int64), node[own], n[own].astype(np.int32), (n - place)[own].astype(np.int32), place[own].astype(np.int32)]
+            for a in range(0, len(own), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 200_000]) for x in out], ["token", "node", "n", "rest", "place"])
 
-    rows = classes.select("node", "n_shingles", "prefix").mapInArrow(run, "token long, node long, n int, rest int, place int")
-    return rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1").drop("df")
+    return rows.mapInArrow(run, "token long, node long, n int, rest int, place int")
 
 
 def needed(a: Column, b: Column, percent: int) -> Column:
@@ -183,30 +185,39 @@ def fits(n1: Column, n2: Column, percent: int) -> Column:
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, tokens, bins): whole sets of the documents ``nodes``, with their counts per bucket."""
+    """(node, file, at, size, bins): where the whole sets of the documents ``nodes`` lie in the shared folder, and their counts per bucket."""
     spark = docs.sparkSession
-    rows = _rows(docs)
-    many = nodes.count()
-    if many <= SENT_IDS:
-        ids = spark.sparkContext.broadcast(np.sort(nodes.toArrow().column("node").to_numpy()))
-    else:
-        ids, rows = None, rows.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    folder = fresh_path(spark, "jaccard-sets")
+    wanted = spark.sparkContext.broadcast(SortedSets.write(nodes.select(F.xxhash64("node").alias("key")), folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(n)
-        for batch in pieces(batches):
-            if ids is not None:
-                own = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-                batch = batch.filter(pa.array(in_sorted(own, ids.value) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)))
-                if not batch.num_rows:
-                    continue
-            tokens, bins = [], []
-            for s in shingler.sets(texts(batch.column(1))):
-                tokens.append(s.tobytes())
-                bins.append(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BUCKETS).clip(max=MANY).astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary()), pa.array(bins, pa.binary())], ["node", "tokens", "bins"])
-
-    return rows.mapInArrow(run, "node long, tokens binary, bins binary")
+        held: list[np.ndarray] = []
+        rows: list[list] = [[], [], []]
+
+        def written() -> pa.RecordBatch:
+            file = int.from_bytes(os.urandom(7), "little")
+            size = np.array([len(x) for x in held], np.int64)
+            write_level(f"{folder}/sets", {"tokens": np.concatenate(held)}, name=str(file))
+            out = pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(np.full(len(size), file)), pa.array(np.cumsum(size) - size), pa.array(size), pa.array(rows[1], pa.binary())], ["node", "file", "at", "size", "bins"])
+            held.clear()
+            for x in rows:
+                x.clear()
+            return out
+
+        for batch in pieces(batches, mb=4):
+            batch = batch.filter(pa.array(wanted.value.contains(batch.column(2).to_numpy().view(np.uint64))))
+            for node, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n), strict=True):
+                held.append(s)
+                rows[0].append(node)
+                rows[1].append(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BUCKETS).clip(max=MANY).astype(np.uint16).tobytes())
+            if sum(map(len, held)) > 2_000_000:
+                yield written()
+        if held:
+            yield written()
+
+    rows = _rows(docs.filter("doc_id is not null"))
+    sets = cut(rows.withColumn("key", F.xxhash64("doc_id")).mapInArrow(run, "node long, file long, at long, size long, bins binary"), "jaccard-sets")
+    return sets.withColumn("folder", F.lit(f"{folder}/sets"))
 
 
 def bucket_counts(packed: list[bytes]) -> np.ndarray:
@@ -219,35 +230,32 @@ def may_be_similar(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     return ((100 + percent) * both >= percent * (x.sum(-1) + y.sum(-1))) | (np.maximum(x, y) == MANY).any(-1)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; a pair is dropped before its sets meet if the bucket counts rule it out."""
-    left = sets.select(F.col("node").alias("a"), F.col("bins").alias("bins_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("bins").alias("bins_b"))
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (bucket_counts(batch.column(k).to_pylist()) for k in (2, 3))
-            yield batch.filter(pa.array(may_be_similar(x, y, percent))).select([0, 1])
-
-    near = pairs.join(left, "a").join(right, "b").select("a", "b", "bins_a", "bins_b").mapInArrow(bound, "a long, b long")
-    return similar(cut(near, "jaccard-near"), sets, percent)
-
-
 def similar(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
+    """The pairs (a, b) whose whole sets are similar; only where these lie is sent."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files: dict[tuple[str, int], np.ndarray] = {}
+
+        def tokens(folder: str, file: int, at: int, size: int) -> np.ndarray:
+            if (folder, file) not in files:
+                if len(files) >= FILES:
+                    files.clear()
+                files[folder, file] = map_level(f"{folder}/{file}")["tokens"]
+            return files[folder, file][at : at + size]
+
         for batch in batches:
+            folder, *where = (c.to_pylist() for c in batch.columns[2:])
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = int(in_sorted(x, y).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            for r, f in enumerate(folder):
+                small, large = sorted((tokens(f, *(c[r] for c in where[:3])), tokens(f, *(c[r] for c in where[3:]))), key=len)
+                both = int(in_sorted(small, large).sum()) if 100 * len(small) >= percent * len(large) else 0
+                keep.append(100 * both >= percent * (len(small) + len(large) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
-    return near.join(left, "a").join(right, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(exact, "a long, b long").distinct()
+    left = sets.select(F.col("node").alias("a"), F.col("file").alias("f"), F.col("at").alias("i"), F.col("size").alias("n"), "folder")
+    right = sets.select(F.col("node").alias("b"), F.col("file").alias("g"), F.col("at").alias("j"), F.col("size").alias("m"))
+    rows = near.join(left, "a").join(right, "b").select("a", "b", "folder", "f", "i", "n", "g", "j", "m")
+    return rows.mapInArrow(exact, "a long, b long").distinct()
 
 
 def grouping_pairs(posted: DataFrame, percent: int) -> DataFrame:
@@ -263,7 +271,9 @@ def group_pairs(posted: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     """Pairs (g, h) of groups that a row of the token-group matrix holds both and whose bound allows a link."""
     matrix = posted.join(groups, "node", "left").withColumn("g", F.coalesce("component", "node"))
     matrix = matrix.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
-    contested = matrix.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("k > 1").drop("k")
+    matrix = cut(matrix, "jaccard-matrix")
+    shared = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
+    contested = matrix.join(shared, "token")
     other = contested.select("token", *[F.col(c).alias(f"{c}2") for c in ("g", "low", "high", "rest")])
     both = contested.join(other, "token").filter("g < g2")
     # sizes that some member of one and some member of the other may have
@@ -280,15 +290,17 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     are linked with nothing. A row without id has component null and takes no
     part. Rows with one id are one document with the links of all of them.
     """
+    spark = docs.sparkSession
     facts = cut(documents_with_prefixes(docs, n, percent), "jaccard-docs")
     live = facts.filter("n_shingles > 0 and doc_id is not null")
     classes = live.groupBy("sig").agg(F.min(F.struct("doc_id", "n_shingles", "prefix")).alias("x"))
     classes = cut(classes.select("sig", F.col("x.doc_id").alias("node"), "x.n_shingles", "x.prefix"), "jaccard-classes")
     posted = cut(postings(classes), "jaccard-postings")
 
-    first = cut(grouping_pairs(posted, percent), "jaccard-first")
-    nodes = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = cut(verified(first, cut(whole_sets(docs, nodes, n), "jaccard-sets"), percent), "jaccard-links")
+    release(spark)
+
+    sets = whole_sets(docs, posted.select("node").distinct(), n)
+    links = cut(similar(grouping_pairs(posted, percent), sets, percent), "jaccard-links")
     # ids that stand in several classes tie these together
     ties = live.select("doc_id", "sig").join(classes.select("sig", "node"), "sig").filter("doc_id != node")
     twice = ties.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
@@ -299,15 +311,13 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     opened = cut(group_pairs(posted, groups, percent), "jaccard-opened")
     sized = classes.select("node", F.col("n_shingles").alias("n")).join(groups, "node", "left").withColumn("g", F.coalesce("component", "node"))
     sized = cut(sized.select("node", "n", "g"), "jaccard-members")
-    probes = probed_pairs(opened, sized, percent)
-    nodes = probes.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = links.unionByName(cut(verified(probes, cut(whole_sets(docs, nodes, n), "jaccard-sets"), percent), "jaccard-links"))
+    release(spark, posted)
+    links = links.unionByName(cut(similar(probed_pairs(opened, sized, percent), sets, percent), "jaccard-links"))
     groups = cut(components(links.unionByName(twice)), "jaccard-groups")
 
     apart = cut(still_apart(opened, groups.select(F.col("node").alias("g"), "component"), sized), "jaccard-apart")
-    some = apart.select(F.explode(F.array("g", "h")).alias("g")).distinct()
-    sets = cut(whole_sets(docs, sized.join(some, "g", "left_semi").select("node"), n), "jaccard-sets")
     links = links.unionByName(cut(similar(open_groups(apart, sized, sets, percent), sets, percent), "jaccard-links"))
+    release(spark)
     groups = components(links.unionByName(twice))
     final = groups
 
@@ -329,10 +339,10 @@ def jaccard_links(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     classes = facts.groupBy("sig").agg(F.min(F.struct("doc_id", "n_shingles", "prefix")).alias("x"))
     classes = cut(classes.select("sig", F.col("x.doc_id").alias("node"), "x.n_shingles", "x.prefix"), "jaccard-classes")
     alone = docs.sparkSession.createDataFrame([], "node long, component long")
-    pairs = group_pairs(cut(postings(classes), "jaccard-postings"), alone, percent).toDF("a", "b")
-    pairs = cut(pairs, "jaccard-opened")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = verified(pairs, cut(whole_sets(rows.select("doc_id", "text"), nodes, n), "jaccard-sets").dropDuplicates(["node"]), percent)
+    posted = cut(postings(classes), "jaccard-postings")
+    pairs = group_pairs(posted, alone, percent).toDF("a", "b")
+    sets = whole_sets(rows.select("doc_id", "text"), posted.select("node").distinct(), n).dropDuplicates(["node"])
+    links = similar(pairs, sets, percent)
     named = facts.select("doc_id", "sig").distinct().join(rows.select("doc_id", "id"), "doc_id").groupBy("sig").agg(F.min("id").alias("id"))
     named = cut(named.join(classes.select("sig", "node"), "sig").select("node", "id"), "jaccard-names")
     links = links.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").filter("x != y")

@@ -6,6 +6,7 @@ import json
 import mmap
 import os
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.text import give_back
 from tessera.sources.shared import cut, release
 
 
@@ -21,17 +23,17 @@ def least(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
 
 
-def write_level(folder: str, arrays: dict[str, np.ndarray]) -> str:
+def write_level(folder: str, arrays: dict[str, np.ndarray], name: str = "") -> str:
     """Arrays in one file of the shared folder, which appears whole or not at all; its URI."""
     head, blobs, at = {}, [], 0
-    for name, x in arrays.items():
+    for array, x in arrays.items():
         blob = np.ascontiguousarray(x).tobytes()
-        head[name] = [at, x.dtype.str, len(x)]
+        head[array] = [at, x.dtype.str, len(x)]
         blobs += [blob, bytes(-len(blob) % 8)]
         at += len(blob) + (-len(blob) % 8)
     text = json.dumps(head).encode()
     text = len(text).to_bytes(8, "little") + text + bytes(-len(text) % 8)
-    uri = f"{folder}/{uuid.uuid4().hex}"
+    uri = f"{folder}/{name or uuid.uuid4().hex}"
     where = urlparse(uri)
     if where.scheme in ("", "file"):
         os.makedirs(os.path.dirname(where.path), exist_ok=True)
@@ -110,3 +112,44 @@ class SortedSets:
                 asked = x[own].astype(known.dtype)
                 out[own] = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
         return out
+
+
+def split_ranges(numbers: np.ndarray, n: int) -> np.ndarray:
+    """Where each of ``n`` ranges of the upper 32 bits begins in sorted numbers, and the end."""
+    return np.searchsorted((numbers >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
+
+
+def repeated_numbers(rows: DataFrame, numbers: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], n: int, folder: str, room: int = 4_000_000) -> SortedSets:
+    """The numbers that occur twice or more among the arrays that ``numbers`` makes of a task's batches.
+
+    They are told apart by range (of ``n``) and lower 32 bits, so that a few others
+    slip in. A task sends each number twice at most, four bytes each time.
+    """
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            k = np.sort(np.concatenate(held))
+            k = k[np.concatenate([[True, True], k[2:] != k[:-2]])[: len(k)]]
+            cuts = split_ranges(k, n)
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
+                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([k[cuts[s] : cuts[s + 1]].astype(np.uint32).tobytes()])], ["s", "keys"])
+
+        for x in numbers(batches):
+            held.append(x)
+            size += len(x)
+            if size > room:
+                yield from sent()
+                held, size = [], 0
+        if size:
+            yield from sent()
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        k = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("keys").to_pylist()]))
+        path = write_level(folder, {"key": np.unique(k[1:][k[1:] == k[:-1]])})
+        give_back()
+        return pa.Table.from_pydict({"s": [key[0].as_py()], "path": [path]})
+
+    built = rows.mapInArrow(collect, "s long, keys binary").groupBy("s").applyInArrow(merge, "s long, path string")
+    return SortedSets({r.s: r.path for r in built.collect()}, n)
