@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.mapped import SortedSets, map_level, write_level
+from tessera.llm.mapped import SortedSets, map_level, repeated_numbers, split_ranges, write_level
 from tessera.llm.text import give_back, pieces
 from tessera.llm.words import mixed, power, utf8
 from tessera.sources.shared import cut, fresh_path, release
@@ -44,8 +44,8 @@ from tessera.sources.tables import table
 WIDTH, GRAM = 50, 32
 #: Quicksort goes as deep as this; groups above the size are sorted deeper before they go to a trie.
 SHALLOW, TRIE = 24, 2000
-#: Bytes of text for each range of keys; keys and bytes of segments that a task holds; bytes whose suffixes are sorted at once.
-RANGE, KEYS, HELD, SORTED = 16 << 20, 4_000_000, 32 << 20, 4 << 20
+#: Bytes of text for each range of keys; bytes of segments that a task holds; bytes whose suffixes are sorted at once.
+RANGE, HELD, SORTED = 16 << 20, 32 << 20, 4 << 20
 #: Documents with equal texts meet in so many parts.
 SALTS = 16
 #: Starts whose keys are found at once.
@@ -96,11 +96,6 @@ def prints(flat: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return mixed((sums[last + WIDTH] - sums[first]) * down[first] + (last - first).astype(np.uint64))
 
 
-def ranges(keys: np.ndarray, n: int) -> np.ndarray:
-    """The range of each key, of ``n`` that cut the upper 32 bits."""
-    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
 def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of stretches of ``flat``, end to end."""
     return flat[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)]
@@ -114,14 +109,17 @@ def _highest(x: np.ndarray) -> np.ndarray:
 
 
 class Suffixes:
-    """Suffixes of a text at given places, sorted by their first WIDTH bytes."""
+    """Suffixes of a text at given places, sorted by their first WIDTH bytes within groups.
 
-    def __init__(self, flat: bytes, places: np.ndarray):
+    ``group`` has for each place where its group begins; groups are in order.
+    """
+
+    def __init__(self, flat: bytes, places: np.ndarray, group: np.ndarray | None = None):
         b = np.frombuffer(flat + bytes(WIDTH + 16), np.uint8)
         self.words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(b, 8)).view(">u8").ravel().astype(np.uint64)
         self.places = places
         self.order = np.arange(len(places))  # suffixes in sorted order, at the end
-        self.group = np.zeros(len(places), np.int64)  # where the group of the suffix at each rank begins
+        self.group = np.zeros(len(places), np.int64) if group is None else group.copy()  # where the group of the suffix at each rank begins
 
     def word(self, suffix: np.ndarray, depth: int | np.ndarray) -> np.ndarray:
         """Eight bytes of each suffix; those beyond WIDTH are blank."""
@@ -241,12 +239,18 @@ class Suffixes:
         new[rank] = np.concatenate([[True], (np.diff(place[by]) != 0) | (np.diff(group[by]) != 0)])
 
 
-def smallest_holders(flat: bytes, sizes: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """For each 50-byte string of segments laid end to end the smallest owner of a segment with an equal string."""
+def smallest_holders(flat: bytes, sizes: np.ndarray, owner: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For each 50-byte string of segments laid end to end the smallest owner of a segment with an equal string.
+
+    Segments come by key; strings are only equal under one key.
+    """
     count = sizes - WIDTH + 1
+    before = np.cumsum(count) - count
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    group = np.repeat(before[first], np.add.reduceat(count, first))
     begin = np.cumsum(sizes) - sizes
     places = np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
-    suffixes = Suffixes(flat, places)
+    suffixes = Suffixes(flat, places, group)
     new = np.flatnonzero(suffixes.sort())
     own = np.repeat(owner, count)[suffixes.order]
     least = np.repeat(np.minimum.reduceat(own, new), np.diff(np.append(new, len(own))))
@@ -277,38 +281,14 @@ def _without_copies(docs: DataFrame, folder: str) -> tuple[SortedSets, int]:
 
 
 def _shared_keys(docs: DataFrame, copies, n: int, folder: str) -> SortedSets:
-    """The keys that segments of two rows or more have (by range and lower 32 bits: a few more)."""
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            k = np.sort(np.concatenate(held))
-            k = k[np.concatenate([[True, True], k[2:] != k[:-2]])[: len(k)]]  # twice is as good as often
-            cuts = np.searchsorted(ranges(k, n), np.arange(n + 1))
-            for s in np.flatnonzero(np.diff(cuts)).tolist():
-                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([k[cuts[s] : cuts[s + 1]].astype(np.uint32).tobytes()])], ["s", "keys"])
+    """The keys that segments of two rows or more have."""
 
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in pieces(batches, mb=2):
             key, doc, _, _ = segments(*_open(batch, copies.value)[1:])
-            own = np.unique(mixed(key + doc.astype(np.uint64) * _M[3]), return_index=True)[1]  # once for a document
-            held.append(key[own])
-            size += len(own)
-            if size > KEYS:
-                yield from sent()
-                held, size = [], 0
-        if size:
-            yield from sent()
-
-    def merge(key: tuple, group: pa.Table) -> pa.Table:
-        k = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("keys").to_pylist()]))
-        twice = k[1:][k[1:] == k[:-1]]
-        path = write_level(folder, {"key": np.unique(twice)})
-        give_back()
-        return pa.Table.from_pydict({"s": [key[0].as_py()], "path": [path]})
+            yield key[np.unique(mixed(key + doc.astype(np.uint64) * _M[3]), return_index=True)[1]]  # once for a document
 
-    built = docs.mapInArrow(collect, "s long, keys binary").groupBy("s").applyInArrow(merge, "s long, path string")
-    return SortedSets({r.s: r.path for r in built.collect()}, n)
+    return repeated_numbers(docs, keys, n, folder)
 
 
 def _held(docs: DataFrame, copies, shared, n: int) -> DataFrame:
@@ -325,7 +305,7 @@ def _held(docs: DataFrame, copies, shared, n: int) -> DataFrame:
             new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])]))
             low, high = np.minimum.reduceat(doc[order], new), np.maximum.reduceat(doc[order], new)
             key, mark, start, size = key[new], mark[new], start[order[new]], size[order[new]]
-            cuts = np.searchsorted(ranges(key, n), np.arange(n + 1))
+            cuts = split_ranges(key, n)
             for s in np.flatnonzero(np.diff(cuts)).tolist():
                 own = slice(cuts[s], cuts[s + 1])
                 arrays = [key[own].astype(np.uint32), mark[own], low[own], high[own], size[own], gathered(text, start[own], size[own])]
@@ -368,7 +348,7 @@ def settle(key: np.ndarray, mark: np.ndarray, low: np.ndarray, high: np.ndarray,
     weight = np.cumsum(size[sorted_]) // SORTED
     cuts = cuts[np.concatenate([[True], weight[cuts][1:] != weight[cuts][:-1]])] if len(cuts) else cuts
     for own in np.split(sorted_, cuts[1:]) if len(cuts) else ():
-        m = smallest_holders(gathered(text, start[own], size[own]).tobytes(), size[own], low[own])
+        m = smallest_holders(gathered(text, start[own], size[own]).tobytes(), size[own], low[own], key[own])
         count = size[own] - WIDTH + 1
         segment = np.repeat(np.arange(len(own)), count)
         run = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (segment[1:] != segment[:-1])]))
@@ -409,7 +389,7 @@ class Settled:
     def runs(self, key: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each run of a segment: the segment, first and last start in it, and the smallest id that has them."""
         out = [[np.empty(0, np.int64)] for _ in range(4)]
-        shard = ranges(key, self.n)
+        shard = ((key >> np.uint64(32)) * np.uint64(self.n) >> np.uint64(32)).astype(np.int64)
         for s in np.unique(shard).tolist():
             if s not in self.paths:
                 continue
