@@ -1,5 +1,6 @@
 import numpy as np
 
+from tessera.llm import neighbours
 from tessera.llm.neighbours import build_index, chi_square_quantile, leaf_bounds, search, tree_order
 
 SCHEMA = "vec_id long, embedding array<float>, score string"
@@ -58,3 +59,40 @@ def test_pieces():
     leaves = tree_order(p)
     assert np.cumsum([len(x) for x in leaves]).tolist() == leaf_bounds(1000)[1:].tolist()
     assert sorted(np.concatenate(leaves)) == list(range(1000))
+
+
+def test_ties_of_distinct_vectors_go_by_id(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART", 512)
+    g = np.random.default_rng(5)
+    seen = np.unique(g.integers(-1, 2, (4000, 7)), axis=0)
+    seen = seen[(seen != 0).any(1)]
+    ids = g.permutation(len(seen)) * 3
+    rows = [(int(i), [float(c) for c in v], None) for i, v in zip(ids, seen, strict=True)]
+    vectors = spark.createDataFrame(rows, SCHEMA)
+    got = {}
+    for r in search(build_index(vectors), vectors.filter("vec_id % 20 = 0"), sure=0.9999999).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert len(rows) > 1500 and got == brute(rows, 20)
+
+
+def test_far_parts_are_not_searched(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART", 256)
+    g = np.random.default_rng(6)
+    centre = g.standard_normal((16, 24)) * 4
+    rows = [(i, (centre[i % 16] + 0.1 * g.standard_normal(24)).tolist(), None) for i in range(4000)]
+    vectors = spark.createDataFrame(rows, SCHEMA)
+    index = build_index(vectors)
+    parts = [r.asDict() for r in index.parts.collect()]
+    assert len(parts) >= 16 and sum(p["n"] for p in parts) == 4000
+    got = search(index, vectors.filter("vec_id % 20 = 0"))
+    assert got.count() == 200 * 20
+    want = brute(rows, 20)
+    hits = sum(r.vec_id in {j for j, _ in want[r.query_id]} for r in got.collect())
+    assert hits >= 0.9 * 4000
+
+
+def test_query(spark, tmp_path):
+    spark.createDataFrame([(i, [float(i % 7), 1.0], 0) for i in range(45)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = neighbours.op3_neighbours(spark, str(tmp_path))
+    assert got.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
+    assert {r.query_id for r in got.collect()} == {0, 20, 40}
