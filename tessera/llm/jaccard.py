@@ -259,12 +259,28 @@ def similar(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def grouping_pairs(posted: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of neighbours under a class's first shared tokens, in orders that differ from token to token."""
+    """Pairs (a, b) of neighbours under a class's first shared tokens, in orders that differ from token to token.
+
+    The order is cut into ranges, so a token that very many classes post is dealt
+    over several tasks; the chain is open where ranges meet.
+    """
     nth = F.row_number().over(Window.partitionBy("node").orderBy("place", "token"))
-    order = Window.partitionBy("token").orderBy(F.xxhash64("node", "token"), "node")
-    chain = posted.withColumn("nth", nth).filter(F.col("nth") <= LINKS).withColumns({"b": F.lead("node").over(order), "m": F.lead("n").over(order)})
-    chain = chain.filter(F.col("b").isNotNull() & (F.col("b") != F.col("node")) & fits(F.col("n"), F.col("m"), percent))
-    return chain.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    rows = posted.withColumn("nth", nth).filter(F.col("nth") <= LINKS).select("token", "node", "n", F.xxhash64("node", "token").alias("order"))
+    parts = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["token", "order", "node"]
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            token, node, n = (np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(last))
+            last = [x[-1:] for x in (token, node, n)]
+            small, large = np.minimum(n[1:], n[:-1]), np.maximum(n[1:], n[:-1])
+            met = np.flatnonzero((token[1:] == token[:-1]) & (node[1:] != node[:-1]) & (100 * small >= percent * large))
+            a, b = np.minimum(node[met], node[met + 1]), np.maximum(node[met], node[met + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    ordered = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("token", "node", F.col("n").cast("long"))
+    return ordered.mapInArrow(chain, "a long, b long").distinct()
 
 
 def group_pairs(posted: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
