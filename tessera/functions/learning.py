@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-7
@@ -38,9 +38,11 @@ def binary_metrics(p: Column, y: Column, threshold: float = 0.5) -> dict[str, Co
 
 def auc(df: DataFrame, p: str, y: str) -> DataFrame:
     """Area under the curve by average ranks of distinct scores."""
+    from tessera.operators.ranks import running
+
     v = df.groupBy(p).agg(F.count_if(F.col(y) >= 0.5).alias("pos"), F.count_if(F.col(y) < 0.5).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return v.select((F.col("pos") * (below + F.col("neg") / 2)).alias("u"), "pos", "neg").agg(F.try_divide(F.sum("u"), F.sum("pos") * F.sum("neg")).alias("auc"))
+    v, _ = running(v, [p], ["neg"])
+    return v.select((F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)).alias("u"), "pos", "neg").agg(F.try_divide(F.sum("u"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def exponential_decay(lr: float, step: int, every: int, rate: float, staircase: bool = False) -> float:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import numbered
+
 
 def categories(df: DataFrame, column: str) -> DataFrame:
-    """(category, code): distinct values in text order; the table of categories is one task's."""
+    """(category, code): distinct values in text order."""
     values = df.select(F.col(column).alias("category")).filter(F.col("category").isNotNull()).distinct()
-    return values.withColumn("code", F.row_number().over(Window.orderBy(F.col("category").cast("string"))) - 1)
+    return numbered(values.withColumn("_text", F.col("category").cast("string")), ["_text"], "code").withColumn("code", F.col("code").cast("int")).select("category", "code")
 
 
 def codes(df: DataFrame, column: str) -> DataFrame:

@@ -66,3 +66,24 @@ def quantiles(df: DataFrame, column: str, qs: Sequence[float]) -> list[float | N
         k = int(q * (n - 1))
         out.append(at[k] + (at[min(k + 1, n - 1)] - at[k]) * (q * (n - 1) - k))
     return out
+
+
+def running(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> tuple[DataFrame, dict[str, float]]:
+    """``df`` (one row a key) with ``c_before`` for each column, the sum of the rows before, and all sums.
+
+    ``next`` is the following row's value of the last key, null at the end.
+    """
+    rows = _ranged(df, keys)
+    facts = sorted(rows.groupBy("_range").agg(*[F.sum(c).alias(c) for c in columns], F.min(F.struct(*keys)).alias("_least")).collect())
+    offsets, sums = [], dict.fromkeys(columns, 0)
+    for k, r in enumerate(facts):
+        after = facts[k + 1]["_least"][keys[-1]] if k + 1 < len(facts) else None
+        offsets.append((r["_range"], *[float(sums[c]) for c in columns], after))
+        sums = {c: sums[c] + (r[c] or 0) for c in columns}
+    kind = dict(df.dtypes)[keys[-1]]
+    schema = ", ".join(["_range int", *[f"`_o_{c}` double" for c in columns], f"_after {kind}"])
+    order = Window.partitionBy("_range").orderBy(*keys)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumns({f"_own_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in columns} | {"_lead": F.lead(keys[-1]).over(order)})
+    out = out.join(F.broadcast(df.sparkSession.createDataFrame(offsets, schema)), "_range")  # one row a range
+    return out.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_own_{c}")).alias(f"{c}_before") for c in columns], F.coalesce("_lead", "_after").alias("next")), sums

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.ranks import numbered, quantiles
+
 POSITION = "_pos"
 #: The number at the start of a text, as scanners of formatted input read it.
 NUMBER_PREFIX = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
@@ -56,8 +58,8 @@ def from_rows(spark: SparkSession, names: Sequence[str], rows: Iterable[Sequence
 
 
 def with_position(df: DataFrame, *order: str) -> DataFrame:
-    """Row numbers from 0 in the order of a unique key; one task sorts, so keep it to small frames."""
-    return df.withColumn(POSITION, F.row_number().over(Window.orderBy(*order)) - 1)
+    """Row numbers from 0 in the order of a unique key, counted range by range."""
+    return numbered(df, order, POSITION)
 
 
 def select(df: DataFrame, *columns: str) -> DataFrame:
@@ -266,17 +268,21 @@ def zero_if_null(c: Column) -> Column:
 
 
 def totals(df: DataFrame, column: str) -> DataFrame:
-    """count, sum, mean, min, max, median, sample std and var of a column in one pass; without values (or with one, for spread) 0."""
+    """count, sum, mean, min, max, median, sample std and var of a column; without values (or with one, for spread) 0."""
     c = F.col(column).cast("double")
-    stats = {"sum": F.sum(c), "mean": F.avg(c), "min": F.min(c), "max": F.max(c), "median": F.median(c), "std": F.stddev_samp(c), "var": F.var_samp(c)}
+    median = F.lit(quantiles(df.select(c.alias("v")), "v", [0.5])[0]).cast("double")
+    stats = {"sum": F.sum(c), "mean": F.avg(c), "min": F.min(c), "max": F.max(c), "median": median, "std": F.stddev_samp(c), "var": F.var_samp(c)}
     return df.agg(F.count(c).alias("count"), *[zero_if_null(v).alias(k) for k, v in stats.items()])
 
 
 def describe(df: DataFrame, *columns: str) -> DataFrame:
     """Rows count, mean, std, min, 25%, 50%, 75%, max; quartiles with linear interpolation."""
     names = list(columns) or numeric_columns(df)
-    parts = {"count": lambda c: F.count(c).cast("double"), "mean": F.avg, "std": F.stddev_samp, "min": F.min, "25%": lambda c: F.percentile(c, 0.25), "50%": lambda c: F.percentile(c, 0.5), "75%": lambda c: F.percentile(c, 0.75), "max": F.max}
-    row = df.agg(*[zero_if_null(f(F.col(c).cast("double"))).alias(f"{c}\t{s}") for c in names for s, f in parts.items()])
+    quartiles = {c: dict(zip(("25%", "50%", "75%"), quantiles(df.select(F.col(c).cast("double").alias("v")), "v", [0.25, 0.5, 0.75]), strict=True)) for c in names}
+    aggregates = {"count": lambda c: F.count(c).cast("double"), "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    parts = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
+    value = lambda c, s: aggregates[s](F.col(c).cast("double")) if s in aggregates else F.lit(quartiles[c][s]).cast("double")
+    row = df.agg(*[zero_if_null(value(c, s)).alias(f"{c}\t{s}") for c in names for s in parts])
     cells = [F.struct(F.lit(s).alias("stat"), *[F.col(f"`{c}\t{s}`").alias(c) for c in names]) for s in parts]
     return row.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
