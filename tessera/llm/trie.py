@@ -38,13 +38,13 @@ from pyspark.sql import functions as F
 from tessera.llm.mapped import least, map_level, write_level
 from tessera.llm.text import crc_mod, give_back, pieces
 from tessera.llm.words import mixed, utf8, word_hashes
-from tessera.sources.shared import cut, fresh_path, release, remove
+from tessera.sources.shared import fresh_path, release, remove
 from tessera.sources.tables import table
 
 #: Discounts of bigrams and trigrams.
 D2, D3 = 0.9, 0.9
-#: Words of a shard of the first level; tokens of one of the others. A word with half as many tokens is hot.
-WORDS, TOKENS = 1_000_000, 2_000_000
+#: Bytes of text for a shard of the first level; tokens of one of the others. A word with half as many tokens is hot.
+TEXT, TOKENS = 64 << 20, 2_000_000
 #: Tokens that a task holds before it sorts and sends them.
 ROOM = 3_000_000
 END = np.uint64(0x27D4EB2F165667C5)  # the hash of a text's end
@@ -56,6 +56,10 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) * STEPS), 0, 254).astype(np.uint8)
 
 
+#: The numbers that bytes stand for.
+_POWER = 10.0 ** (np.arange(256) / -STEPS)
+
+
 def log10_of(q: np.ndarray) -> np.ndarray:
     return q.astype(float) / -STEPS
 
@@ -303,8 +307,11 @@ class Levels:
         """Probability byte (255: none) of the word that stands at ``among`` the middle word's successors behind the bigram at ``place``."""
         p = np.full(len(place), 255, np.uint8)
         for a, _, own in self._by_shard("trigrams", shard):
-            at = a["keys"].find(place[own] * self.fanout + among[own])
-            p[own[at >= 0]] = a["p"][at[at >= 0]]
+            key = place[own] * self.fanout + among[own]
+            order = np.argsort(key)
+            at = a["keys"].find(key[order])
+            hit = np.flatnonzero(at >= 0)
+            p[own[order[hit]]] = a["p"][at[hit]]
         return p
 
 
@@ -334,16 +341,19 @@ def contexts(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, second
 
 
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """(key, n): counts of all tokens, summed by Spark."""
+def _word_counts(docs: DataFrame, n: int) -> DataFrame:
+    """(s, hashes, counts): each task's tokens and their counts, by range of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def counted() -> Iterator[pa.RecordBatch]:
-            k, n = np.unique(np.concatenate(held), return_counts=True)
-            for a in range(0, len(k), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 200_000].view(np.int64)), pa.array(n[a : a + 200_000])], ["key", "n"])
+            k, c = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(shard_of_word(k, n), np.arange(n + 1))
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
+                own = slice(cuts[s], cuts[s + 1])
+                x = least(c[own])
+                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([k[own].tobytes()]), pa.array([bytes([x.itemsize]) + x.tobytes()])], ["s", "hashes", "counts"])
 
         for batch in pieces(batches, mb=4):
             held.append(token_hashes(batch.column(0))[0])
@@ -354,7 +364,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield from counted()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "s long, hashes binary, counts binary")
 
 
 def _shards(built: DataFrame, n: int) -> tuple[list[str | None], list]:
@@ -364,15 +374,17 @@ def _shards(built: DataFrame, n: int) -> tuple[list[str | None], list]:
 
 def _first_level(docs: DataFrame, folder: str, size: int, hot_from: int) -> tuple[Levels, dict[int, int]]:
     """The words of ``docs``, and the counts of ids with at least ``hot_from`` tokens."""
-    counted = cut(_word_counts(docs), "trie-words")
-    n = 1 + counted.count() // size
+    n = 1 + (docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) // size
 
     def build(key: tuple, group: pa.Table) -> pa.Table:
-        h, c = group.column("key").to_numpy().view(np.uint64), group.column("n").to_numpy()
+        h = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()])
+        c = np.concatenate(_numbers(group.column("counts").to_pylist()))
         by = np.argsort(h)
         h, c = h[by], c[by]
+        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        h, c = h[new], np.add.reduceat(c, new)
         span = int(h[-1] - h[0])
-        shift = max(0, span.bit_length() - max(1, len(h).bit_length() - 2))
+        shift = max(0, span.bit_length() - max(1, len(h).bit_length() - 1))
         bucket = ((h - h[0]) >> np.uint64(shift)).astype(np.int64)
         index = np.searchsorted(bucket, np.arange(bucket[-1] + 2))
         path = write_level(folder, {"hash": h, "count": least(c), "index": least(index), "shift": np.array([shift])})
@@ -381,10 +393,9 @@ def _first_level(docs: DataFrame, folder: str, size: int, hot_from: int) -> tupl
         return pa.Table.from_pydict({"shard": [key[0].as_py()], "path": [path], "tokens": [int(c.sum())], "distinct": [len(h)], "hot": [often.tolist()], "n": [c[often].tolist()]},
                                     schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("hot", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))]))
 
-    deal = F.shiftright(F.shiftrightunsigned("key", 33) * n, 31).alias("s")
-    built = counted.select("key", "n", deal).groupBy("s").applyInArrow(build, "shard long, path string, tokens long, distinct long, hot array<long>, n array<long>")
+    built = _word_counts(docs, n).groupBy("s").applyInArrow(build, "shard long, path string, tokens long, distinct long, hot array<long>, n array<long>")
     paths, stats = _shards(built, n)
-    release(docs.sparkSession, counted)
+    release(docs.sparkSession)
     base = np.cumsum([0, *(r.distinct if r else 0 for r in stats)]).tolist()
     hot = {base[s] + i: c for s, r in enumerate(stats) if r for i, c in zip(r.hot, r.n, strict=True)}
     return Levels(paths, base, sum(r.tokens for r in stats if r)), hot
@@ -489,13 +500,16 @@ def _third_level(spark, sent, folder: str, shards: int) -> DataFrame:
             pair = b["keys"][np.arange(len(count))]
             local, w2 = pair // v, pair % v
             w1 = np.where(local < cold, local * m.shards + s, m.hot[np.maximum(local - cold, 0)] if len(m.hot) else 0)
-            p = quantise((count - D2) / m.count(w1) + 10 ** log10_of(m.weights(w1)) * m.unigram(m.count(w2)))
+            p = quantise((count - D2) / m.count(w1) + _POWER[m.weights(w1)] * m.unigram(m.count(w2)))
             weight = np.where(successors > 0, quantise(D3 * successors / count), 255).astype(np.uint8)
             probabilities = write_level(folder, {"p": p, "weight": weight})
+            # neighbours in the order of their bigrams are neighbours in the files
+            order = np.argsort(w2[place] * v + last)
+            place, last, n = place[order], last[order], n[order]
             shard, at, among, _, _ = m.bigrams(w2[place], last, with_probabilities=False)
-            below = 10 ** log10_of(m.weights(w2))
+            below = _POWER[m.weights(w2)]
             lower = quantise((m.pair_counts(shard, at) - D2) / m.count(w2)[place] + below[place] * m.unigram(m.count(last)))
-            p = quantise((n - D3) / count[place] + 10 ** (log10_of(weight[place]) + log10_of(lower)))
+            p = quantise((n - D3) / count[place] + _POWER[weight][place] * _POWER[lower])
             key = place * m.fanout + among
             order = np.argsort(key)
             path = write_level(folder, {"p": p[order]} | _named("keys", key[order]))
@@ -505,11 +519,11 @@ def _third_level(spark, sent, folder: str, shards: int) -> DataFrame:
     return spark.range(shards).repartition(shards, "id").mapInArrow(build, "shard long, probabilities string, path string")
 
 
-def fit(docs: DataFrame, words: int = WORDS, tokens: int = TOKENS) -> Levels:
-    """The model of the texts of ``docs`` (null texts are empty), in shards of about ``words`` words and ``tokens`` tokens."""
+def fit(docs: DataFrame, text: int = TEXT, tokens: int = TOKENS) -> Levels:
+    """The model of the texts of ``docs`` (null texts are empty), in shards of the words of about ``text`` bytes and of ``tokens`` tokens."""
     spark = docs.sparkSession
     folder = fresh_path(spark, "trie")
-    model, often = _first_level(docs, folder, words, max(2, tokens // 2))
+    model, often = _first_level(docs, folder, text, max(2, tokens // 2))
     model.shards = 1 + model.tokens // tokens
     if model.shards > 1:
         model.hot = np.array(sorted(often), np.int64)

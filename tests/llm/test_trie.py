@@ -56,7 +56,7 @@ def brute(train):
     return of
 
 
-@pytest.mark.parametrize("shards", [{}, {"words": 7, "tokens": 400}, {"words": 7, "tokens": 20}])
+@pytest.mark.parametrize("shards", [{}, {"text": 5000, "tokens": 400}, {"text": 700, "tokens": 20}])
 def test_scores_are_brute_force(spark, shards):
     r = random.Random(5)
     vocab = [f"w{k}" for k in range(30)] + ["Ünder", "THE", "the"]
