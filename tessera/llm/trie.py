@@ -64,6 +64,30 @@ def log10_of(q: np.ndarray) -> np.ndarray:
     return q.astype(float) / -STEPS
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Numbers in as few bytes as the largest needs, behind that width."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def widened(x: bytes) -> np.ndarray:
+    """The numbers of :func:`narrow`."""
+    rows = np.frombuffer(x, np.uint8, offset=1).reshape(-1, x[0])
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, : x[0]] = rows
+    return out.view("<i8").ravel()
+
+
+def squeezed(name: str, x: np.ndarray) -> dict[str, np.ndarray]:
+    """Numbers that are read once, compressed."""
+    raw = narrow(x)
+    return {name: np.frombuffer(pa.compress(raw, "zstd", asbytes=True), np.uint8), f"{name}_size": np.array([len(raw)])}
+
+
+def unsqueezed(a: dict[str, np.ndarray], name: str) -> np.ndarray:
+    return widened(pa.decompress(a[name].tobytes(), int(a[f"{name}_size"][0]), "zstd", asbytes=True))
+
+
 def small(name: str, x: np.ndarray) -> dict[str, np.ndarray]:
     """Counts as bytes; those of 255 and more stand aside with their places."""
     big = np.flatnonzero(x >= 255)
@@ -352,8 +376,7 @@ def _word_counts(docs: DataFrame, n: int) -> DataFrame:
             cuts = np.searchsorted(shard_of_word(k, n), np.arange(n + 1))
             for s in np.flatnonzero(np.diff(cuts)).tolist():
                 own = slice(cuts[s], cuts[s + 1])
-                x = least(c[own])
-                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([k[own].tobytes()]), pa.array([bytes([x.itemsize]) + x.tobytes()])], ["s", "hashes", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([k[own].tobytes()]), pa.array([narrow(c[own])])], ["s", "hashes", "counts"])
 
         for batch in pieces(batches, mb=4):
             held.append(token_hashes(batch.column(0))[0])
@@ -378,7 +401,7 @@ def _first_level(docs: DataFrame, folder: str, size: int, hot_from: int) -> tupl
 
     def build(key: tuple, group: pa.Table) -> pa.Table:
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()])
-        c = np.concatenate(_numbers(group.column("counts").to_pylist()))
+        c = np.concatenate([widened(x) for x in group.column("counts").to_pylist()])
         by = np.argsort(h)
         h, c = h[by], c[by]
         new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -410,24 +433,30 @@ def _trigram_counts(docs: DataFrame, sent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Levels = sent.value
         v = np.int64(max(m.distinct, 1))
-        kind = np.min_scalar_type(int(v))
         pairs, lasts, size = [], [], 0
 
         def sorted_counts() -> Iterator[pa.RecordBatch]:
-            pair, back = np.unique(np.concatenate(pairs), return_inverse=True)
+            every = np.concatenate(pairs)
+            pairs.clear()
+            pair, back = np.unique(every, return_inverse=True)
+            del every
             shard = m.dealt(pair // v, pair % v)[0]
             order = np.argsort(shard, kind="stable")
             rank = np.empty(len(pair), np.int64)
             rank[order] = np.arange(len(pair))
             pair, cuts = pair[order], np.searchsorted(shard[order], np.arange(m.shards + 1))
-            triple, n = np.unique(rank[back] * (v + 1) + np.concatenate(lasts), return_counts=True)
+            back = rank[back] * (v + 1)
+            back += np.concatenate(lasts)
+            lasts.clear()
+            triple, n = np.unique(back, return_counts=True)
+            del back, rank
             above, last = triple // (v + 1), triple % (v + 1)
             bounds = np.searchsorted(above, cuts)
             for s in np.flatnonzero(np.diff(cuts)).tolist():
                 own, low, high = pair[cuts[s] : cuts[s + 1]], bounds[s], bounds[s + 1]
                 w1, below = np.unique(own // v, return_counts=True)
-                arrays = [w1.astype(kind), below, (own % v).astype(kind), np.bincount(above[low:high] - cuts[s]), last[low:high].astype(kind), n[low:high]]
-                yield pa.RecordBatch.from_arrays([pa.array([s]), *[pa.array([bytes([x.itemsize]) + x.tobytes()]) for x in map(least, arrays)]], ["s", *"abcdef"])
+                arrays = [w1, below, own % v, np.bincount(above[low:high] - cuts[s]), last[low:high], n[low:high]]
+                yield pa.RecordBatch.from_arrays([pa.array([s]), *[pa.array([narrow(x)]) for x in arrays]], ["s", *"abcdef"])
 
         for batch in pieces(batches, mb=4):
             hashes, sizes = token_hashes(batch.column(0))
@@ -440,25 +469,22 @@ def _trigram_counts(docs: DataFrame, sent) -> DataFrame:
             size += len(w)
             if size > ROOM:
                 yield from sorted_counts()
-                pairs, lasts, size = [], [], 0
+                size = 0
         if size:
             yield from sorted_counts()
+        give_back()
 
     names = ", ".join(f"{c} binary" for c in "abcdef")
     return docs.select(F.col("text").cast("string")).mapInArrow(run, f"s long, {names}")
 
 
-def _numbers(rows: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(x, f"u{x[0]}", offset=1).astype(np.int64) for x in rows]
-
-
 def _second_level(rows: DataFrame, sent, folder: str) -> DataFrame:
     """Writes the bigrams of each shard, and aside their counts and trigrams for the third level."""
 
     def merge(key: tuple, group: pa.Table) -> pa.Table:
         s, m = key[0].as_py(), sent.value
         v = np.int64(max(m.distinct, 1))
-        w1, below, w2, deep, last, n = (np.concatenate(_numbers(group.column(c).to_pylist())) for c in "abcdef")
+        w1, below, w2, deep, last, n = (np.concatenate([widened(x) for x in group.column(c).to_pylist()]) for c in "abcdef")
         _, local, _ = m.dealt(np.repeat(w1, below), w2)
         pair, back = np.unique(local * v + w2, return_inverse=True)
         triple = np.repeat(back, deep) * (v + 1) + last
@@ -476,7 +502,7 @@ def _second_level(rows: DataFrame, sent, folder: str) -> DataFrame:
         pointers = np.concatenate([[0], np.cumsum(successors)])
         path = write_level(folder, {"weight": weight} | _named("keys", pair) | _named("pointers", pointers))
         inner = last < v
-        aside = write_level(folder, {"last": least(last[inner])} | small("n", n[inner]) | small("deep", np.bincount(place[inner], minlength=len(pair))) | small("count", count))
+        aside = write_level(folder, squeezed("last", last[inner]) | squeezed("n", n[inner]) | squeezed("deep", np.bincount(place[inner], minlength=len(pair))) | small("count", count))
         give_back()
         hot = np.flatnonzero(successors[cold:])
         return pa.Table.from_arrays([pa.array([x], t) for x, t in ((s, pa.int64()), (path, pa.string()), (aside, pa.string()), (int(successors.max()), pa.int64()), (hot.tolist(), pa.list_(pa.int64())), (successors[cold:][hot].tolist(), pa.list_(pa.int64())))],
@@ -495,7 +521,7 @@ def _third_level(spark, sent, folder: str, shards: int) -> DataFrame:
             if not m.paths["bigrams"][s]:
                 continue
             a, b = m.level("counts", s), m.level("bigrams", s)
-            count, n, successors, last = whole(a, "count"), whole(a, "n"), whole(a, "deep"), a["last"].astype(np.int64)
+            count, n, successors, last = whole(a, "count"), *(unsqueezed(a, name) for name in ("n", "deep", "last"))
             place = np.repeat(np.arange(len(count)), successors)
             pair = b["keys"][np.arange(len(count))]
             local, w2 = pair // v, pair % v
