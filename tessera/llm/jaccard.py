@@ -106,7 +106,7 @@ def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
             for s in shingle_sets(batch.column(0), n):
                 held.append(s)
                 room += len(s)
-            if room > 4_000_000:
+            if room > 1_500_000:
                 total, held, room = fold(), [], 0
                 total = (total[0][total[1] > 1], total[1][total[1] > 1])  # only the order of tokens depends on these counts
         x, c = fold()

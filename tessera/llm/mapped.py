@@ -119,7 +119,7 @@ def split_ranges(numbers: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted((numbers >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
 
 
-def repeated_numbers(rows: DataFrame, numbers: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], n: int, folder: str, room: int = 4_000_000) -> SortedSets:
+def repeated_numbers(rows: DataFrame, numbers: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], n: int, folder: str, room: int = 1_500_000) -> SortedSets:
     """The numbers that occur twice or more among the arrays that ``numbers`` makes of a task's batches.
 
     They are told apart by range (of ``n``) and lower 32 bits, so that a few others

@@ -45,7 +45,7 @@ WIDTH, GRAM = 50, 32
 #: Quicksort goes as deep as this; groups above the size are sorted deeper before they go to a trie.
 SHALLOW, TRIE = 24, 2000
 #: Bytes of text for each range of keys; bytes of segments that a task holds; bytes whose suffixes are sorted at once.
-RANGE, HELD, SORTED = 16 << 20, 32 << 20, 4 << 20
+RANGE, HELD, SORTED = 16 << 20, 8 << 20, 1 << 20
 #: Documents with equal texts meet in so many parts.
 SALTS = 16
 #: Starts whose keys are found at once.
