@@ -142,6 +142,7 @@ def repeated_numbers(rows: DataFrame, numbers: Callable[[Iterator[pa.RecordBatch
             if size > room:
                 yield from sent()
                 held, size = [], 0
+                give_back()
         if size:
             yield from sent()
 

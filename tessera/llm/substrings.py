@@ -85,7 +85,7 @@ def segments(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     last = np.minimum(np.append(first[1:], n) - 1, ends[doc] - WIDTH)
     keep = last >= first
     first, last, doc = first[keep], last[keep], doc[keep]
-    return least[first], doc, first, last
+    return mixed(least[first]), doc, first, last  # least hashes are small numbers: mixed, they fill all ranges alike
 
 
 def prints(flat: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -284,7 +284,7 @@ def _shared_keys(docs: DataFrame, copies, n: int, folder: str) -> SortedSets:
     """The keys that segments of two rows or more have."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for batch in pieces(batches, mb=2):
+        for batch in pieces(batches, mb=1):
             key, doc, _, _ = segments(*_open(batch, copies.value)[1:])
             yield key[np.unique(mixed(key + doc.astype(np.uint64) * _M[3]), return_index=True)[1]]  # once for a document
 
@@ -311,7 +311,7 @@ def _held(docs: DataFrame, copies, shared, n: int) -> DataFrame:
                 arrays = [key[own].astype(np.uint32), mark[own], low[own], high[own], size[own], gathered(text, start[own], size[own])]
                 yield pa.RecordBatch.from_arrays([pa.array([s]), *[pa.array([x.tobytes()]) for x in arrays]], ["s", *"abcdef"])
 
-        for batch in pieces(batches, mb=2):
+        for batch in pieces(batches, mb=1):
             ids, flat, sizes = _open(batch, copies.value)
             key, doc, first, last = segments(flat, sizes)
             own = np.flatnonzero(shared.value.contains(key))
@@ -324,6 +324,7 @@ def _held(docs: DataFrame, copies, shared, n: int) -> DataFrame:
             if room > HELD:
                 yield from sent()
                 held, room = [], 0
+                give_back()
         if held:
             yield from sent()
 
@@ -369,6 +370,7 @@ def _settled(held: DataFrame, folder: str) -> dict[int, str]:
 
     def merge(key: tuple, group: pa.Table) -> pa.Table:
         kinds = (np.uint32, np.uint64, np.int64, np.int64, np.int64, np.uint8)
+        give_back()
         arrays = [np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()]) for c, t in zip("abcdef", kinds, strict=True)]
         path = write_level(folder, settle(*arrays))
         give_back()
@@ -437,7 +439,7 @@ def remove_repeats(docs: DataFrame, as_text: bool = False, range_bytes: int = RA
     ids = [F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, mb=2):
+        for batch in pieces(batches, mb=1):
             owner, row = batch.column(len(rest)), batch.column(len(rest) + 1).to_numpy().view(np.uint64)
             valid = owner.is_valid().to_numpy(zero_copy_only=False)
             owner = owner.fill_null(0).to_numpy()

@@ -34,7 +34,8 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def give_back() -> None:
-    """Freed memory goes back to the system: workers live on, and their caches stay small beside what a task needs."""
+    """Freed memory goes back to the system: workers live on, and what a task has freed is not kept beside what the next one needs."""
+    pa.set_memory_pool(pa.system_memory_pool())  # one allocator for NumPy and Arrow
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -44,6 +45,7 @@ def give_back() -> None:
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", mb: int = 8) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` holds about ``mb`` MB in each; a longer single text stays whole."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
