@@ -22,15 +22,15 @@ Test = Callable[[str, str, Sequence[str]], tuple[float, float]]
 
 def stratified(data: DataFrame, x: str, y: str, z: Sequence[str] = (), lam: float = 1.0) -> dict[str, float]:
     """Power divergence summed over the strata of z: lam 1 is chi-square, 0 the G statistic. dof (r-1)(c-1) a stratum."""
-    cells = data.groupBy(x, y, *z).agg(F.count(F.lit(1)).cast("double").alias("o"))
+    cells = data.groupBy(x, y, *z).agg(F.count(F.lit(1)).cast("double").alias("_o"))
     levels = data.agg(F.count_distinct(x).alias("r"), F.count_distinct(y).alias("c")).first()
-    w = lambda *by: F.sum("o").over(Window.partitionBy(*by, *z))
-    cells = cells.withColumns({"n": w(), "rx": w(x), "cy": w(y)}).withColumn("e", F.col("rx") * F.col("cy") / F.col("n"))
-    o, e = F.col("o"), F.col("e")
+    w = lambda *by: F.sum("_o").over(Window.partitionBy(*by, *z))
+    cells = cells.withColumns({"_n": w(), "_rx": w(x), "_cy": w(y)}).withColumn("_e", F.col("_rx") * F.col("_cy") / F.col("_n"))
+    o, e = F.col("_o"), F.col("_e")
     # cells without a row have o = 0: chi-square then adds e, whose sum is n minus that of the cells seen
     per = {1.0: (o - e) * (o - e) / e - e, 0.0: 2 * o * F.ln(o / e)}.get(lam, 2 / (lam * (lam + 1) or 1) * o * (F.pow(o / e, F.lit(float(lam))) - 1))
-    r = cells.groupBy(*z).agg(F.sum(per).alias("s"), F.first("n").alias("n"))
-    r = r.agg(F.sum(F.col("s") + (F.col("n") if lam == 1.0 else F.lit(0.0))).alias("s"), F.count(F.lit(1)).alias("k")).first()
+    r = cells.groupBy(*z).agg(F.sum(per).alias("_s"), F.first("_n").alias("_n"))
+    r = r.agg(F.sum(F.col("_s") + (F.col("_n") if lam == 1.0 else F.lit(0.0))).alias("s"), F.count(F.lit(1)).alias("k")).first()
     dof = (levels.r - 1) * (levels.c - 1) * (r.k or 0)
     return {"statistic": r.s or 0.0, "dof": dof, "pvalue": p_chi2(r.s or 0.0, dof)}
 
