@@ -130,6 +130,10 @@ Geometric = _make("Geometric", "Trials to the first success.", "p", low=lambda s
 Bernoulli = _make("Bernoulli", "One trial.", "p", low=zero, high=lambda s: 1.0, discrete=True, pdf=lambda s, x: np.where(x == 1, s.p, np.where(x == 0, 1 - s.p, 0)), cdf=lambda s, x: np.where(x < 0, 0, np.where(x < 1, 1 - s.p, 1)), mean=lambda s: s.p, var=lambda s: s.p * (1 - s.p))
 
 
+SkewNormal = _make("SkewNormal", "Gaussian, skewed by alpha.", "loc scale alpha", pdf=lambda s, x: 2 * _phi((x - s.loc) / s.scale) * _Phi(s.alpha * (x - s.loc) / s.scale) / s.scale, mean=lambda s: s.loc + s.scale * s.alpha / math.sqrt(1 + s.alpha**2) * math.sqrt(2 / math.pi), var=lambda s: s.scale**2 * (1 - 2 * s.alpha**2 / (1 + s.alpha**2) / math.pi))
+PowerLaw = _make("PowerLaw", "Density x ** -alpha from xmin on.", "alpha xmin", low=lambda s: s.xmin, pdf=lambda s, x: np.where(x >= s.xmin, (s.alpha - 1) / s.xmin * (x / s.xmin) ** -s.alpha, 0), cdf=lambda s, x: np.where(x >= s.xmin, 1 - (s.xmin / np.maximum(x, s.xmin)) ** (s.alpha - 1), 0), ppf=lambda s, p: s.xmin * (1 - p) ** (-1 / (s.alpha - 1)), mean=lambda s: s.xmin * (s.alpha - 1) / (s.alpha - 2) if s.alpha > 2 else math.inf, var=lambda s: s.xmin**2 * ((s.alpha - 1) / (s.alpha - 3) - ((s.alpha - 1) / (s.alpha - 2)) ** 2) if s.alpha > 3 else math.inf)
+
+
 class Finite(Distribution):
     """A distribution on 0..n-1 (or from ``start``) by its probabilities."""
 
@@ -170,6 +174,12 @@ def DiscreteUniform(a: int, b: int) -> Finite:
     return Finite(np.full(b - a + 1, 1 / (b - a + 1)), a)
 
 
+def Boltzmann(lam: float, n: int) -> Finite:
+    """Weights exp(-lam k) on 0 to n - 1."""
+    w = np.exp(-lam * np.arange(n))
+    return Finite(w / w.sum())
+
+
 def _tn(s):
     a, b = (s.a - s.mu) / s.sigma, (s.b - s.mu) / s.sigma
     z = float(_Phi(b) - _Phi(a))
@@ -220,6 +230,18 @@ class GaussianCopula:
     def sample(self, n: int, seed: int):
         return _Phi(MultivariateNormal(np.zeros(len(self.corr)), self.corr).sample(n, seed))
 
+    def pdf(self, u):
+        z = _Phinv(np.asarray(u, float))
+        inverse = np.linalg.inv(self.corr) - np.eye(len(self.corr))
+        return np.exp(-0.5 * (z @ inverse * z).sum(-1)) / math.sqrt(np.linalg.det(self.corr))
+
+    def columns(self, spark, n: int, seed: int):
+        """(u0, u1, ...): n rows, drawn in the JVM."""
+        chol = np.linalg.cholesky(self.corr)
+        rows = spark.range(n).select(*[F.randn(seed + k).alias(f"z{k}") for k in range(len(chol))])
+        mixed = [sum((F.lit(float(chol[i, k])) * F.col(f"z{k}") for k in range(i + 1)), F.lit(0.0)) for i in range(len(chol))]
+        return rows.select(*[column(Normal(0, 1), "cdf", m).alias(f"u{i}") for i, m in enumerate(mixed)])
+
 
 def column(d: Distribution, method: str, c: Column) -> Column:
     """``d.method`` of a column, batch by batch."""

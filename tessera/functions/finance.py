@@ -112,6 +112,84 @@ def quadratic_variation(df: DataFrame, by: str, order: str, x: str) -> DataFrame
     return df.select(by, (step * step).alias("q")).groupBy(by).agg(F.sum("q").alias("quadratic_variation"))
 
 
+def covariation(df: DataFrame, by: str, order: str, x: str, y: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(by).orderBy(order)
+    step = lambda c: F.col(c) - F.lag(c).over(w)
+    return df.select(by, (step(x) * step(y)).alias("q")).groupBy(by).agg(F.sum("q").alias("covariation"))
+
+
+def sde_paths(spark: SparkSession, drift, diffusion, start, t: float, steps: int, paths: int, seed: int, method: str = "euler", limit: int = 100_000_000) -> DataFrame:
+    """(path, step, t, x: array) of dX = drift(x, t) dt + diffusion(x, t) dW, a system if ``start`` has several numbers.
+
+    ``drift`` and ``diffusion`` take arrays (paths by variables) and return alike;
+    each variable has its own noise. ``euler`` or, with the diffusion's own
+    derivative by differences, ``milstein``. More than ``limit`` numbers are refused.
+    """
+    x0 = np.atleast_1d(np.asarray(start, float))
+    if paths * (steps + 1) * len(x0) > limit:
+        raise ValueError("more numbers than the limit")
+    h = t / steps
+
+    def run(batches):
+        for pdf in batches:
+            for a in range(0, len(pdf), 256):
+                ids = pdf["id"].to_numpy()[a : a + 256]
+                noise = np.stack([np.random.default_rng([seed, int(i)]).standard_normal((steps, len(x0))) for i in ids]) * math.sqrt(h)
+                x = np.broadcast_to(x0, (len(ids), len(x0))).copy()
+                out = [x]
+                for k in range(steps):
+                    b, w = np.asarray(diffusion(x, k * h), float), noise[:, k]
+                    new = x + np.asarray(drift(x, k * h), float) * h + b * w
+                    if method == "milstein":
+                        e = 1e-5 * np.maximum(1.0, np.abs(x))
+                        slope = (np.asarray(diffusion(x + e, k * h), float) - np.asarray(diffusion(x - e, k * h), float)) / (2 * e)
+                        new = new + 0.5 * b * slope * (w * w - h)
+                    x = new
+                    out.append(x)
+                cells = np.stack(out, 1)
+                yield pd.DataFrame({"path": np.repeat(ids, steps + 1), "step": np.tile(np.arange(steps + 1), len(ids)), "t": np.tile(np.arange(steps + 1) * h, len(ids)), "x": list(cells.reshape(-1, len(x0)))})
+
+    return spark.range(paths).mapInPandas(run, "path long, step long, t double, x array<double>")
+
+
+def ornstein_uhlenbeck(spark: SparkSession, rate: float, mean: float, vol: float, start: float, t: float, steps: int, paths: int, seed: int) -> DataFrame:
+    """(path, step, x) by the exact transition from step to step."""
+    h = t / steps
+    keep, spread = math.exp(-rate * h), vol * math.sqrt(-math.expm1(-2 * rate * h) / (2 * rate))
+
+    def run(batches):
+        for pdf in batches:
+            for i in pdf["id"]:
+                z = np.random.default_rng([seed, int(i)]).standard_normal(steps)
+                x = np.empty(steps + 1)
+                x[0] = start
+                for k in range(steps):
+                    x[k + 1] = mean + (x[k] - mean) * keep + spread * z[k]
+                yield pd.DataFrame({"path": i, "step": np.arange(steps + 1), "x": x})
+
+    return spark.range(paths).mapInPandas(run, "path long, step long, x double")
+
+
+def brownian_bridge(spark: SparkSession, start: float, end: float, t: float, steps: int, paths: int, seed: int, vol: float = 1.0) -> DataFrame:
+    """(path, step, x): Brownian motion pinned at both ends."""
+    free = brownian_paths(spark, t, steps, paths, seed, 0.0, vol)
+    last = free.filter(F.col("step") == steps).select("path", F.col("x").alias("_end"))
+    at = F.col("step") / steps
+    return free.join(last, "path").select("path", "step", (F.lit(float(start)) + F.col("x") + at * (F.lit(float(end - start)) - F.col("_end"))).alias("x"))
+
+
+def efficient_frontier(returns, cov, points: int) -> list[tuple[float, float, np.ndarray]]:
+    """(return, risk, weights) from the least to the largest single return."""
+    m, c = np.asarray(returns, float), np.asarray(cov, float)
+    out = []
+    for target in np.linspace(m.min(), m.max(), points):
+        w = target_return(m, c, float(target))
+        out.append((float(target), float(np.sqrt(w @ c @ w)), w))
+    return out
+
+
 def portfolio(weights, returns, cov, risk_free: float = 0.0, confidence: float = 0.95) -> dict[str, float]:
     """Return, risk, Sharpe ratio, Gaussian value at risk and expected shortfall."""
     w, m, c = np.asarray(weights, float), np.asarray(returns, float), np.asarray(cov, float)
