@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import pieces, texts
+from tessera.llm.text import held, pieces, texts
 from tessera.sources.tables import table
 
 #: Words of the worker's cache before it starts anew; longer words are not cached.
@@ -33,7 +33,6 @@ NONE = np.int32(2**31 - 1)
 #: Fixed value: the pre-token pattern of byte-level vocabularies, white space spelled out as the Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
-_loaded: dict[str, "ByteBpe"] = {}
 
 
 def byte_letters() -> list[str]:
@@ -162,9 +161,10 @@ class ByteBpe:
 
 def load(path: str) -> ByteBpe:
     """The worker's vocabulary of this path, with its cache."""
-    if path not in _loaded:
-        _loaded[path] = ByteBpe(path)
-    return _loaded[path]
+    own = held.setdefault("bpe", {})
+    if path not in own:
+        own[path] = ByteBpe(path)
+    return own[path]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -199,7 +199,7 @@ def _slim(docs: DataFrame) -> DataFrame:
 
 
 def _coded(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[str]]]:
-    for batch in pieces(batches, mb=1):
+    for batch in pieces(batches, mb=1, owner="bpe"):
         bpe = load(vocabulary)
         ids = bpe.encode(texts(batch.column(1)))
         yield batch, ids, bpe.decode(ids)

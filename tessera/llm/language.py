@@ -115,30 +115,32 @@ def shrink(letters_in: np.ndarray) -> np.ndarray:
 def fit_languages(labelled: DataFrame, per_language: int = SAMPLE) -> Centroids | None:
     """Centroids from (doc_id, text, lang); None if no row has a language and a letter.
 
-    About ``per_language`` texts of each language are taken, those with the
-    smallest hashes of id and text.
+    About ``per_language`` texts of each language are taken, those whose hashes of
+    id and text are small; null and repeated ids make no difference to that. Rows
+    that repeat both come or go together. An empty table gives None, and other
+    columns play no part.
     """
     known = labelled.filter("lang is not null and text is not null")
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
     rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
-    taken = known.filter(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000)) < rate[F.col("lang")] * 1_000_000)
+    taken = known.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**53)) < rate[F.col("lang")] * 2**53)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, mb=4):
             found = [features(x) for x in texts(batch.column(0))]
             at = [np.flatnonzero(c) for c, _ in found]
-            columns = [pa.array([i.astype(np.uint16).tobytes() for i in at]), pa.array([np.minimum(c[i], 65535).astype(np.uint16).tobytes() for i, (c, _) in zip(at, found, strict=True)])]
+            columns = [pa.array([i.astype(np.uint16).tobytes() for i in at]), pa.array([c[i].astype(np.uint32).tobytes() for i, (c, _) in zip(at, found, strict=True)])]
             yield pa.RecordBatch.from_arrays([batch.column(1), *columns, pa.array([n for _, n in found], pa.int64())], ["lang", "at", "n", "letters"])
 
     got = [r for r in taken.select("text", "lang").mapInArrow(run, "lang string, at binary, n binary, letters long").collect() if r.letters]
     if not got:
         return None
     got.sort(key=lambda r: (r.lang, bytes(r.at), bytes(r.n)))  # the same fit in whatever order tasks end
-    x = np.zeros((len(got), FEATURES), np.uint16)
+    x = np.zeros((len(got), FEATURES), np.uint32)
     for row, r in zip(x, got, strict=True):
-        row[np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.n, np.uint16)
+        row[np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.n, np.uint32)
     return Centroids.fit([r.lang for r in got], x, np.array([r.letters for r in got]))
 
 

@@ -33,6 +33,10 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: What a worker keeps from task to task, by the operator that made it.
+held: dict[str, dict[str, object]] = {}
+
+
 def give_back() -> None:
     """Freed memory goes back to the system: workers live on, and what a task has freed is not kept beside what the next one needs."""
     pa.set_memory_pool(pa.system_memory_pool())  # one allocator for NumPy and Arrow
@@ -43,8 +47,13 @@ def give_back() -> None:
         return
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", mb: int = 8) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that ``column`` holds about ``mb`` MB in each; a longer single text stays whole."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", mb: int = 8, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches cut so that ``column`` holds about ``mb`` MB in each; a longer single text stays whole.
+
+    What other operators than ``owner`` have left in this worker goes first.
+    """
+    for name in [name for name in held if name != owner]:
+        del held[name]
     give_back()
     for batch in batches:
         if not batch.num_rows:

@@ -7,8 +7,8 @@ loaded). Tier one is a compact hash table of the corpus's frequent pre-tokens
 (their texts in one block, their lengths in two bytes each), of bounded size,
 sent to every worker. What it lacks goes
 to tier two: the worker's own cache, filled by encoding the missing pre-tokens.
-Pre-tokens are never shuffled; the only rows that move are each task's
-heaviest pre-tokens, a bounded number, from which tier one is made.
+Texts' pre-tokens are never shuffled to be counted; the only rows that move are
+each task's heaviest ones, a bounded number, from which tier one is made.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import pieces, texts
+from tessera.llm.text import held, pieces, texts
 from tessera.sources.tables import table
 
 #: Pre-tokens that each task reports, and those that tier one holds.
@@ -34,7 +34,6 @@ CACHE, CACHED_CHARS = 400_000, 64
 COUNTED = 300_000
 
 _RUN = re.compile(" *[^ ]+| +")
-_counters: dict[str, "PieceCounter"] = {}
 
 
 def pretokens(text: str) -> list[str]:
@@ -112,7 +111,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
-        for batch in pieces(batches):
+        for batch in pieces(batches, mb=4, owner="token_count"):
             counter = counter or _counter(model, tier)
             whole = texts(batch.column(1))
             tokens = []
@@ -130,10 +129,11 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
 def _counter(model: str, tier) -> PieceCounter:
     """The worker's counter for this model and tier; a worker serves many tasks."""
     key = f"{model}\n{tier.id if hasattr(tier, 'id') else id(tier)}"
-    if key not in _counters:
-        _counters.clear()
-        _counters[key] = PieceCounter(model, *tier.value)
-    return _counters[key]
+    own = held.setdefault("token_count", {})
+    if key not in own:
+        own.clear()
+        own[key] = PieceCounter(model, *tier.value)
+    return own[key]
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
