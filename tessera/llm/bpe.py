@@ -27,7 +27,7 @@ from tessera.sources.tables import table
 #: Words of the worker's cache before it starts anew; longer words are not cached.
 CACHE, CACHED_BYTES = 150_000, 64
 #: Symbols merged in one flat array.
-FLAT = 2_000_000
+FLAT = 400_000
 NONE = np.int32(2**31 - 1)
 
 #: Fixed value: the pre-token pattern of byte-level vocabularies, white space spelled out as the Unicode property.
