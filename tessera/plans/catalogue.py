@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import analysis, streams, tables  # noqa: F401
+from tessera.plans import analysis, numerics, streams, tables  # noqa: F401
 from tessera.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
