@@ -119,6 +119,43 @@ def weak_components(edges: DataFrame) -> DataFrame:
             return label.select(F.col("src").alias("node"), F.col("l").alias("component"))
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node of those that reach it and that it reaches.
+
+    Colours (the smallest node that reaches each) are spread forwards; those that
+    a colour's own node meets backwards within the colour are one component. Nodes
+    found are taken out, until none is left.
+    """
+    left, done = cut(edges.select("src", "dst").filter("src != dst").distinct(), "scc-edges"), None
+    alone = nodes(edges).withColumn("component", F.col("node"))
+    while not left.isEmpty():
+        colour = cut(nodes(left).withColumn("c", F.col("node")), "scc")
+        while True:  # forwards
+            came = left.join(colour, left["src"] == colour["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("m"))
+            new = cut(colour.join(came, "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") < F.col("c")).alias("moved")), "scc")
+            colour = new.select("node", "c")
+            if new.filter("moved").isEmpty():
+                break
+        inside = left.join(colour.toDF("src", "c"), "src").join(colour.toDF("dst", "d"), "dst").filter("c = d").select("src", "dst", "c")
+        inside = cut(inside, "scc-inside")
+        own = cut(colour.filter("node = c"), "scc-own")
+        had = own.count()
+        while True:  # backwards
+            back = inside.join(own.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), "c")
+            own = cut(own.union(back).distinct(), "scc-own")
+            has = own.count()
+            if has == had:
+                break
+            had = has
+        found = own.select("node", F.col("c").alias("component"))
+        done = cut(found if done is None else done.union(found), "scc-done")
+        gone = found.select("node")
+        left = cut(left.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst"), "scc-edges")
+    if done is None:
+        return alone
+    return alone.drop("component").join(done, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
 def topological_levels(edges: DataFrame) -> DataFrame:
     """(node, level): the longest path that ends at the node; raises for a cycle."""
     level = cut(nodes(edges).withColumn("level", F.lit(0)), "topo")
@@ -132,10 +169,15 @@ def topological_levels(edges: DataFrame) -> DataFrame:
 
 
 def is_dag(edges: DataFrame) -> bool:
-    try:
-        topological_levels(edges)
-    except ValueError:
-        return False
+    """Whether taking nodes without predecessors away, round by round, takes all."""
+    left = cut(edges.select("src", "dst").distinct(), "dag")
+    had = left.count()
+    while had:
+        left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "dag")
+        has = left.count()
+        if has == had:
+            return False
+        had = has
     return True
 
 

@@ -391,3 +391,49 @@ def nsmallest(df: DataFrame, n: int, column: str, *tie: str) -> DataFrame:
 def sample(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
     """Exactly n rows without replacement: those with the smallest seeded hashes of the key."""
     return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+
+
+def to_dict(df: DataFrame, limit: int, orient: str = "list") -> dict | list:
+    """Up to ``limit`` rows as ``list`` (column to values), ``records`` or ``index`` (row number to record)."""
+    rows = [r.asDict() for r in df.limit(limit).collect()]
+    if orient == "records":
+        return rows
+    if orient == "index":
+        return dict(enumerate(rows))
+    return {c: [r[c] for r in rows] for c in df.columns}
+
+
+def iter_columns(df: DataFrame) -> Iterable[tuple[str, DataFrame]]:
+    """Each column's name and the frame of that column alone; nothing is read until it is used."""
+    return ((c, df.select(c)) for c in df.columns)
+
+
+def pipe(df: DataFrame, f: Callable[..., DataFrame], *args, **kwargs) -> DataFrame:
+    return f(df, *args, **kwargs)
+
+
+def group_count(df: DataFrame, *keys: str) -> DataFrame:
+    """(ngroups): the number of groups, null keys being one."""
+    return df.select(*keys).distinct().agg(F.count(F.lit(1)).alias("ngroups"))
+
+
+def group_rows(df: DataFrame, position: str, *keys: str) -> DataFrame:
+    """(keys..., rows): the positions of each group's rows, in order; a group's positions lie in one row."""
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(position)).alias("rows"))
+
+
+def series(spark: SparkSession, name: str, values: Sequence) -> DataFrame:
+    """(position, name): a named column with the order of its values."""
+    kind = next((type(v) for v in values if v is not None), str)
+    ddl = {int: "long", float: "double", bool: "boolean"}.get(kind, "string")
+    return spark.createDataFrame([(k, v) for k, v in enumerate(values)], f"position long, `{name}` {ddl}")
+
+
+def as_float(c: Column) -> Column:
+    """The number a value begins with, else 0."""
+    return F.coalesce(F.regexp_extract(c.cast("string"), r"^\s*([-+]?\d+(\.\d*)?([eE][-+]?\d+)?)", 1).try_cast("double"), F.lit(0.0))
+
+
+def as_int(c: Column) -> Column:
+    """The whole number a value begins with, else 0."""
+    return F.coalesce(F.regexp_extract(c.cast("string"), r"^\s*([-+]?\d+)", 1).try_cast("long"), F.lit(0))
