@@ -8,6 +8,7 @@ values. Recursive operators without a frame form fold each series' array.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -137,28 +138,40 @@ def _more(df: DataFrame, fields: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])
 
 
+def linear_recursion(q: float, u: np.ndarray, start: float) -> np.ndarray:
+    """y[t] = q y[t - 1] + u[t] from ``start``, by scaled running sums over blocks in which the powers of q stay in range."""
+    out = np.empty(len(u))
+    size = 1 if q <= 0 else int(min(512, max(1, 200 / max(-math.log(q), 1e-9))))
+    powers = float(q) ** np.arange(1, size + 1)
+    for a in range(0, len(u), size):
+        part = u[a : a + size]
+        p = powers[: len(part)]
+        out[a : a + size] = p * (start + np.cumsum(part / p)) if q > 0 else part
+        start = out[min(a + size, len(u)) - 1]
+    return out
+
+
 def ewm(df: DataFrame, s: Series, column: str, span: float) -> DataFrame:
     """Rows with ewm_mean, ewm_var and ewm_std: recursive, alpha = 2 / (span + 1), variance from 0.
 
-    One pass over each series in an Arrow-backed group; the result is null where
-    the value is, and the state goes on.
+    The recursions are running sums over blocks of a series, which has to fit a
+    task; the result is null where the value is, and the state goes on.
     """
     alpha, order = 2 / (span + 1), list(s.order)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        mean, var, out = None, 0.0, []
-        for x in pdf[column].to_numpy(float):
-            if np.isnan(x):
-                out.append((None, None, None))
-                continue
-            if mean is None:
-                mean = x
-            else:
-                d = x - mean
-                mean, var = mean + alpha * d, (1 - alpha) * (var + alpha * d * d)
-            out.append((mean, var, var**0.5))
-        pdf[["ewm_mean", "ewm_var", "ewm_std"]] = pd.DataFrame(out, index=pdf.index, dtype=float)
+        x = pdf[column].to_numpy(float)
+        seen = np.flatnonzero(~np.isnan(x))
+        mean, var = np.full(len(x), np.nan), np.full(len(x), np.nan)
+        if len(seen):
+            v = x[seen]
+            m = np.concatenate([v[:1], linear_recursion(1 - alpha, alpha * v[1:], v[0])])
+            d = v[1:] - m[:-1]
+            mean[seen], var[seen] = m, np.concatenate([[0.0], linear_recursion(1 - alpha, (1 - alpha) * alpha * d * d, 0.0)])
+        pdf["ewm_mean"], pdf["ewm_var"], pdf["ewm_std"] = mean, var, np.sqrt(var)
+        for c in ("ewm_mean", "ewm_var", "ewm_std"):
+            pdf[c] = pdf[c].astype(object).where(~np.isnan(x), None)
         return pdf
 
     schema = _more(df, "ewm_mean double, ewm_var double, ewm_std double")
@@ -166,25 +179,21 @@ def ewm(df: DataFrame, s: Series, column: str, span: float) -> DataFrame:
 
 
 def ewm_corr(df: DataFrame, s: Series, columns: Sequence[str], span: int) -> DataFrame:
-    """Recursive exponentially weighted correlations of column pairs, as ``corr_a_b``."""
+    """Recursive exponentially weighted correlations of column pairs, as ``corr_a_b``; nulls count as 0."""
     alpha, order = 2 / (span + 1), list(s.order)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
     schema = _more(df, ", ".join(f"corr_{columns[i]}_{columns[j]} double" for i, j in pairs))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        x = pdf[list(columns)].fillna(0).to_numpy(float)
-        mean, cov, out = None, np.zeros((len(columns),) * 2), []
-        for row in x:
-            if mean is None:
-                mean = row.copy()
-            else:
-                d = row - mean
-                mean = mean + alpha * d
-                cov = (1 - alpha) * (cov + alpha * np.outer(d, d))
-            sd = np.sqrt(np.diag(cov))
-            out.append([cov[i, j] / (sd[i] * sd[j]) if sd[i] * sd[j] > 1e-15 else 0.0 for i, j in pairs])
-        pdf[[f"corr_{columns[i]}_{columns[j]}" for i, j in pairs]] = np.array(out).reshape(len(pdf), len(pairs))
+        x = pdf[list(columns)].fillna(0).to_numpy(float).T
+        mean = [np.concatenate([v[:1], linear_recursion(1 - alpha, alpha * v[1:], v[0])]) for v in x]
+        d = [v[1:] - m[:-1] for v, m in zip(x, mean, strict=True)]
+        cov = lambda i, j: np.concatenate([[0.0], linear_recursion(1 - alpha, (1 - alpha) * alpha * d[i] * d[j], 0.0)])
+        sd = [np.sqrt(cov(i, i)) for i in range(len(columns))]
+        for i, j in pairs:
+            both = sd[i] * sd[j]
+            pdf[f"corr_{columns[i]}_{columns[j]}"] = np.where(both > 1e-15, cov(i, j) / np.where(both > 1e-15, both, 1), 0.0)
         return pdf
 
     return df.groupBy(*s.by).applyInPandas(run, schema)
@@ -247,16 +256,26 @@ def rolling_residual(s: Series, asset: Column, bench: Column, n: int) -> Column:
     return asset - (rolling_alpha(s, asset, bench, n) + rolling_beta(s, asset, bench, n) * bench)
 
 
+#: Frames that are worked on at once.
+FRAMES = 16_384
+
+
 def _rolling_matrix(df: DataFrame, s: Series, n: int, fields: str, columns: Sequence[str], f) -> DataFrame:
+    """``f`` of stacked frames (frames by rows by columns) gives a list of arrays, one a field; a series has to fit a task."""
     schema, order = _more(df, fields), list(s.order)
     names = [x.split(" ")[0] for x in fields.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         x = pdf[list(columns)].fillna(0).to_numpy(float)
-        out = [f(x[i - n + 1 : i + 1]) if i + 1 >= n else (None,) * len(names) for i in range(len(x))]
-        for k, name in enumerate(names):
-            pdf[name] = pd.Series([r[k] for r in out], index=pdf.index, dtype=object)
+        out: list[list] = [[None] * min(n - 1, len(x)) for _ in names]
+        if len(x) >= n:
+            frames = np.lib.stride_tricks.sliding_window_view(x, n, axis=0).transpose(0, 2, 1)
+            for a in range(0, len(frames), FRAMES):
+                for have, got in zip(out, f(frames[a : a + FRAMES]), strict=True):
+                    have += got.tolist()
+        for name, values in zip(names, out, strict=True):
+            pdf[name] = pd.Series(values, index=pdf.index, dtype=object)
         return pdf
 
     return df.groupBy(*s.by).applyInPandas(run, schema)
@@ -265,12 +284,14 @@ def _rolling_matrix(df: DataFrame, s: Series, n: int, fields: str, columns: Sequ
 def rolling_multi_beta(df: DataFrame, s: Series, asset: str, factors: Sequence[str], n: int) -> DataFrame:
     """Betas of several factors (array ``betas``) by demeaned normal equations; zeros where they are singular."""
 
-    def betas(x: np.ndarray):
-        d = x - x.mean(0)
-        a = d[:, 1:].T @ d[:, 1:]
-        if np.linalg.matrix_rank(a) < len(a):
-            return ([0.0] * len(a),)
-        return (np.linalg.solve(a, d[:, 1:].T @ d[:, 0]).tolist(),)
+    def betas(x: np.ndarray) -> list[np.ndarray]:
+        d = x - x.mean(1, keepdims=True)
+        z = d[:, :, 1:].transpose(0, 2, 1)
+        a, b = z @ d[:, :, 1:], z @ d[:, :, :1]
+        full = np.linalg.matrix_rank(a) == a.shape[1]
+        out = np.zeros(b.shape[:2])
+        out[full] = np.linalg.solve(a[full], b[full])[:, :, 0]
+        return [out]
 
     return _rolling_matrix(df, s, n, "betas array<double>", [asset, *factors], betas)
 
@@ -278,9 +299,10 @@ def rolling_multi_beta(df: DataFrame, s: Series, asset: str, factors: Sequence[s
 def rolling_pca(df: DataFrame, s: Series, columns: Sequence[str], n: int, k: int) -> DataFrame:
     """Largest eigenvalues and explained shares of each frame's covariance matrix."""
 
-    def top(x: np.ndarray):
-        w = np.linalg.eigvalsh(np.cov(x.T))[::-1]
-        total = w.sum()
-        return w[:k].tolist(), [(v / total if total > 0 else 0.0) for v in w[:k]]
+    def top(x: np.ndarray) -> list[np.ndarray]:
+        d = x - x.mean(1, keepdims=True)
+        w = np.linalg.eigvalsh(d.transpose(0, 2, 1) @ d / (n - 1))[:, ::-1]
+        total = w.sum(1, keepdims=True)
+        return [w[:, :k], np.where(total > 0, w[:, :k] / np.where(total > 0, total, 1), 0.0)]
 
     return _rolling_matrix(df, s, n, "eigenvalues array<double>, explained array<double>", columns, top)

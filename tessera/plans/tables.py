@@ -15,6 +15,7 @@ PER_CUSTOMER = w.Series(("o_custkey",), ("o_orderdate", "o_orderkey"))
 ROWS = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
 LAST5 = f"OVER ({ROWS} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
 SOFAR = f"OVER ({ROWS} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+LAST6 = f"OVER ({ROWS} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
 SEEN5 = f"row_number() OVER ({ROWS}) >= 5"
 
 
@@ -374,27 +375,46 @@ def rolling_risk(x: Tables) -> DataFrame:
     return rounded(_returns(x).select("o_orderkey", w.rolling_sharpe(PER_CUSTOMER, C("r"), 5).alias("sharpe"), w.rolling_var(PER_CUSTOMER, C("r"), 5, 0.95).alias("var95")))
 
 
+@query(f"""WITH r AS {RETURN}, f AS (SELECT o_orderkey, list(r) {LAST5} AS l, avg(r) {LAST5} AS m, quantile_cont(r, 0.2) {LAST5} AS q FROM r) SELECT o_orderkey, CASE WHEN len(l) = 5 THEN round(-list_avg(list_filter(l, lambda v: v <= q)), 4) END AS cvar FROM f""")
+def rolling_shortfall(x: Tables) -> DataFrame:
+    return rounded(_returns(x).select("o_orderkey", w.rolling_cvar(PER_CUSTOMER, C("r"), 5, 0.8).alias("cvar")))
+
+
+@query(f"""WITH p AS (SELECT o_orderkey, list(o_totalprice) {LAST5} AS l FROM orders)
+SELECT o_orderkey, CASE WHEN len(l) = 5 THEN round(list_max(list_transform(range(1, 6), lambda k: (list_max(l[1:k]) - l[k]) / list_max(l[1:k]))), 6) END AS drawdown FROM p""")
+def rolling_drawdown(x: Tables) -> DataFrame:
+    return rounded(_orders(x).select("o_orderkey", w.rolling_max_drawdown(PER_CUSTOMER, P(), 5).alias("drawdown")), 6)
+
+
 @query()
 def rolling_downside(x: Tables) -> DataFrame:
     s, r = PER_CUSTOMER, C("r")
     return rounded(_returns(x).select("o_orderkey", w.rolling_sortino(s, r, 5).alias("sortino"), w.rolling_cvar(s, r, 5, 0.8).alias("cvar"), w.rolling_max_drawdown(s, P(), 5).alias("drawdown")))
 
 
-@query()
+@query(f"""WITH RECURSIVE o AS (SELECT o_orderkey, o_custkey, o_totalprice AS x, row_number() OVER ({ROWS}) AS k FROM orders), e AS (
+SELECT o_orderkey, o_custkey, k, x AS m, 0.0::DOUBLE AS v FROM o WHERE k = 1 UNION ALL
+SELECT o.o_orderkey, o.o_custkey, o.k, e.m + (x - e.m) * 2 / 11.0, (e.v + pow(x - e.m, 2) * 2 / 11.0) * 9 / 11.0 FROM e JOIN o ON o.o_custkey = e.o_custkey AND o.k = e.k + 1)
+SELECT o_orderkey, round(m, 4) AS ewm_mean, round(v / 1000000, 4) AS ewm_var, round(sqrt(v), 4) AS ewm_std FROM e""")
 def ewm_stats(x: Tables) -> DataFrame:
-    return rounded(w.ewm(_orders(x), PER_CUSTOMER, "o_totalprice", 10)).select("o_orderkey", "ewm_mean", "ewm_var", "ewm_std")
+    return rounded(w.ewm(_orders(x), PER_CUSTOMER, "o_totalprice", 10).select("o_orderkey", "ewm_mean", (C("ewm_var") / 1000000).alias("ewm_var"), "ewm_std"))
 
 
-@query()
+@query(f"""WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice AS y, (o_orderkey % 17)::DOUBLE AS a, ((o_orderkey * 7) % 23)::DOUBLE AS b FROM orders),
+c AS (SELECT o_orderkey, count(*) {LAST6} AS k, var_pop(a) {LAST6} AS aa, covar_pop(a, b) {LAST6} AS ab, var_pop(b) {LAST6} AS bb, covar_pop(a, y) {LAST6} AS ay, covar_pop(b, y) {LAST6} AS yb FROM o)
+SELECT o_orderkey, CASE WHEN k = 6 THEN CASE WHEN aa * bb - ab * ab > 1e-6 THEN round((bb * ay - ab * yb) / (aa * bb - ab * ab) / 1000, 2) ELSE 0 END END AS first, CASE WHEN k = 6 THEN CASE WHEN aa * bb - ab * ab > 1e-6 THEN round((aa * yb - ab * ay) / (aa * bb - ab * ab) / 1000, 2) ELSE 0 END END AS second FROM c""")
 def rolling_factor_betas(x: Tables) -> DataFrame:
-    df = _orders(x).withColumns({"day": BENCH(), "key": C("o_orderkey").cast("double")})
-    return w.rolling_multi_beta(df, PER_CUSTOMER, "o_totalprice", ["day", "key"], 6).select("o_orderkey", "betas")
+    df = _orders(x).withColumns({"a": (C("o_orderkey") % 17).cast("double"), "b": (C("o_orderkey") * 7 % 23).cast("double")})
+    betas = C("betas")
+    return rounded(w.rolling_multi_beta(df, PER_CUSTOMER, "o_totalprice", ["a", "b"], 6).select("o_orderkey", (betas[0] / 1000).alias("first"), (betas[1] / 1000).alias("second")), 2)
 
 
-@query()
+@query(f"""WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice / 1000 AS y, (o_orderkey % 17)::DOUBLE AS a FROM orders), c AS (SELECT o_orderkey, count(*) {LAST6} AS k, var_samp(a) {LAST6} AS aa, covar_samp(a, y) {LAST6} AS ay, var_samp(y) {LAST6} AS yy FROM o),
+e AS (SELECT *, (aa + yy) / 2 + sqrt(pow(aa - yy, 2) / 4 + ay * ay) AS w FROM c)
+SELECT o_orderkey, CASE WHEN k = 6 THEN round(w, 3) END AS largest, CASE WHEN k = 6 THEN round(w / (aa + yy), 4) END AS share FROM e""")
 def rolling_components(x: Tables) -> DataFrame:
-    df = _orders(x).withColumn("day", BENCH())
-    return w.rolling_pca(df, PER_CUSTOMER, ["o_totalprice", "day"], 6, 2).select("o_orderkey", "eigenvalues", "explained")
+    df = _orders(x).withColumns({"y": C("o_totalprice") / 1000, "a": (C("o_orderkey") % 17).cast("double")})
+    return w.rolling_pca(df, PER_CUSTOMER, ["y", "a"], 6, 2).select("o_orderkey", F.round(C("eigenvalues")[0], 3).alias("largest"), F.round(C("explained")[0], 4).alias("share"))
 
 
 # strings and dates
