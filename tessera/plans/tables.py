@@ -402,11 +402,11 @@ def ewm_stats(x: Tables) -> DataFrame:
 
 @query(f"""WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice AS y, (o_orderkey % 17)::DOUBLE AS a, ((o_orderkey * 7) % 23)::DOUBLE AS b FROM orders),
 c AS (SELECT o_orderkey, count(*) {LAST6} AS k, var_pop(a) {LAST6} AS aa, covar_pop(a, b) {LAST6} AS ab, var_pop(b) {LAST6} AS bb, covar_pop(a, y) {LAST6} AS ay, covar_pop(b, y) {LAST6} AS yb FROM o)
-SELECT o_orderkey, CASE WHEN k = 6 THEN CASE WHEN aa * bb - ab * ab > 1e-6 THEN round((bb * ay - ab * yb) / (aa * bb - ab * ab) / 1000, 2) ELSE 0 END END AS first, CASE WHEN k = 6 THEN CASE WHEN aa * bb - ab * ab > 1e-6 THEN round((aa * yb - ab * ay) / (aa * bb - ab * ab) / 1000, 2) ELSE 0 END END AS second FROM c""")
+SELECT o_orderkey, CASE WHEN k = 6 THEN CASE WHEN aa * bb - ab * ab > 1e-6 THEN round((bb * ay - ab * yb) / (aa * bb - ab * ab) / 1000, 2) + 0 ELSE 0 END END AS first, CASE WHEN k = 6 THEN CASE WHEN aa * bb - ab * ab > 1e-6 THEN round((aa * yb - ab * ay) / (aa * bb - ab * ab) / 1000, 2) + 0 ELSE 0 END END AS second FROM c""")
 def rolling_factor_betas(x: Tables) -> DataFrame:
     df = _orders(x).withColumns({"a": (C("o_orderkey") % 17).cast("double"), "b": (C("o_orderkey") * 7 % 23).cast("double")})
     betas = C("betas")
-    return rounded(w.rolling_multi_beta(df, PER_CUSTOMER, "o_totalprice", ["a", "b"], 6).select("o_orderkey", (betas[0] / 1000).alias("first"), (betas[1] / 1000).alias("second")), 2)
+    return w.rolling_multi_beta(df, PER_CUSTOMER, "o_totalprice", ["a", "b"], 6).select("o_orderkey", *[(F.round(betas[k] / 1000, 2) + 0).alias(name) for k, name in enumerate(("first", "second"))])
 
 
 @query(f"""WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice / 1000 AS y, (o_orderkey % 17)::DOUBLE AS a FROM orders), c AS (SELECT o_orderkey, count(*) {LAST6} AS k, var_samp(a) {LAST6} AS aa, covar_samp(a, y) {LAST6} AS ay, var_samp(y) {LAST6} AS yy FROM o),
