@@ -27,6 +27,8 @@ from tessera.sources.tables import table
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
+#: Parts in which pages of one payload meet.
+SALTS = 16
 #: Revisits up to this number (about 16 bytes each) are sent to every task.
 BROADCAST_ROWS = 2_000_000
 
@@ -51,7 +53,10 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     # two passes over the pages, as digests are cheaper than keeping the payloads
     slim = cut(rows.filter(F.octet_length("payload") >= min_bytes).select("page_id", "digest"), "warc-digests")
     tops = slim.groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1 and top is not null")
-    later = slim.join(tops, "digest").filter("page_id is null or page_id < top")
+    # equal payloads meet in SALTS parts, however many there are
+    tops = tops.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = slim.withColumn("salt", F.pmod(F.xxhash64("page_id", "digest"), F.lit(SALTS)).cast("int"))
+    later = salted.join(tops, ["digest", "salt"]).filter("page_id is null or page_id < top")
     later = cut(later.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), F.col("top").alias("refers_to")).distinct(), "warc-revisits")
     small = later.count() <= BROADCAST_ROWS
     on = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
@@ -87,7 +92,10 @@ def write_archives(records: DataFrame, path: str) -> None:
 
 
 def _chunks(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
-    """What lies between version lines: file, block, order in the block, value, bytes (with one version line)."""
+    """What lies between version lines: file, block, order in the block, value, bytes (with one version line).
+
+    ``files`` picks archives; it has eight bytes for each, and there are as many archives as writing tasks.
+    """
     raw = spark.read.option("lineSep", MAGIC).text(path)
     raw = raw.select(
         "value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),

@@ -38,3 +38,18 @@ def test_null_ids_and_repeated_rows(spark):
 
 def test_empty(spark):
     assert round_trip(spark, []) == set()
+
+
+@pytest.mark.parametrize("size", ["300", "700"])
+def test_small_splits(spark, size):
+    """Records, and false ones in payloads, that lie across many splits."""
+    fake = f"{MAGIC}WARC-Type: response{END[:2]}Content-Length: 5{END}hello{END}"
+    texts = [("word " * (k % 90)) + (fake * (k % 4)) + "end" * (k % 7) for k in range(60)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = round_trip(spark, [(k, f"u{k}", t) for k, t in enumerate(texts)])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    last = {t: k for k, t in enumerate(texts)}
+    assert got == {(k, len(t.encode()), digest(t), "response" if last[t] == k else "revisit", None if last[t] == k else last[t]) for k, t in enumerate(texts)}
