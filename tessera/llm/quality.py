@@ -378,6 +378,9 @@ def fit_perplexity(docs: DataFrame, shard: int = SHARD) -> Estimates:
 def score_quality(docs: DataFrame, min_words: int = 50, max_repeat: int = 50, width: float = 3.0, slack: float = 0.1) -> DataFrame:
     """Counts, base verdict, perplexity, bands and verdict of every document.
 
+    Rows that repeat an id or a whole row are rows of their own and count in the
+    model as often as they stand there; null ids are like any other; an empty
+    table gives no row; columns besides doc_id, text and lang play no part.
     Null text counts as empty: it has no word, fails the base rules and has
     perplexity null. Documents of null language have a model and band of their
     own. A band is at least ``slack`` wide on either side of its quartiles (in
