@@ -420,15 +420,15 @@ def rolling_components(x: Tables) -> DataFrame:
 # strings and dates
 
 
-@query("""SELECT doc_id, lower(substr(text, 1, 20)) AS lo, upper(source) AS up, contains(text, 'the') AS has, starts_with(text, 'The') AS begins,
-          ends_with(text, '.') AS stops, replace(substr(text, 1, 30), 'th', 'TH') AS rep, octet_length(encode(text))::INT AS bytes,
-          len(string_split(substr(text, 1, 60), '. '))::INT AS sentences FROM documents""")
+@query("""SELECT doc_id, md5(lower(text)) AS lo, upper(source) AS up, contains(text, 'the') AS has, starts_with(text, 'The') AS begins,
+          ends_with(text, '.') AS stops, md5(replace(text, 'th', 'TH')) AS rep, octet_length(encode(text))::INT AS bytes,
+          len(string_split(text, '. '))::INT AS sentences FROM documents""")
 def string_functions(x: Tables) -> DataFrame:
     c = C("text")
     return x.documents.select(
-        "doc_id", strings.lower(F.substring(c, 1, 20)).alias("lo"), strings.upper(C("source")).alias("up"), strings.contains(c, "the").alias("has"),
-        strings.startswith(c, "The").alias("begins"), strings.endswith(c, ".").alias("stops"), strings.replace(F.substring(c, 1, 30), "th", "TH").alias("rep"),
-        strings.byte_length(c).alias("bytes"), F.size(strings.split(F.substring(c, 1, 60), ". ")).alias("sentences"),
+        "doc_id", F.md5(strings.lower(c)).alias("lo"), strings.upper(C("source")).alias("up"), strings.contains(c, "the").alias("has"),
+        strings.startswith(c, "The").alias("begins"), strings.endswith(c, ".").alias("stops"), F.md5(strings.replace(c, "th", "TH")).alias("rep"),
+        strings.byte_length(c).alias("bytes"), F.size(strings.split(c, ". ")).alias("sentences"),
     )
 
 
