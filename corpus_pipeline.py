@@ -24,7 +24,7 @@ from tessera.llm.language import fit_languages, identify
 from tessera.llm.mixing import mix_documents
 from tessera.llm.substrings import remove_repeats
 from tessera.llm.text import small_batches
-from tessera.sources.shared import cut, fresh_path
+from tessera.sources.shared import cut, fresh_path, made, sweep
 from tessera.sources.tables import table
 
 #: Ids of dropped documents up to this number are sent to the tasks (8 bytes each); beyond, they are joined.
@@ -41,8 +41,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
     small_batches(spark)
+    before = made()
     found = jaccard_components(docs, n=5, percent=80)
     gone = cut(found.filter("component_id != doc_id").select("doc_id").distinct(), "pipeline-copies")
+    sweep(spark, before, gone)
     return docs.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
 
 

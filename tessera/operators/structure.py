@@ -10,8 +10,11 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 
 
 def family_counts(data: DataFrame, variable: str, parents: Sequence[str]) -> DataFrame:
@@ -20,23 +23,25 @@ def family_counts(data: DataFrame, variable: str, parents: Sequence[str]) -> Dat
     return cells.withColumn("t", F.sum("n").over(Window.partitionBy(*parents)))
 
 
+@F.pandas_udf(T.DoubleType())
+def _lgamma(x: pd.Series) -> pd.Series:
+    return x.map(math.lgamma)
+
+
 def local_scores(data: DataFrame, variable: str, parents: Sequence[str]) -> DataFrame:
-    """One row: log_likelihood, aic, bic, k2 and bdeu (size 10) of a node given its parents."""
+    """One row: log_likelihood, aic, bic, k2 and bdeu (size 10) of a node given its parents; cells are summed where they are."""
     cards = data.agg(*[F.count_distinct(c).alias(f"c{i}") for i, c in enumerate((variable, *parents))], F.count(F.lit(1)).alias("rows")).first()
     r, q = cards[0], math.prod(cards[1 : 1 + len(parents)])
     k = (r - 1) * q
-    cells = family_counts(data, variable, parents)
-    n, t = F.col("n").cast("double"), F.col("t").cast("double")
-    ll = cells.agg(F.sum(n * F.ln(n / t)).alias("log_likelihood"), F.collect_list(F.struct("n", "t", *parents)).alias("cells"))
-    row = ll.first()
-    groups = {tuple(c[p] for p in parents): c["t"] for c in row.cells}
-
-    def marginal(alpha: float) -> float:
-        out = sum(math.lgamma(r * alpha) - math.lgamma(r * alpha + t) for t in groups.values())
-        return out + sum(math.lgamma(alpha + c["n"]) - math.lgamma(alpha) for c in row.cells)
-
-    x = row.log_likelihood or 0.0
-    values = (x, x - k, x - 0.5 * k * math.log(max(cards["rows"], 1)), marginal(1.0), marginal(10.0 / (r * q)))
+    cells = family_counts(data, variable, parents).select(*parents, F.col("n").cast("double").alias("_n"), F.col("t").cast("double").alias("_t"))
+    alphas = (1.0, 10.0 / (r * q)) if r else (1.0, 1.0)
+    n, t = F.col("_n"), F.col("_t")
+    x, seen, *inner = cells.agg(F.sum(n * F.ln(n / t)), F.count(F.lit(1)), *[F.sum(_lgamma(n + a)) for a in alphas]).first()
+    groups = cells.groupBy(*parents).agg(F.first("_t").alias("_t"))
+    many, *outer = groups.agg(F.count(F.lit(1)), *[F.sum(_lgamma(t + r * a)) for a in alphas]).first()
+    marginal = [many * math.lgamma(r * a) - (o or 0.0) + (i or 0.0) - seen * math.lgamma(a) if seen else 0.0 for a, i, o in zip(alphas, inner, outer, strict=True)]
+    x = x or 0.0
+    values = (x, x - k, x - 0.5 * k * math.log(max(cards["rows"], 1)), *map(float, marginal))
     return data.sparkSession.createDataFrame([values], "log_likelihood double, aic double, bic double, k2 double, bdeu double")
 
 
@@ -80,50 +85,12 @@ def chow_liu(data: DataFrame, variables: Sequence[str], root: str | None = None)
 
 
 def hill_climb(data: DataFrame, variables: Sequence[str], score: str = "bic", max_parents: int | None = None) -> list[tuple[str, str]]:
-    """Greedy edge additions, removals and reversals while the score rises; family scores are kept. No node gets more than ``max_parents``, if given."""
-    known: dict[tuple, float] = {}
-    most = len(variables) if max_parents is None else max_parents
-
-    def local(v: str, parents: frozenset[str]) -> float:
-        if (v, parents) not in known:
-            known[v, parents] = local_scores(data, v, sorted(parents)).first()[score]
-        return known[v, parents]
-
-    parents: dict[str, frozenset[str]] = {v: frozenset() for v in variables}
-
-    def reaches(a: str, b: str, without: tuple[str, str] | None = None) -> bool:
-        stack, seen = [a], set()
-        while stack:
-            v = stack.pop()
-            if v == b:
-                return True
-            for u in variables:
-                if v in parents[u] and (v, u) != without and u not in seen:
-                    seen.add(u)
-                    stack.append(u)
-        return False
-
-    while True:
-        best, change = 1e-9, None
-        for a in variables:
-            for b in variables:
-                if a == b:
-                    continue
-                if a in parents[b]:
-                    cut = local(b, parents[b] - {a}) - local(b, parents[b])
-                    options = [(cut, {b: parents[b] - {a}})]
-                    if len(parents[a]) < most and not reaches(a, b, (a, b)):
-                        options.append((cut + local(a, parents[a] | {b}) - local(a, parents[a]), {b: parents[b] - {a}, a: parents[a] | {b}}))
-                elif len(parents[b]) < most and not reaches(b, a):
-                    options = [(local(b, parents[b] | {a}) - local(b, parents[b]), {b: parents[b] | {a}})]
-                else:
-                    continue
-                for gain, new in options:
-                    if gain > best:
-                        best, change = gain, new
-        if change is None:
-            return sorted((p, v) for v, ps in parents.items() for p in ps)
-        parents.update(change)
+    """Greedy edge additions, removals and reversals while the score rises; a round's families are counted in one pass. No node gets more than ``max_parents``, if given."""
+    from tessera.models.learning import DiscreteScore
+    from tessera.models.learning import hill_climb as climb
+
+    kind = {"log_likelihood": "loglik"}.get(score, score)
+    return climb(DiscreteScore(data.select(*variables), kind), variables, max_parents=max_parents)
 
 
 def backdoor(data: DataFrame, treatment: str, outcome: str, adjust: Sequence[str]) -> DataFrame:

@@ -70,6 +70,20 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def made() -> set[str]:
+    """Paths that exist now; what comes later can be swept."""
+    return {path for _, path in _made}
+
+
+def sweep(spark: SparkSession, before: set[str], *keep: DataFrame) -> None:
+    """Delete the paths made since ``before``, but those of the tables to keep: all that was only a step towards them."""
+    kept = {_paths[df] for df in keep}
+    for entry in [e for e in _made if e[1] not in before and e[1] not in kept]:
+        remove(*entry)
+        _made.remove(entry)
+    release(spark)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
