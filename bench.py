@@ -18,7 +18,7 @@ from tessera.session import local_session
 HEADLINE = (
     "revenue_by_flag_status", "merge_outer", "semi_join", "drop_duplicate_rows", "group_nulls_as_zero", "pivot_sum", "crosstab_counts",
     "describe_column", "correlation_matrix", "top_orders", "rolling_basic", "expanding_basic", "rolling_zscores", "rolling_risk",
-    "shift_diff_pct", "average_rank", "string_functions", "date_fields", "elementwise", "histogram_quantity",
+    "shift_diff_pct", "average_rank", "string_functions", "date_fields", "elementwise", "histogram_quantity", "ewm_stats", "test_spearman", "sparse_product",
 )
 
 

@@ -138,65 +138,87 @@ def _more(df: DataFrame, fields: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])
 
 
-def linear_recursion(q: float, u: np.ndarray, start: float) -> np.ndarray:
-    """y[t] = q y[t - 1] + u[t] from ``start``, by scaled running sums over blocks in which the powers of q stay in range."""
+def linear_recursion(q: float, u: np.ndarray, new: np.ndarray, carry: float) -> np.ndarray:
+    """y[t] = q y[t - 1] + u[t], begun anew where ``new``; ``carry`` is the value before the first row.
+
+    Scaled running sums over blocks in which the powers of q stay in range.
+    """
+    if q <= 0:
+        return u.astype(float)
     out = np.empty(len(u))
-    size = 1 if q <= 0 else int(min(512, max(1, 200 / max(-math.log(q), 1e-9))))
+    size = int(min(512, max(1, 200 / max(-math.log(q), 1e-9))))
     powers = float(q) ** np.arange(1, size + 1)
     for a in range(0, len(u), size):
-        part = u[a : a + size]
+        part, begun = u[a : a + size], new[a : a + size]
         p = powers[: len(part)]
-        out[a : a + size] = p * (start + np.cumsum(part / p)) if q > 0 else part
-        start = out[min(a + size, len(u)) - 1]
+        c = np.concatenate([[0.0], np.cumsum(part / p)])
+        at = np.maximum.accumulate(np.where(begun, np.arange(len(part)), -1))
+        out[a : a + size] = p * (c[1:] + np.where(at < 0, carry, -c[np.maximum(at, 0)]))
+        carry = out[min(a + size, len(u)) - 1]
     return out
 
 
+def _streamed(df: DataFrame, s: Series, fields: str, run) -> DataFrame:
+    """``run`` of batches that hold series one after another, in order, with ``_series``, a number for each; a series may span many batches."""
+    rows = df.withColumn("_series", F.xxhash64(*s.by)).repartition(*s.by).sortWithinPartitions(*s.by, *s.order)
+    return rows.mapInPandas(run, _more(df, fields))
+
+
 def ewm(df: DataFrame, s: Series, column: str, span: float) -> DataFrame:
     """Rows with ewm_mean, ewm_var and ewm_std: recursive, alpha = 2 / (span + 1), variance from 0.
 
-    The recursions are running sums over blocks of a series, which has to fit a
-    task; the result is null where the value is, and the state goes on.
+    The recursions are running sums over sorted batches and go on from batch to
+    batch; the result is null where the value is, and the state goes on.
     """
-    alpha, order = 2 / (span + 1), list(s.order)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x = pdf[column].to_numpy(float)
-        seen = np.flatnonzero(~np.isnan(x))
-        mean, var = np.full(len(x), np.nan), np.full(len(x), np.nan)
-        if len(seen):
-            v = x[seen]
-            m = np.concatenate([v[:1], linear_recursion(1 - alpha, alpha * v[1:], v[0])])
-            d = v[1:] - m[:-1]
-            mean[seen], var[seen] = m, np.concatenate([[0.0], linear_recursion(1 - alpha, (1 - alpha) * alpha * d * d, 0.0)])
-        pdf["ewm_mean"], pdf["ewm_var"], pdf["ewm_std"] = mean, var, np.sqrt(var)
-        for c in ("ewm_mean", "ewm_var", "ewm_std"):
-            pdf[c] = pdf[c].astype(object).where(~np.isnan(x), None)
-        return pdf
-
-    schema = _more(df, "ewm_mean double, ewm_var double, ewm_std double")
-    return df.groupBy(*s.by).applyInPandas(run, schema)
+    alpha = 2 / (span + 1)
+
+    def run(batches):
+        last, m0, v0 = None, 0.0, 0.0
+        for pdf in batches:
+            x = pdf[column].to_numpy(float)
+            mean, var = np.full(len(x), np.nan), np.full(len(x), np.nan)
+            seen = np.flatnonzero(~np.isnan(x))
+            if len(seen):
+                v, key = x[seen], pdf["_series"].to_numpy()[seen]
+                new = np.concatenate([[key[0] != last], key[1:] != key[:-1]])
+                m = linear_recursion(1 - alpha, np.where(new, v, alpha * v), new, m0)
+                d = np.where(new, 0.0, v - np.concatenate([[m0], m[:-1]]))
+                w = linear_recursion(1 - alpha, (1 - alpha) * alpha * d * d, new, v0)
+                mean[seen], var[seen] = m, w
+                last, m0, v0 = key[-1], m[-1], w[-1]
+            out = pdf.drop(columns="_series")
+            for name, values in (("ewm_mean", mean), ("ewm_var", var), ("ewm_std", np.sqrt(var))):
+                out[name] = pd.Series(values, index=out.index).astype(object).where(~np.isnan(x), None)
+            yield out
+
+    return _streamed(df, s, "ewm_mean double, ewm_var double, ewm_std double", run)
 
 
 def ewm_corr(df: DataFrame, s: Series, columns: Sequence[str], span: int) -> DataFrame:
     """Recursive exponentially weighted correlations of column pairs, as ``corr_a_b``; nulls count as 0."""
-    alpha, order = 2 / (span + 1), list(s.order)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    schema = _more(df, ", ".join(f"corr_{columns[i]}_{columns[j]} double" for i, j in pairs))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x = pdf[list(columns)].fillna(0).to_numpy(float).T
-        mean = [np.concatenate([v[:1], linear_recursion(1 - alpha, alpha * v[1:], v[0])]) for v in x]
-        d = [v[1:] - m[:-1] for v, m in zip(x, mean, strict=True)]
-        cov = lambda i, j: np.concatenate([[0.0], linear_recursion(1 - alpha, (1 - alpha) * alpha * d[i] * d[j], 0.0)])
-        sd = [np.sqrt(cov(i, i)) for i in range(len(columns))]
-        for i, j in pairs:
-            both = sd[i] * sd[j]
-            pdf[f"corr_{columns[i]}_{columns[j]}"] = np.where(both > 1e-15, cov(i, j) / np.where(both > 1e-15, both, 1), 0.0)
-        return pdf
-
-    return df.groupBy(*s.by).applyInPandas(run, schema)
+    alpha = 2 / (span + 1)
+    n = len(columns)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+
+    def run(batches):
+        last, m0, c0 = None, np.zeros(n), dict.fromkeys(pairs, 0.0)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, key = pdf[list(columns)].fillna(0).to_numpy(float).T, pdf["_series"].to_numpy()
+            new = np.concatenate([[key[0] != last], key[1:] != key[:-1]])
+            mean = [linear_recursion(1 - alpha, np.where(new, v, alpha * v), new, m) for v, m in zip(x, m0, strict=True)]
+            d = [np.where(new, 0.0, v - np.concatenate([[m], y[:-1]])) for v, m, y in zip(x, m0, mean, strict=True)]
+            cov = {(i, j): linear_recursion(1 - alpha, (1 - alpha) * alpha * d[i] * d[j], new, c0[i, j]) for i, j in pairs}
+            last, m0, c0 = key[-1], [y[-1] for y in mean], {k: c[-1] for k, c in cov.items()}
+            out = pdf.drop(columns="_series")
+            for i, j in pairs:
+                if i < j:
+                    both = np.sqrt(cov[i, i] * cov[j, j])
+                    out[f"corr_{columns[i]}_{columns[j]}"] = np.where(both > 1e-15, cov[i, j] / np.where(both > 1e-15, both, 1), 0.0)
+            yield out
+
+    return _streamed(df, s, ", ".join(f"corr_{columns[i]}_{columns[j]} double" for i, j in pairs if i < j), run)
 
 
 # risk
@@ -261,24 +283,31 @@ FRAMES = 16_384
 
 
 def _rolling_matrix(df: DataFrame, s: Series, n: int, fields: str, columns: Sequence[str], f) -> DataFrame:
-    """``f`` of stacked frames (frames by rows by columns) gives a list of arrays, one a field; a series has to fit a task."""
-    schema, order = _more(df, fields), list(s.order)
+    """``f`` of stacked frames (frames by rows by columns) gives a list of arrays, one a field; frames reach back into earlier batches."""
     names = [x.split(" ")[0] for x in fields.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x = pdf[list(columns)].fillna(0).to_numpy(float)
-        out: list[list] = [[None] * min(n - 1, len(x)) for _ in names]
-        if len(x) >= n:
-            frames = np.lib.stride_tricks.sliding_window_view(x, n, axis=0).transpose(0, 2, 1)
-            for a in range(0, len(frames), FRAMES):
-                for have, got in zip(out, f(frames[a : a + FRAMES]), strict=True):
-                    have += got.tolist()
-        for name, values in zip(names, out, strict=True):
-            pdf[name] = pd.Series(values, index=pdf.index, dtype=object)
-        return pdf
-
-    return df.groupBy(*s.by).applyInPandas(run, schema)
+    def run(batches):
+        rows, keys = np.empty((0, len(columns))), np.empty(0, np.int64)
+        for pdf in batches:
+            had = len(rows)
+            rows = np.concatenate([rows, pdf[list(columns)].fillna(0).to_numpy(float)])
+            keys = np.concatenate([keys, pdf["_series"].to_numpy()])
+            values: list[list] = [[None] * len(pdf) for _ in names]
+            end = np.arange(max(had, n - 1), len(rows))
+            end = end[keys[end] == keys[end - n + 1]]
+            frames = np.lib.stride_tricks.sliding_window_view(rows, n, axis=0).transpose(0, 2, 1) if len(end) else None
+            for a in range(0, len(end), FRAMES):
+                own = end[a : a + FRAMES]
+                for have, got in zip(values, f(frames[own - n + 1]), strict=True):
+                    for at, x in zip((own - had).tolist(), got.tolist(), strict=True):
+                        have[at] = x
+            out = pdf.drop(columns="_series")
+            for name, v in zip(names, values, strict=True):
+                out[name] = pd.Series(v, index=out.index, dtype=object)
+            rows, keys = rows[max(0, len(rows) - n + 1) :], keys[max(0, len(keys) - n + 1) :]
+            yield out
+
+    return _streamed(df, s, fields, run)
 
 
 def rolling_multi_beta(df: DataFrame, s: Series, asset: str, factors: Sequence[str], n: int) -> DataFrame:

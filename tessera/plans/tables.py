@@ -395,9 +395,9 @@ def rolling_downside(x: Tables) -> DataFrame:
 @query(f"""WITH RECURSIVE o AS (SELECT o_orderkey, o_custkey, o_totalprice AS x, row_number() OVER ({ROWS}) AS k FROM orders), e AS (
 SELECT o_orderkey, o_custkey, k, x AS m, 0.0::DOUBLE AS v FROM o WHERE k = 1 UNION ALL
 SELECT o.o_orderkey, o.o_custkey, o.k, e.m + (x - e.m) * 2 / 11.0, (e.v + pow(x - e.m, 2) * 2 / 11.0) * 9 / 11.0 FROM e JOIN o ON o.o_custkey = e.o_custkey AND o.k = e.k + 1)
-SELECT o_orderkey, round(m, 4) AS ewm_mean, round(v / 1000000, 4) AS ewm_var, round(sqrt(v), 4) AS ewm_std FROM e""")
+SELECT o_orderkey, round(m, 4) AS ewm_mean, round(v / 1000000, 3) AS ewm_var, round(sqrt(v), 4) AS ewm_std FROM e""")
 def ewm_stats(x: Tables) -> DataFrame:
-    return rounded(w.ewm(_orders(x), PER_CUSTOMER, "o_totalprice", 10).select("o_orderkey", "ewm_mean", (C("ewm_var") / 1000000).alias("ewm_var"), "ewm_std"))
+    return rounded(w.ewm(_orders(x), PER_CUSTOMER, "o_totalprice", 10).select("o_orderkey", "ewm_mean", F.round(C("ewm_var") / 1000000, 3).alias("ewm_var"), "ewm_std"))
 
 
 @query(f"""WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice AS y, (o_orderkey % 17)::DOUBLE AS a, ((o_orderkey * 7) % 23)::DOUBLE AS b FROM orders),
