@@ -339,6 +339,7 @@ def shapiro(df: DataFrame, c: str) -> dict[str, float]:
     if w > 0.999:
         return {"statistic": w, "pvalue": 1.0}
     log = math.log(n)
+    # fixed values: the fitted mean and spread of ln(1 - w) (small samples: of ln(-ln(1 - w)))
     if n <= 11:
         g = 0.459 * n - 2.273
         z = (math.log(-math.log(1 - w)) - (-1.2725 + 1.0521 * (g - 2) / g)) / (1.0308 - 0.26758 * (g - 2) / g)
