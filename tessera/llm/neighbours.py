@@ -38,7 +38,7 @@ PART, LEAF, DIRECTIONS = 8192, 128, 8
 #: Vectors that the upper levels are fitted on, and how many of them make a leaf at least.
 SAMPLE, PER_LEAF = 32_768, 64
 WAVE_MB = 64
-SURE = 0.97
+SURE = 0.99
 #: Scores of block products differ from exact ones by less than this, relative to the lengths.
 ROUNDING = 1e-11
 INDEX = "dim int, leaf int, part int, n long, ids binary, owner binary, vectors binary, projected binary, longest double"
