@@ -53,3 +53,10 @@ def test_small_splits(spark, size):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     last = {t: k for k, t in enumerate(texts)}
     assert got == {(k, len(t.encode()), digest(t), "response" if last[t] == k else "revisit", None if last[t] == k else last[t]) for k, t in enumerate(texts)}
+
+
+def test_query(spark, tmp_path):
+    spark.createDataFrame([(1, "u", "p", 5), (2, None, "p", 6), (3, "u", None, None)], "page_id long, url string, html string, extra long").write.parquet(f"{tmp_path}/pages.parquet")
+    got = op8_warc(spark, str(tmp_path))
+    assert [c for c in got.dtypes if c[0] != "digest_holds"] == [("page_id", "bigint"), ("payload_bytes", "bigint"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", "bigint")]
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got.collect()} == {(1, "revisit", 2), (2, "response", None), (3, "response", None)}
