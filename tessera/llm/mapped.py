@@ -101,13 +101,12 @@ class SortedSets:
 
     def contains(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x), bool)
-        shard = ((x >> np.uint64(32)) * np.uint64(self.n) >> np.uint64(32)).astype(np.int64)
-        for s in np.unique(shard).tolist() if self.paths else ():
+        for s, own in by_range(x, self.n) if self.paths else ():
             if s not in self.paths:
                 continue
             if s not in self.opened:
                 self.opened[s] = map_level(self.paths[s])["key"]
-            known, own = self.opened[s], np.flatnonzero(shard == s)
+            known = self.opened[s]
             if len(known):
                 asked = x[own].astype(known.dtype)
                 out[own] = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
@@ -119,6 +118,20 @@ def split_ranges(numbers: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted((numbers >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
 
 
+def by_range(numbers: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each of ``n`` ranges of the upper 32 bits that has some of the numbers, and their places: one sort, however many ranges."""
+    order = np.argsort(numbers)
+    cuts = split_ranges(numbers[order], n)
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        yield s, order[cuts[s] : cuts[s + 1]]
+
+
+def binary_rows(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of an array, one row from each cut to the next."""
+    offsets = (cuts * x.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(x.tobytes())])
+
+
 def repeated_numbers(rows: DataFrame, numbers: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], n: int, folder: str, room: int = 1_500_000) -> SortedSets:
     """The numbers that occur twice or more among the arrays that ``numbers`` makes of a task's batches.
 
@@ -133,8 +146,8 @@ def repeated_numbers(rows: DataFrame, numbers: Callable[[Iterator[pa.RecordBatch
             k = np.sort(np.concatenate(held))
             k = k[np.concatenate([[True, True], k[2:] != k[:-2]])[: len(k)]]
             cuts = split_ranges(k, n)
-            for s in np.flatnonzero(np.diff(cuts)).tolist():
-                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([k[cuts[s] : cuts[s + 1]].astype(np.uint32).tobytes()])], ["s", "keys"])
+            some = np.flatnonzero(np.diff(cuts))
+            yield pa.RecordBatch.from_arrays([pa.array(some), binary_rows(k.astype(np.uint32), np.append(cuts[some], len(k)))], ["s", "keys"])
 
         for x in numbers(batches):
             held.append(x)

@@ -29,23 +29,27 @@ them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.mapped import SortedSets, map_level, repeated_numbers, split_ranges, write_level
+from tessera.llm.mapped import SortedSets, binary_rows, by_range, map_level, repeated_numbers, split_ranges, write_level
 from tessera.llm.text import give_back, pieces
 from tessera.llm.words import mixed, power, utf8
 from tessera.sources.shared import cut, fresh_path, release
 from tessera.sources.tables import table
 
 WIDTH, GRAM = 50, 32
-#: Quicksort goes as deep as this; groups above the size are sorted deeper before they go to a trie.
-SHALLOW, TRIE = 24, 2000
+#: Quicksort goes as deep as this; groups above the size are sorted deeper before they go to a trie. The largest group
+#: that goes there sets the rounds of all tries, and hot keys' groups grow with the input: the size must stay small.
+SHALLOW, TRIE = 24, 32
 #: Bytes of text for each range of keys; bytes of segments that a task holds; bytes whose suffixes are sorted at once.
 RANGE, HELD, SORTED = 16 << 20, 8 << 20, 1 << 20
+#: Bytes of segments that a task sends in a batch; bytes of text whose keys are looked up at once.
+SENT, LOOKED = 1 << 20, 8 << 20
 #: Documents with equal texts meet in so many parts.
 SALTS = 16
 #: Starts whose keys are found at once.
@@ -291,6 +295,25 @@ def _shared_keys(docs: DataFrame, copies, n: int, folder: str) -> SortedSets:
     return repeated_numbers(docs, keys, n, folder)
 
 
+def _with_segments(parts: Iterator[tuple], shared: SortedSets) -> Iterator[list[tuple]]:
+    """The (item, bytes, sizes) of pieces with their segments of shared keys, in lists: all ranges are visited once for a list."""
+
+    def found() -> list[tuple]:
+        ends = np.cumsum([0, *(len(x[0]) for _, x in waiting)])
+        own = shared.contains(np.concatenate([x[0] for _, x in waiting]))
+        return [(*part, *(y[own[a:b]] for y in x)) for (part, x), a, b in zip(waiting, ends[:-1], ends[1:], strict=True)]
+
+    waiting, room = [], 0
+    for part in parts:
+        waiting.append((part, segments(*part[1:])))
+        room += len(part[1])
+        if room > LOOKED:
+            yield found()
+            waiting, room = [], 0
+    if waiting:
+        yield found()
+
+
 def _held(docs: DataFrame, copies, shared, n: int) -> DataFrame:
     """(s, and arrays): each task's distinct segments with a shared key, by range: lower half of the key, print, smallest and largest id, size and bytes."""
 
@@ -306,18 +329,19 @@ def _held(docs: DataFrame, copies, shared, n: int) -> DataFrame:
             low, high = np.minimum.reduceat(doc[order], new), np.maximum.reduceat(doc[order], new)
             key, mark, start, size = key[new], mark[new], start[order[new]], size[order[new]]
             cuts = split_ranges(key, n)
-            for s in np.flatnonzero(np.diff(cuts)).tolist():
-                own = slice(cuts[s], cuts[s + 1])
-                arrays = [key[own].astype(np.uint32), mark[own], low[own], high[own], size[own], gathered(text, start[own], size[own])]
-                yield pa.RecordBatch.from_arrays([pa.array([s]), *[pa.array([x.tobytes()]) for x in arrays]], ["s", *"abcdef"])
-
-        for batch in pieces(batches, mb=1):
-            ids, flat, sizes = _open(batch, copies.value)
-            key, doc, first, last = segments(flat, sizes)
-            own = np.flatnonzero(shared.value.contains(key))
-            if not len(own):
+            some = np.flatnonzero(np.diff(cuts))
+            ends = np.cumsum(size)
+            for part in np.split(some, np.flatnonzero(np.diff(ends[cuts[some + 1] - 1] // SENT)) + 1):  # a batch for so many bytes, not for each range
+                own = slice(cuts[part[0]], cuts[part[-1] + 1])
+                at = np.append(cuts[part], own.stop) - own.start
+                arrays = [key[own].astype(np.uint32), mark[own], low[own], high[own], size[own]]
+                bytes_ = gathered(text, start[own], size[own]), np.concatenate([[0], np.cumsum(size[own])])[at]
+                yield pa.RecordBatch.from_arrays([pa.array(part), *[binary_rows(x, at) for x in arrays], binary_rows(*bytes_)], ["s", *"abcdef"])
+
+        parts = (_open(batch, copies.value) for batch in pieces(batches, mb=1))
+        for ids, flat, _, key, doc, first, last in chain.from_iterable(_with_segments(parts, shared.value)):
+            if not len(key):
                 continue
-            key, doc, first, last = key[own], doc[own], first[own], last[own]
             size = last - first + WIDTH
             held.append((key, prints(flat, first, last), ids[doc], size, gathered(flat, first, size)))
             room += len(held[-1][-1])
@@ -389,24 +413,25 @@ class Settled:
         return self.__dict__ | {"opened": {}}
 
     def runs(self, key: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each run of a segment: the segment, first and last start in it, and the smallest id that has them."""
+        """For each run of a segment, segments in order: the segment, first and last start in it, and the smallest id that has them."""
         out = [[np.empty(0, np.int64)] for _ in range(4)]
-        shard = ((key >> np.uint64(32)) * np.uint64(self.n) >> np.uint64(32)).astype(np.int64)
-        for s in np.unique(shard).tolist():
+        for s, own in by_range(key, self.n):
             if s not in self.paths:
                 continue
             a = self.opened[s] if s in self.opened else self.opened.setdefault(s, map_level(self.paths[s]))
-            own = np.flatnonzero(shard == s)
             known = a["print"]
             if not len(known):
                 continue
             at = np.minimum(np.searchsorted(known, mark[own]), len(known) - 1)
-            own, at = own[known[at] == mark[own]], at[known[at] == mark[own]]
+            found = known[at] == mark[own]
+            own, at = own[found], at[found]
             count = a["at"][at + 1].astype(np.int64) - a["at"][at]
             run = np.arange(count.sum()) + np.repeat(a["at"][at] - (np.cumsum(count) - count), count)
             for x, y in zip(out, (np.repeat(own, count), a["first"][run], a["last"][run], a["least"][run]), strict=True):
                 x.append(y.astype(np.int64))
-        return tuple(np.concatenate(x) for x in out)
+        out = [np.concatenate(x) for x in out]
+        by = np.argsort(out[0], kind="stable")
+        return tuple(x[by] for x in out)
 
 
 def remove_repeats(docs: DataFrame, as_text: bool = False, range_bytes: int = RANGE) -> DataFrame:
@@ -439,33 +464,38 @@ def remove_repeats(docs: DataFrame, as_text: bool = False, range_bytes: int = RA
     ids = [F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, mb=1):
-            owner, row = batch.column(len(rest)), batch.column(len(rest) + 1).to_numpy().view(np.uint64)
-            valid = owner.is_valid().to_numpy(zero_copy_only=False)
-            owner = owner.fill_null(0).to_numpy()
-            flat, sizes = utf8(batch.column(at))
-            ends = np.cumsum(sizes)
-            key, doc, first, last = segments(flat, sizes)
-            own = np.flatnonzero(shared_sent.value.contains(key) & valid[doc])
-            key, doc, first, last = key[own], doc[own], first[own], last[own]
-            segment, begin, end, least = settled.value.runs(key, prints(flat, first, last))
-            use = least < owner[doc[segment]]
-            begin, end = (first[segment] + begin)[use], (first[segment] + end)[use] + WIDTH
-            copy = np.flatnonzero(copies_sent.value.contains(row) & valid & (sizes >= WIDTH))
-            begin, end = np.concatenate([begin, (ends - sizes)[copy]]), np.concatenate([end, ends[copy]])
-            gone = np.cumsum(np.bincount(begin, minlength=len(flat) + 1) - np.bincount(end, minlength=len(flat) + 1))[:-1] > 0
-            starts = gone.copy()
-            starts[1:] &= ~gone[:-1]
-            border = (ends - sizes)[sizes > 0]
-            starts[border] = gone[border]
-            per_doc = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])])
-            removed, spans = per_doc(gone), per_doc(starts)
-            offsets = np.concatenate([[0], np.cumsum(sizes - removed)]).astype(np.int32)
-            left = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat[~gone].tobytes())])
-            if as_text:
-                left = pa.array([x.decode("utf-8", "ignore") for x in left.to_pylist()], pa.string())
-            more = [left, *[pa.array(x.astype(np.int64)) for x in (sizes, removed, spans)]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *more], [*rest, "kept", "n_bytes", "n_removed", "n_spans"])
+        parts = ((batch, *utf8(batch.column(at))) for batch in pieces(batches, mb=1))
+        for group in _with_segments(parts, shared_sent.value):
+            keys, marks = [x[3] for x in group], [prints(flat, first, last) for _, flat, _, _, _, first, last in group]
+            runs = settled.value.runs(np.concatenate(keys), np.concatenate(marks))
+            base = np.cumsum([0, *map(len, keys)])
+            cuts = np.searchsorted(runs[0], base)
+            for i, (batch, flat, sizes, _, doc, first, last) in enumerate(group):
+                segment, begin, end, least = (x[cuts[i] : cuts[i + 1]] for x in runs)
+                yield left_of(batch, flat, sizes, doc, first, last, segment - base[i], begin, end, least)
+
+    def left_of(batch, flat, sizes, doc, first, last, segment, begin, end, least) -> pa.RecordBatch:
+        owner, row = batch.column(len(rest)), batch.column(len(rest) + 1).to_numpy().view(np.uint64)
+        valid = owner.is_valid().to_numpy(zero_copy_only=False)
+        owner = owner.fill_null(0).to_numpy()
+        ends = np.cumsum(sizes)
+        use = valid[doc[segment]] & (least < owner[doc[segment]])
+        begin, end = (first[segment] + begin)[use], (first[segment] + end)[use] + WIDTH
+        copy = np.flatnonzero(copies_sent.value.contains(row) & valid & (sizes >= WIDTH))
+        begin, end = np.concatenate([begin, (ends - sizes)[copy]]), np.concatenate([end, ends[copy]])
+        gone = np.cumsum(np.bincount(begin, minlength=len(flat) + 1) - np.bincount(end, minlength=len(flat) + 1))[:-1] > 0
+        starts = gone.copy()
+        starts[1:] &= ~gone[:-1]
+        border = (ends - sizes)[sizes > 0]
+        starts[border] = gone[border]
+        per_doc = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])])
+        removed, spans = per_doc(gone), per_doc(starts)
+        offsets = np.concatenate([[0], np.cumsum(sizes - removed)]).astype(np.int32)
+        left = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat[~gone].tobytes())])
+        if as_text:
+            left = pa.array([x.decode("utf-8", "ignore") for x in left.to_pylist()], pa.string())
+        more = [left, *[pa.array(x.astype(np.int64)) for x in (sizes, removed, spans)]]
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *more], [*rest, "kept", "n_bytes", "n_removed", "n_spans"])
 
     schema = docs.select(*rest).schema.add("kept", "string" if as_text else "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
     return docs.select(*rest, ids[0].alias("_owner"), ids[1].alias("_row")).mapInArrow(run, schema)

@@ -1,9 +1,11 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tessera.llm.substrings import WIDTH, Suffixes, remove_repeats, segments
+from tessera.llm.substrings import WIDTH, Suffixes, _held, remove_repeats, segments
 
 
 def brute(rows):
@@ -78,5 +80,41 @@ def test_every_start_is_in_one_segment():
     assert len(segments(np.full(100_000, 97, np.uint8), np.array([100_000]))[0]) == 1
 
 
+def test_rounds_do_not_grow_with_the_largest_group(monkeypatch):
+    """A hot passage with 1,900 different surroundings: the size of its group grows with the input."""
+    r = random.Random(5)
+    flat = b"".join(b"a passage that very many documents have " + bytes(r.choices(range(97, 123), k=30)) for _ in range(1900))
+    calls, word = [], Suffixes.word
+    monkeypatch.setattr(Suffixes, "word", lambda self, *a: calls.append(1) or word(self, *a))
+    s = Suffixes(flat, np.arange(1900) * 70)
+    new = s.sort()
+    keys = [flat[p : p + WIDTH] for p in s.places[s.order]]
+    assert keys == sorted(keys)
+    assert new.sum() == len(set(keys))
+    assert len(calls) < 1000
+
+
+def test_batches_sent_do_not_grow_with_the_ranges():
+    r = random.Random(6)
+    texts = ["".join(r.choices("abcdefgh", k=2000)) for _ in range(50)]
+    every, none = (SimpleNamespace(value=SimpleNamespace(contains=f)) for f in (lambda x: np.ones(len(x), bool), lambda x: np.zeros(len(x), bool)))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(range(50)), pa.array(texts)], ["doc_id", "row", "text"])
+    n = 1000
+    sent = list(_held(SimpleNamespace(mapInArrow=lambda f, schema: f), none, every, n)(iter([rows])))
+    got = []
+    for batch in sent:
+        for row in batch.to_pylist():
+            low, high, size = (np.frombuffer(row[c], np.int64) for c in "cde")
+            key, text = np.frombuffer(row["a"], np.uint32), row["f"]
+            assert len(key) == len(size) == len(low) and size.sum() == len(text) and (low == high).all()
+            for k, d, a, b in zip(key.tolist(), low.tolist(), np.cumsum(size) - size, np.cumsum(size), strict=True):
+                got.append((row["s"], k, d, text[a:b]))
+    flat = "".join(texts).encode()
+    key, doc, first, last = segments(np.frombuffer(flat, np.uint8), np.full(50, 2000))
+    want = [((k >> 32) * n >> 32, k & 0xFFFFFFFF, d, flat[a : b + WIDTH]) for k, d, a, b in zip(key.tolist(), doc.tolist(), first, last, strict=True)]
+    assert sorted(got) == sorted(set(want))
+    assert len(sent) < 20
+
+
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
