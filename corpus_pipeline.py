@@ -9,7 +9,7 @@
 A stage takes (spark, docs, sf_dir) and works on all rows of ``docs``. Null
 texts are rejected by the first stage; the others take them as empty. Rows
 without an id pass stages 2 and 3 untouched; rows that share an id are one
-document there.
+document there. Each stage starts from heaps without the garbage of the one before.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from tessera.llm.language import fit_languages, identify
 from tessera.llm.mixing import mix_documents
 from tessera.llm.substrings import remove_repeats
 from tessera.llm.text import small_batches
-from tessera.sources.shared import cut, fresh_path, made, sweep
+from tessera.sources.shared import cut, fresh_path, made, sweep, trim
 from tessera.sources.tables import table
 
 #: Ids of dropped documents up to this number are sent to the tasks (8 bytes each); beyond, they are joined.
@@ -33,6 +33,7 @@ SENT_IDS = 4_000_000
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is near a language's centroids, learned from their own labels."""
+    trim(spark)
     small_batches(spark)
     model = fit_languages(docs.select("doc_id", "text", "lang"))
     return identify(docs, model).filter("not rejected").select(*docs.columns)
@@ -40,6 +41,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
+    trim(spark)
     small_batches(spark)
     before = made()
     found = jaccard_components(docs, n=5, percent=80)
@@ -50,6 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that documents with smaller ids have; bytes of a character cut in two go as well."""
+    trim(spark)
     small_batches(spark)
     done = remove_repeats(docs, as_text=True).withColumn("text", F.col("kept"))
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
@@ -57,11 +60,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them."""
+    trim(spark)
     return mix_documents(docs)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the decoded text."""
+    trim(spark)
     small_batches(spark)
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 

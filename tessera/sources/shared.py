@@ -13,6 +13,7 @@ import uuid
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
@@ -70,6 +71,17 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim(spark: SparkSession) -> None:
+    """Executors collect their garbage and give heap that is free then back to the system.
+
+    A heap grows while there is room for it and seldom shrinks by itself, but Python
+    workers need their memory beside it. As many short tasks as there are cores reach
+    every executor that has no other work; they change no result wherever they run.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def made() -> set[str]:
     """Paths that exist now; what comes later can be swept."""
     return {path for _, path in _made}
