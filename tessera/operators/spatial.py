@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that meet a batch at once.
-BLOCK = 512
+#: Queries and points that meet at once.
+BLOCK = 64, 1024
+#: Bytes of queries that are sent to a worker at once.
+SENT = 16 << 20
 
 
 def distance(x: Column, y: Column, metric: str = "euclidean", p: float = 3.0) -> Column:
@@ -82,29 +85,79 @@ class KDTree:
         return np.sqrt(best), rows
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows, without Python objects."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    sizes = np.diff(vectors.offsets.to_numpy())
+    if vectors.null_count or (sizes != sizes[:1]).any():
+        raise ValueError("vectors are null or differ in length")
+    return flat.reshape(len(vectors), sizes[0] if len(sizes) else 0)
+
+
+def _join(kept: tuple[np.ndarray, ...] | None, q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Places in q, distances and keys of the k nearest among those kept and the points x, in order; and the k-th distance of each place."""
+    far, gap, columns = np.zeros((len(q), len(x))), np.empty((len(q), len(x))), np.ascontiguousarray(x.T)
+    for d in range(q.shape[1]):
+        np.subtract(q[:, d, None], columns[d], out=gap)
+        np.multiply(gap, gap, out=gap)
+        far += gap
+    np.sqrt(far, out=far)
+    limit = kept[3] if kept else np.full(len(q), np.inf)
+    if len(x) > k and np.isinf(limit).any():
+        limit = np.fmin(limit, np.partition(far, k - 1, axis=1)[:, k - 1])
+    row, at = np.nonzero(~(far > limit[:, None]))
+    far, key = far[row, at], own[at]
+    if kept:
+        row, far, key = (np.concatenate(two) for two in zip(kept, (row, far, key), strict=False))
+    order = np.lexsort([key, far, row])
+    place = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+    order, place = order[place < k], place[place < k]
+    row, far, key = row[order], far[order], key[order]
+    last = np.full(len(q), np.inf)
+    last[row[place == k - 1]] = far[place == k - 1]
+    return row, far, key, last
+
+
 def nearest(points: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """(query, rank, key, distance): the exact k nearest points of each query (ties to the smaller key).
 
-    Queries are a stated set that fits a task; each batch of points keeps k for a
-    query and a window merges these.
+    Queries are counted and sent in parts of at most ``SENT`` bytes. A task meets
+    its points with a part a block of both at a time and keeps k for a query; a
+    window merges the tasks' rows.
     """
-    asked = queries.select(key, F.col(vector).cast("array<double>").alias("v")).toArrow()
-    ids, q = asked.column(0).to_numpy(), np.array(asked.column("v").to_pylist(), float)
-    sent = points.sparkSession.sparkContext.broadcast((ids, q))
+    asked = queries.select(key, F.col(vector).cast("array<double>").alias("v"))
+    n, dim = asked.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    parts = max(1, math.ceil(n * 8 * (max(dim or 0, 0) + 1) / SENT))
+    rows = points.filter(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(vector))
+    rows = rows.repartition(points.sparkSession.sparkContext.defaultParallelism)  # the work is far larger than the points
+    rows, found = rows.withColumn(vector, F.col(vector).cast("array<double>")), None
+    for part in range(parts):
+        own = _nearest(rows, asked if parts == 1 else asked.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part), k)
+        found = own if found is None else found.union(own)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "key"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "key", "distance")
+
+
+def _nearest(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query, key, distance): each task's k nearest of each query."""
+    table = asked.toArrow()
+    sent = rows.sparkSession.sparkContext.broadcast((table.column(0).to_numpy(), _matrix(table.column(1).combine_chunks())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = sent.value
+        starts = range(0, len(q), BLOCK[0])
+        kept: dict[int, tuple[np.ndarray, ...]] = {}
         for batch in batches:
-            own, x = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), float)
-            for a in range(0, len(q) if len(x) else 0, BLOCK):
-                far = ((q[a : a + BLOCK, None] - x[None]) ** 2).sum(-1)
-                top = np.lexsort([np.broadcast_to(own, far.shape), far], axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a : a + BLOCK], top.shape[1])), pa.array(own[top].ravel()), pa.array(np.sqrt(np.take_along_axis(far, top, 1)).ravel())], ["query", "key", "distance"])
-
-    rows = points.filter(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(vector).cast("array<double>"))
-    found = rows.mapInArrow(run, "query long, key long, distance double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "key"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "key", "distance")
+            own, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            if len(x) and len(q) and x.shape[1] != q.shape[1]:
+                raise ValueError("queries and points differ in length")
+            for b in range(0, len(x), BLOCK[1]):
+                for a in starts:
+                    kept[a] = _join(kept.get(a), q[a : a + BLOCK[0]], x[b : b + BLOCK[1]], own[b : b + BLOCK[1]], k)
+        for a, (row, far, key, _) in kept.items():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a + row]), pa.array(key), pa.array(far)], ["query", "key", "distance"])
+
+    return rows.mapInArrow(run, "query long, key long, distance double")
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:

@@ -1,6 +1,8 @@
 import itertools
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.functions import optimise as o
@@ -126,3 +128,32 @@ def test_sparse(spark):
     np.testing.assert_allclose(sp.from_csr(spark, [0, 1, 3, 4], [1, 0, 2, 2], [1.5, 2, 3, 4], (3, 3)).to_dense().numpy(), dense)
     np.testing.assert_allclose(sp.from_csc(spark, [0, 1, 2, 4], [1, 0, 1, 2], [2, 1.5, 3, 4], (3, 3)).to_dense().numpy(), dense)
     assert sp.find(sp.dense_to_coo(a.to_dense())).count() == 4 and sp.dense_to_csr(a.to_dense()).count() == 3
+
+
+def vectors(spark, n, dim, seed=3):
+    v = np.random.default_rng(seed).integers(0, 4, (n, dim)).astype(float)
+    return v, spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "id long, v array<double>")
+
+
+def test_nearest_holds_few_distances_at_once(spark, monkeypatch):
+    v, df = vectors(spark, 2000, 64)
+    run, real = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a, **b: run.append(f) or real(self, f, *a, **b))
+    x.nearest(df, df.filter("id < 200"), "id", "v", 5)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(v.tolist())], ["id", "v"])
+    tracemalloc.start()
+    rows = sum(len(b) for b in run[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1000 and peak < 64e6, peak  # all differences at once are 205 MB
+
+
+def test_nearest_in_parts_with_ties(spark, monkeypatch):
+    v, df = vectors(spark, 300, 3)
+    monkeypatch.setattr(x, "SENT", 400, raising=False)
+    monkeypatch.setattr(x, "BLOCK", (4, 16))
+    got = sorted(map(tuple, x.nearest(df.repartition(5), df.filter("id % 7 = 0"), "id", "v", 4).collect()))
+    far = np.sqrt(((v[::7, None] - v[None]) ** 2).sum(-1))
+    assert got == [(7 * i, r + 1, int(key), far[i, key]) for i in range(len(far)) for r, key in enumerate(np.lexsort([np.arange(300), far[i]])[:4])]
+    assert x.nearest(df, df.filter("id < 0"), "id", "v", 4).count() == 0
+    assert x.nearest(df.filter("id < 3"), df.filter("id < 2"), "id", "v", 4).count() == 6
