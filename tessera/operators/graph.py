@@ -6,10 +6,18 @@ in each round, so lineage stays short and lost executors cost one round.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import cut
+from tessera.sources.shared import cut, release
+
+#: Edges that a task links at once.
+HELD = 1 << 20
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -105,18 +113,80 @@ def shortest_path(edges: DataFrame, source, target) -> list:
     return path
 
 
+def _linked(src: pa.ChunkedArray, dst: pa.ChunkedArray) -> pa.RecordBatch:
+    """(src, dst): each node of some edges with the smallest one that is linked to it."""
+    ends = pa.chunked_array([*src.chunks, *dst.chunks], src.type).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(ends.dictionary)
+    label = np.arange(len(order))
+    place = np.empty_like(label)
+    place[order.to_numpy()] = label
+    a, b = np.split(place[ends.indices.to_numpy()], 2)
+    while len(a):
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label != (up := label[label])).any():
+            label = up
+        a, b = label[a], label[b]
+        a, b = a[a != b], b[a != b]
+    found = ends.dictionary.take(order)
+    return pa.RecordBatch.from_arrays([found, found.take(pa.array(label))], ["src", "dst"])
+
+
+def _forest(edges: DataFrame, whole: bool = False) -> DataFrame:
+    """Fewer edges that link the same nodes: what one task holds becomes stars (node, centre), with a loop at each centre.
+
+    A task reduces ``HELD`` edges at a time; with ``whole``, which is for a counted size, all that it has.
+    """
+    names = ["src", "dst"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= HELD and not whole:
+                held = [_linked(*pa.Table.from_batches(held).columns)]
+                n = len(held[0])
+                if n > HELD // 2:
+                    yield held[0]
+                    held, n = [], 0
+        if n:
+            yield _linked(*pa.Table.from_batches(held).columns)
+
+    return edges.select(*names).mapInArrow(run, edges.select(*names).schema)
+
+
 def weak_components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that is linked to it, by labels and pointer jumping."""
-    both = cut(undirected(edges), "wcc-edges")
-    label = cut(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("l")), "wcc")
-    while True:
-        near = both.join(label.select(F.col("src").alias("dst"), "l"), "dst").groupBy("src").agg(F.min("l").alias("m"))
-        new = label.join(near, "src").select("src", "l", F.least("l", "m").alias("m"))
-        up = label.select(F.col("src").alias("m"), F.col("l").alias("u"))
-        new = cut(new.join(up, "m").select("src", F.least("m", "u").alias("l"), (F.least("m", "u") != F.col("l")).alias("moved")), "wcc")
-        label = new.select("src", "l")
-        if new.filter("moved").isEmpty():
-            return label.select(F.col("src").alias("node"), F.col("l").alias("component"))
+    """(node, component): the smallest node that is linked to it.
+
+    Tasks replace their edges by stars. While more than ``HELD`` edges are left,
+    each node takes its smallest neighbour, pointers are followed to their ends, and the
+    edges between different ends are the next, smaller graph; then one task links the
+    rest. The ends are carried back through the rounds. Edges with a null end link nothing.
+    """
+    spark, kind = edges.sparkSession, nodes(edges).schema["node"].dataType
+    given = edges.filter("src IS NOT NULL AND dst IS NOT NULL").select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"))
+    left, rounds = cut(_forest(given), "wcc-edges"), []
+    while left.count() > HELD:
+        near = left.union(reverse(left)).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("l"))
+        label, moved = cut(near.select("node", F.least("node", "l").alias("l")), "wcc"), True
+        while moved:
+            up = label.select(F.col("node").alias("l"), F.col("l").alias("u"))
+            new = cut(label.join(up, "l").select("node", F.col("u").alias("l"), (F.col("u") != F.col("l")).alias("moved")), "wcc")
+            moved = not new.filter("moved").isEmpty()
+            release(spark, label)
+            label = new
+        rounds.append(label)
+        open_ = left.join(label.select(F.col("node").alias("src"), F.col("l").alias("a")), "src").join(label.select(F.col("node").alias("dst"), F.col("l").alias("b")), "dst")
+        new = cut(_forest(open_.filter("a != b").select(F.col("a").alias("src"), F.col("b").alias("dst"))), "wcc-edges")
+        release(spark, left)
+        left = new
+    found = cut(_forest(left.repartition(1), whole=True).toDF("node", "component"), "wcc")
+    for label in reversed(rounds):
+        ends = found.toDF("l", "component")
+        new = cut(label.join(ends, "l", "left").select("node", F.coalesce("component", "l").alias("component")), "wcc")
+        release(spark, found, label)
+        found = new
+    return found
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

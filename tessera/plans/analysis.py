@@ -185,10 +185,15 @@ FLOW = "(SELECT 3 * l_partkey AS src, 3 * l_suppkey + 1 AS dst FROM lineitem UNI
 NATIONS = "(SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey)"
 
 
-def flow(x: Tables) -> DataFrame:
+def links(x: Tables) -> DataFrame:
+    """The flow with its repeats."""
     part, supplier, customer = C("l_partkey") * 3, C("l_suppkey") * 3 + 1, C("o_custkey") * 3 + 2
     sold = x.lineitem.join(x.orders, C("l_orderkey") == C("o_orderkey")).select(supplier.alias("src"), customer.alias("dst"))
-    return x.lineitem.select(part.alias("src"), supplier.alias("dst")).union(sold).distinct()
+    return x.lineitem.select(part.alias("src"), supplier.alias("dst")).union(sold)
+
+
+def flow(x: Tables) -> DataFrame:
+    return links(x).distinct()
 
 
 @query(f"SELECT node, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (SELECT src AS node, 0 AS i, 1 AS o FROM {FLOW} UNION ALL SELECT dst, 1, 0 FROM {FLOW}) GROUP BY 1")
@@ -203,7 +208,7 @@ def graph_distances_whole(x: Tables) -> DataFrame:
 
 @query()
 def graph_components_whole(x: Tables) -> DataFrame:
-    return g.weak_components(flow(x))
+    return g.weak_components(links(x))
 
 
 @query(f"WITH e AS {NATIONS} SELECT DISTINCT a, b FROM (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src != dst UNION SELECT p.src, q.src FROM e p JOIN e q ON p.dst = q.dst AND p.src < q.src)")

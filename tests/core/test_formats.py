@@ -81,3 +81,37 @@ def test_strong_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (7, 1)], "src long, dst long")
     assert {r.node: r.component for r in graph.strong_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7}
     assert not graph.is_dag(edges) and graph.is_dag(edges.filter("src < dst"))
+
+
+def smallest(edges):
+    ends = {v: v for e in edges for v in e}
+    while any(ends[a] != ends[b] for a, b in edges):
+        for a, b in edges:
+            ends[a] = ends[b] = min(ends[a], ends[b])
+    return ends
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_weak_components_in_rounds(spark, monkeypatch, kind):
+    monkeypatch.setattr(graph, "HELD", 8, raising=False)
+    g = np.random.default_rng(5)
+    edges = [*zip(range(100, 180), range(101, 181), strict=True), *g.integers(200, 300, (60, 2)).tolist(), (400, 400), *((500 + k, 600) for k in range(30))]
+    edges = [(str(a), str(b)) if kind == "string" else (int(a), int(b)) for a, b in edges]
+    df = spark.createDataFrame([*edges, (None, edges[0][0])], f"src {kind}, dst {kind}").repartition(6)
+    got = graph.weak_components(df)
+    assert sorted(map(tuple, got.collect())) == sorted(smallest(edges).items()) and got.dtypes == [("node", {"long": "bigint"}.get(kind, kind)), ("component", {"long": "bigint"}.get(kind, kind))]
+    assert graph.weak_components(df.filter("src IS NULL")).count() == 0
+
+
+def test_weak_components_write_stars(spark, monkeypatch):
+    wrote, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: wrote.append(real(df, name)) or wrote[-1])
+    rows = spark.range(0, 22500, 1, 2).selectExpr("id div 150 AS src", "150 + id % 150 AS dst")
+    count, held = [], graph.weak_components(rows)
+    assert held.count() == 300 and held.filter("component = 0").count() == 300
+    for df in wrote:
+        try:
+            count.append(df.count())
+        except Exception:  # released
+            continue
+    assert max(count) <= 600, count  # of two tasks; both directions of all edges are 45,000
