@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import cut, release
+from tessera.sources.shared import bucketed, cut, release
 
 #: Edges that a task links at once.
 HELD = 1 << 20
@@ -251,22 +251,29 @@ def is_dag(edges: DataFrame) -> bool:
     return True
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, epsilon: float = 1e-6) -> DataFrame:
-    """(node, rank) by power iteration; the mass of nodes without successors is spread over all."""
-    all_nodes = nodes(edges)
-    n = all_nodes.count()
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
-    shares = cut(edges.join(out, "src").select("src", "dst", (1.0 / F.col("k")).alias("w")), "pagerank-edges")
-    sinks = cut(all_nodes.join(out, all_nodes["node"] == out["src"], "left_anti"), "pagerank-sinks")
-    rank = cut(all_nodes.withColumn("rank", F.lit(1.0 / max(n, 1))), "pagerank")
-    for _ in range(rounds):
-        lost = rank.join(sinks, "node", "left_semi").agg(F.sum("rank")).first()[0] or 0.0
-        got = shares.join(rank, shares["src"] == rank["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("w")).alias("g"))
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, epsilon: float = 1e-6, once: bool = False) -> DataFrame:
+    """(node, rank) by power iteration; the mass of nodes without successors is spread over all.
+
+    Edges are dealt by their source once, and repeats go there with ``once``; rounds
+    move ranks and what arrives at nodes, not edges.
+    """
+    spark = edges.sparkSession
+    links = bucketed(edges.select("src", "dst"), "pagerank-edges", "src", once)
+    ends = links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("k")).union(links.select("dst", F.lit(None).cast("long")).distinct())
+    rank = cut(ends.groupBy("node").agg(F.max("k").alias("k")), "pagerank")
+    sink = F.col("k").isNull() & F.col("node").isNotNull()
+    n, lost = rank.agg(F.count(F.lit(1)), F.count_if(sink)).first()
+    first, rank, lost = rank, rank.withColumn("rank", F.lit(1.0 / max(n, 1))), lost / max(n, 1)
+    for _ in range(rounds if n else 0):
+        given = rank.filter("k IS NOT NULL").select(F.col("node").alias("src"), (F.col("rank") * (1.0 / F.col("k"))).alias("c"))
+        got = links.join(given.hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("c").alias("g"))
         base = (1 - damping) / n + damping * lost / n
-        new = rank.join(got, "node", "left").select("node", F.col("rank").alias("old"), (F.lit(base) + damping * F.coalesce("g", F.lit(0.0))).alias("rank"))
+        new = rank.join(got, "node", "left").select("node", "k", F.col("rank").alias("old"), (F.lit(base) + damping * F.coalesce("g", F.lit(0.0))).alias("rank"))
         new = cut(new, "pagerank")
-        far = new.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        rank = new.select("node", "rank")
+        far, lost = new.agg(F.max(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(sink, F.col("rank"))), F.lit(0.0))).first()
+        release(spark, first)
+        first = rank = new
         if far < epsilon:
             break
-    return rank
+    release(spark, links)
+    return rank.select("node", "rank")

@@ -220,7 +220,7 @@ def graph_moral_whole(x: Tables) -> DataFrame:
 
 @query()
 def graph_pagerank_whole(x: Tables) -> DataFrame:
-    return rounded(g.pagerank(flow(x)), 9)
+    return rounded(g.pagerank(links(x), once=True), 9)
 
 
 @query(f"WITH e AS {FLOW} SELECT round(count(*) / (n * (n - 1))::DOUBLE, 6) AS density FROM e, (SELECT count(*) AS n FROM (SELECT src FROM e UNION SELECT dst FROM e)) GROUP BY n")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_tables: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +57,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, once: bool = False) -> DataFrame:
+    """Like :func:`cut`, dealt by ``key`` as a shuffle deals: joins and groups by it do not move the table again.
+
+    With ``once``, equal rows are kept once. Spark knows buckets only of tables in its
+    catalogue; :func:`release` takes this one out of it.
+    """
+    spark, path, own = df.sparkSession, fresh_path(df.sparkSession, name), f"tessera_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(n, key)
+    (dealt.distinct() if once else dealt).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(own)
+    out = spark.table(own)
+    _paths[out], _tables[out] = path, own
+    return out
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables that :func:`cut` wrote and that nothing will read again.
 
@@ -63,7 +79,9 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     driver's garbage is collected, which this asks for.
     """
     for df in tables:
-        path = _paths.pop(df, None)
+        path, own = _paths.pop(df, None), _tables.pop(df, None)
+        if own:
+            spark.sql(f"DROP TABLE IF EXISTS {own}")
         if path:
             remove(spark, path)
             _made.remove((spark, path))

@@ -115,3 +115,36 @@ def test_weak_components_write_stars(spark, monkeypatch):
         except Exception:  # released
             continue
     assert max(count) <= 600, count  # of two tasks; both directions of all edges are 45,000
+
+
+def test_pagerank_moves_edges_once(spark, monkeypatch):
+    g = np.random.default_rng(7)
+    edges = [tuple(map(int, e)) for e in g.integers(0, 40, (90, 2))] + [(3, 50), (3, 50), (50, 51)]
+    given = spark.createDataFrame(edges, "src long, dst long").repartition(3)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    plans, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows, once in ((edges, False), (sorted(set(edges)), True)):
+            read.value = 0
+            got = {r.node: r.rank for r in graph.pagerank(given.mapInArrow(counted, given.schema), rounds=3, **({"once": True} if once else {})).collect()}
+            assert read.value == len(edges)
+            names = sorted({v for e in rows for v in e})
+            m = np.zeros((len(names), len(names)))
+            np.add.at(m, ([names.index(b) for _, b in rows], [names.index(a) for a, _ in rows]), 1)
+            out, r = m.sum(0), np.full(len(names), 1 / len(names))
+            for _ in range(3):
+                r = 0.15 / len(names) + 0.85 * (r[out == 0].sum() / len(names) + m @ np.divide(r, out, where=out > 0, out=np.zeros_like(r)))
+            assert got == pytest.approx(dict(zip(names, r, strict=True)), abs=1e-12)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans[-1].count("Exchange hashpartitioning(src") == 1 and "Bucketed: true" in plans[-1]  # the ranks
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tessera_")]
+    assert graph.pagerank(given.limit(0)).count() == 0
